@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Odd multiplier of the polynomial word hash (mod 2**64) and its inverse.
@@ -18,26 +17,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local session that names none gets a temporary folder.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the one the cluster names in ``spark.checkpoint.dir``; only a local session that names none gets a temporary one."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not where:
+    where = sc._jsc.sc().getCheckpointDir()
+    if where.isEmpty():
+        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            where = tempfile.mkdtemp(prefix="faultline-checkpoints-")
-        sc.setCheckpointDir(where)
-    return df.checkpoint()
+            named = tempfile.mkdtemp(prefix="faultline-checkpoints-")
+        sc.setCheckpointDir(named)
+        where = sc._jsc.sc().getCheckpointDir()
+    return where.get()
 
 
-def partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def reliable(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -124,12 +122,3 @@ def components(edges: DataFrame) -> DataFrame:
     nodes = e.select(F.col("a").alias("id"), F.col("b").alias("component"))
     roots = e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return nodes.unionByName(roots)
-
-
-def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
-    """1-based rank of each row in ``order``; meant for tables of one row a source or language."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
-
-
-def env_path(name: str, default: str) -> str:
-    return os.environ.get(name, default)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, minhash_dedup
+from . import bpe, embed_dedup, html_text, language_id, license_scan, media, minhash_dedup, mixing, pii, toxicity
 from .common import table
 
 
@@ -16,18 +17,85 @@ def tokenizer_path(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = language_id.held_out("doc_id", 3, 1)
+    found = language_id.identify(docs.select("doc_id", "text"), language_id.learn(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_accepted").alias("accepted"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode(docs, tokenizer_path(), with_ids=False)
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = f"filter(pii, x -> x.kind in ({', '.join(repr(k) for k in pii.BASE)}))"
+    counts = [F.expr(f"cast(size(filter(pii, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(F.expr(pii.joined(base)), 256).alias("base_sha256"), F.expr(pii.joined("pii")).alias("spans"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", F.round("first_position", 9).alias("first_position"))
+
+
+def op7_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.classes(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.length("licence_sentences").cast("long").alias("n_sentences"), "licence_sentences", F.array_join("licences", ",").alias("licences"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = language_id.held_out("doc_id", 5, 0)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out)
+    found = toxicity.score(docs, toxicity.learn(docs, labels))
+    return found.select(
+        "doc_id", held_out.alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"),
+        F.expr("array_join(transform(toxic_passages, x -> concat(x.first, ':', x.last)), ',')").alias("passages"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_byte_bpe": op2_byte_bpe,
-    "op8_minhash_hamming": op8_minhash_hamming,
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_byte_bpe, op3_media_columns, op4_html_extraction, op5_pii, op6_mixing,
+        op7_product_quantisation, op8_minhash_hamming, op9_license_scan, op10_toxicity,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL for the rows of op8: exact Jaccard links among all documents, then the least id reachable.
+_OP8 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] END AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+  HAVING 100 * count(*) >= 85 * ((SELECT n FROM n WHERE doc_id = a.doc_id) + (SELECT n FROM n WHERE doc_id = b.doc_id) - count(*))
+), reach AS (SELECT a AS id, a AS seen FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.seen = l.a
+), low AS (SELECT id, min(seen) AS seen FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low.seen, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(low.seen, d.doc_id)) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.id = d.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op8_minhash_hamming": _OP8}
