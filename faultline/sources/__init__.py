@@ -32,9 +32,15 @@ def metric_dump(spark: SparkSession, path: str, level: str, metric: str, kpi_lab
     return v.select(F.lit(kpi_label).alias("kpi_label"), F.lit(level).alias("level"), "entity", F.lit(metric).alias("metric"), F.expr("cast(floor(try_cast(v[0] as double)) as bigint)").alias("ts"), F.expr("try_cast(v[1] as double)").alias("value"))
 
 
-def kpi_csv(spark: SparkSession, path: str, unit: int = 1_000_000, label: str | None = None, columns: str = "timeStamp long, label string, Latency double") -> DataFrame:
+def _csv(spark: SparkSession, path: str, fields: list[tuple[str, str]], **options) -> DataFrame:
+    """The named columns of CSV files with a header, whatever others they have; what can't be cast is null."""
+    raw = spark.read.options(header=True, **options).csv(path)
+    return raw.select(*[F.expr(f"try_cast(`{name}` as {kind})").alias(name) for name, kind in fields])
+
+
+def kpi_csv(spark: SparkSession, path: str, unit: int = 1_000_000, label: str | None = None) -> DataFrame:
     """KPI tables with a header, (ts, label, latency); ``unit`` epoch units make a second (1000 for load-test logs)."""
-    df = spark.read.option("header", True).option("enforceSchema", False).schema(columns).csv(path)
+    df = _csv(spark, path, [("timeStamp", "bigint"), ("label", "string"), ("Latency", "double")])
     df = df.select((F.col("timeStamp") / unit).cast("long").alias("ts"), "label", F.col("Latency").alias("latency"))
     return df.where(F.col("label") == label) if label else df
 
@@ -65,12 +71,12 @@ def sensor_csv(spark: SparkSession, path: str, banner: int = 0, ts: str = "Times
 
 
 def spans_csv(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.option("header", True).option("enforceSchema", False).schema(schema.SPANS).csv(path)
+    df = _csv(spark, path, [(f.name, f.dataType.simpleString()) for f in schema.SPANS])
     return df.select(F.col("TraceID").alias("trace"), F.col("SpanID").alias("span"), F.col("ParentID").alias("parent"), F.col("PodName").alias("pod"), F.col("OperationName").alias("operation"), F.col("StartTimeUnixNano").alias("start_ns"), F.col("EndTimeUnixNano").alias("end_ns"))
 
 
 def span_logs_csv(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.option("header", True).option("enforceSchema", False).schema(schema.SPAN_LOGS).option("escape", '"').csv(path)
+    df = _csv(spark, path, [(f.name, f.dataType.simpleString()) for f in schema.SPAN_LOGS], escape='"')
     return df.select(F.col("TimeUnixNano").alias("ns"), F.col("SpanID").alias("span"), F.col("Log").alias("log"))
 
 
