@@ -103,7 +103,7 @@ def _licences(ids: str) -> str:
     rules = "array(" + ", ".join(f"struct({_q(n)} as licence, {_q(_rule_pattern(p))} as pattern)" for n, p in RULES) + ")"
     return (
         f"if({ids} = '', cast(array() as array<struct<first:int,licence:string>>), aggregate({rules}, named_struct('ids', {ids}, 'out', cast(array() as array<struct<first:int,licence:string>>)), (acc, r) -> "
-        "if(acc.ids rlike r.pattern, named_struct('ids', regexp_replace(acc.ids, r.pattern, '-'), 'out', concat(acc.out, array(named_struct('first', regexp_instr(acc.ids, r.pattern), 'licence', r.licence)))), acc), acc -> array_sort(acc.out)))"
+        f"if(acc.ids rlike r.pattern, named_struct('ids', regexp_replace(acc.ids, r.pattern, '-'), 'out', concat(acc.out, array(named_struct('first', regexp_instr({ids}, r.pattern), 'licence', r.licence)))), acc), acc -> array_sort(acc.out)))"
     )
 
 

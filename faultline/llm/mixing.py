@@ -17,7 +17,7 @@ from .common import reliable
 WORD = r"[^\x20\x09-\x0D]+"
 #: A source is taken at most this often.
 MAX_REPEATS = 3
-#: Words of one bucket of a source's stream, about.
+#: Documents of one bucket of the order, about; a source's window never spans more.
 BUCKET_ROWS = 20_000
 
 
@@ -50,6 +50,12 @@ def moment(share: Column, slope: Column) -> Column:
     return F.when(F.abs(slope) < 1e-9, share).otherwise((F.sqrt(start * start + 2 * slope * share) - start) / slope)
 
 
+def stream_order(doc_id: Column, text: Column) -> Column:
+    """60-bit hash of id and text, from MD5, so that any engine can say it."""
+    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit(""))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", slopes: Column | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source, source_size, target, copies, taken, first_position.
 
@@ -65,12 +71,11 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         F.col(f"`{doc_id}`").alias("doc_id"),
         F.col(f"`{source}`").alias("source"),
         F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("h"),
+        stream_order(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("h"),
     )
     d = reliable(d)
     n = d.count()
-    buckets = max(1, 1 << max(0, (n // BUCKET_ROWS)).bit_length())
-    d = d.withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 32), F.lit(buckets)))
+    d = d.withColumn("bucket", F.shiftright("h", 60 - (n // BUCKET_ROWS).bit_length()))  # ranges of the order
     parts = reliable(d.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
     sources = parts.groupBy("source").agg(F.sum("words").alias("source_size"))
     total = sources.agg(F.sum("source_size")).first()[0] or 0
@@ -101,7 +106,7 @@ def laid_out(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     plan = plan.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
     at = F.least(F.lit(1.0), F.col("_share") + F.when(F.col("_target") > 0, F.col("_pass") * F.col("_size") / F.col("_target")).otherwise(0))
     plan = plan.withColumn("_position", moment(at, F.col("_slope"))).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "_position", "_pass")
-    rows = docs.withColumn("_hash", F.xxhash64("doc_id", "text"))
+    rows = docs.withColumn("_hash", stream_order(F.col("doc_id"), F.col("text")))
     out = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")))
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return out.repartitionByRange(n, "_position", "_h").sortWithinPartitions("_position", "_h", "_pass").select(*(F.col(f"`{c}`") for c in docs.columns))

