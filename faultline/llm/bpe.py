@@ -29,18 +29,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RunHasher
+from .common import RunHasher, reliable
 
 #: Rank of a pair that does not merge; ranks and ids are below it.
 NONE = 65535
 #: Characters that a sub-block holds at least; bounds the numpy temporaries.
-SUB_BLOCK = 1 << 20
+SUB_BLOCK = 1 << 18
 #: Distinct words outside the cache after which a block ends and word numbers start anew.
-BLOCK_WORDS = 400_000
+BLOCK_WORDS = 300_000
+#: Rows of an Arrow batch that are Python objects at once.
+BATCH_ROWS = 1024
 #: Words in one row on their way to the merge expression.
 WORDS_A_ROW = 64
 #: Rows of the sample whose words make the cache, and words that the cache holds at most.
-CACHE_DOCS, CACHE_WORDS = 20_000, 1_000_000
+CACHE_DOCS, CACHE_WORDS = 20_000, 500_000
 
 _SPACE, _BLANK, _LETTER, _DIGIT, _OTHER = range(5)
 #: The code points of the White_Space property except U+0020.
@@ -148,7 +150,7 @@ class WordTable:
 
 
 @functools.cache
-def _rank_levels(path: str) -> list[tuple[list[int], int, int]]:
+def _rank_levels(path: str) -> list[tuple[list[int], int]]:
     """Hashed tables of the merging pairs: slot -> left << 32 | right << 16 | merged; a pair that finds its slot taken goes to the next table."""
     ranks = read_ranks(path)
     pairs = []
@@ -157,19 +159,22 @@ def _rank_levels(path: str) -> list[tuple[list[int], int, int]]:
             left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
             if left is not None and right is not None:
                 pairs.append((left << 16 | right, merged))
-    levels, bits = [], 19
+    levels: list[tuple[list[int], int]] = []
     while pairs:
-        slots, rest, shift = [-1] * (1 << bits), [], 16 * len(levels)
+        bits, i = max(18 - 2 * len(levels), 10), len(levels)
+        slots, rest = [-1] * (1 << bits), []
         for key, merged in pairs:
             h = xxhash.xxh64_intdigest(key.to_bytes(8, "little"), 42)
-            at = h >> shift & (1 << bits) - 1
+            if i:
+                h = xxhash.xxh64_intdigest(i.to_bytes(4, "little"), h)
+            at = h & (1 << bits) - 1
             if slots[at] < 0:
                 slots[at] = key << 16 | merged
             else:
                 rest.append((key, merged))
-        levels.append((slots, bits, shift))
-        pairs, bits = rest, 17
-        if len(levels) > 4:
+        levels.append((slots, bits))
+        pairs = rest
+        if len(levels) > 9:
             raise ValueError("the rank map doesn't settle")
     return levels
 
@@ -194,8 +199,8 @@ def merge_expression(words: str, path: str) -> str:
     def rank(left: str, right: str) -> str:
         found = f"{NONE}L"
         for i in reversed(range(len(levels))):
-            _, bits, shift = levels[i]
-            h = "xxhash64(k)" if shift == 0 else f"shiftrightunsigned(xxhash64(k), {shift})"
+            bits = levels[i][1]
+            h = f"xxhash64(k, {i})" if i else "xxhash64(k)"
             found = _let(
                 f"get(ranks{i}, cast({h} & {(1 << bits) - 1} as int))",
                 f"v{i}",
@@ -222,7 +227,7 @@ def merge_expression(words: str, path: str) -> str:
     pair = rank("cast(b as bigint)", "cast(get(w, j + 1) as bigint)")
     first = f"transform(w, (b, j) -> shiftleft(if(j = size(w) - 1, {NONE}L, {pair}), 47) | shiftleft(cast(j as bigint), 16) | b)"
     sql = f"transform({words}, w -> aggregate(slice(w, 2, size(w)), {first}, (acc, _) -> {step}, acc -> transform(acc, x -> cast(x & 65535 as int))))"
-    for i, (slots, _, _) in enumerate(levels):
+    for i, (slots, _) in enumerate(levels):
         sql = _let(f"cast(split('{' '.join(map(str, slots))}', ' ') as array<bigint>)", f"ranks{i}", sql)
     return sql
 
@@ -312,7 +317,7 @@ def _split_docs(batches, path: str, known: np.ndarray, schema: pa.Schema):
         cols |= keep
         return pa.RecordBatch.from_arrays([cols[f.name].cast(f.type) for f in schema], schema=schema)
 
-    for batch in batches:
+    for batch in (big.slice(i, BATCH_ROWS) for big in batches for i in range(0, big.num_rows, BATCH_ROWS)):
         texts = [t or "" for t in batch.column("_text").to_pylist()]
         for a, b in _sub_blocks(texts):
             if len(split.own) > BLOCK_WORDS:
@@ -360,7 +365,7 @@ def _assemble(batches, path: str, cache: tuple[np.ndarray, np.ndarray], schema:
     flats, lens = [cache[0]], [cache[1]]
     words, stale = None, True
     names = [f.name for f in schema if f.name not in ("n_tokens", "ids_sha256", "decoded_sha256", "ids")]
-    for batch in batches:
+    for batch in (big.slice(i, BATCH_ROWS) for big in batches for i in range(0, big.num_rows, BATCH_ROWS)):
         fresh = batch.column("_fresh").to_numpy(zero_copy_only=False)
         is_doc = batch.column("_numbers").is_valid().to_numpy(zero_copy_only=False)
         # stretches of word rows or of documents, cut where a block starts
@@ -399,7 +404,7 @@ def _sample_words(batches, path: str):
     """Distinct words of the sampled texts, as arrays of byte tokens."""
     split, byte_id = _Splitter(np.zeros(0, np.uint64)), _byte_ids(read_ranks(path))
     split.new_block()
-    for batch in batches:
+    for batch in (big.slice(i, BATCH_ROWS) for big in batches for i in range(0, big.num_rows, BATCH_ROWS)):
         texts = [t or "" for t in batch.column(0).to_pylist()]
         for a, b in _sub_blocks(texts):
             _, new = split(texts[a:b])
@@ -424,37 +429,40 @@ def word_cache(docs: DataFrame, path: str, cache_docs: int = CACHE_DOCS, cache_w
     if n and cache_words:
         share = min(1.0, cache_docs / n)
         keep = F.col("_text").isNotNull() if share >= 1 else F.pmod(F.xxhash64("_text"), F.lit(1 << 20)) < int(share * (1 << 20))
-        words = (
+        # cut here, so that the plan with the rank map, which is long as text, has no exchange and is planned once
+        words = reliable(
             docs.select("_text").where(keep)
             .mapInArrow(functools.partial(_sample_words, path=path), "word array<int>")
             .distinct()
             .limit(cache_words)
             .repartition(F.xxhash64("word"))
-            .mapInArrow(_chunks, "_words array<array<int>>")
-            .select("_words", F.expr(merge_expression("_words", path)).alias("_ids"))
         )
-        got = words.toArrow()
-        own = got.column("_words").combine_chunks().flatten()
-        ids = got.column("_ids").combine_chunks().flatten()
-        back = np.zeros(1 << 16, np.uint8)
-        back[_byte_ids(ranks)] = np.arange(256, dtype=np.uint8)
-        raw = back[own.flatten().to_numpy()].tobytes()
-        ends = np.cumsum(own.value_lengths().to_numpy()).tolist()
-        texts = [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        fresh = np.array([t not in ranks for t in texts], bool)
-        ids = ids.filter(pa.array(fresh))
-        hashes.append(_hash_words([t for t, f in zip(texts, fresh.tolist(), strict=True) if f]))
-        flat.append(ids.flatten().to_numpy().astype(np.int32))
-        lengths.append(ids.value_lengths().to_numpy().astype(np.int32))
+        words = (
+            words.mapInArrow(functools.partial(_chunks, path=path), "_hashes array<long>, _words array<array<int>>")
+            .select("_hashes", F.expr(merge_expression("_words", path)).alias("_ids"))
+        )
+        for batch in words.toArrow().to_batches():
+            hashes.append(batch.column(0).flatten().to_numpy().view(np.uint64))
+            ids = batch.column(1).flatten()
+            flat.append(ids.flatten().to_numpy().astype(np.uint16).astype(np.int32))
+            lengths.append(ids.value_lengths().to_numpy().astype(np.int32))
     return np.concatenate(hashes), np.concatenate(flat), np.concatenate(lengths)
 
 
-def _chunks(batches):
+def _chunks(batches, path: str):
+    """Words, as arrays of byte tokens, gathered into rows of many with their hashes; the vocabulary's own pieces are left out."""
+    ranks = read_ranks(path)
+    back = np.zeros(1 << 16, np.uint8)
+    back[_byte_ids(ranks)] = np.arange(256, dtype=np.uint8)
     for batch in batches:
         col = batch.column(0)
-        cuts = np.append(np.arange(0, len(col), WORDS_A_ROW), len(col)).astype(np.int32)
-        if len(col):
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(cuts), col)], names=["_words"])
+        raw = back[col.flatten().to_numpy()].tobytes()
+        ends = np.cumsum(col.value_lengths().to_numpy()).tolist()
+        words = [w for a, b in zip([0, *ends], ends, strict=False) if (w := raw[a:b]) not in ranks]
+        if words:
+            rows = _word_rows(words, _byte_ids(ranks))
+            hashes = pa.ListArray.from_arrays(rows.offsets, pa.array(_hash_words(words).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([hashes, rows], names=["_hashes", "_words"])
 
 
 def _hash_words(words: list[bytes]) -> np.ndarray:

@@ -65,7 +65,7 @@ class RunHasher:
         if len(starts) == 0:
             return np.zeros(0, np.uint64)
         if len(buf) > len(self._up):
-            n = max(len(buf), 1 << 20)
+            n = max(len(buf), 2 * len(self._up), 1 << 16)
             self._up, self._down = _powers(_P, n), _powers(_P_INV, n)
         terms = self._table[buf] * self._up[: len(buf)]
         gaps = np.empty(2 * len(starts), np.int64)
