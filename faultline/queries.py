@@ -398,11 +398,11 @@ def log_euclid(spark, d):
 
 @query(ctes("obs") + """, s AS (SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY ts, event_id) - 1 AS i, value / 100 AS v FROM obs WHERE metric = 'error')
 , g AS (SELECT entity, i, v, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, false AS alarm FROM s WHERE i = 0
- UNION ALL SELECT n.entity, n.i, n.v, CASE WHEN greatest(0, g.up + n.v - g.v - 0.05) > 2 OR greatest(0, g.down - (n.v - g.v) - 0.05) > 2 THEN 0 ELSE greatest(0, g.up + n.v - g.v - 0.05) END, CASE WHEN greatest(0, g.up + n.v - g.v - 0.05) > 2 OR greatest(0, g.down - (n.v - g.v) - 0.05) > 2 THEN 0 ELSE greatest(0, g.down - (n.v - g.v) - 0.05) END, greatest(0, g.up + n.v - g.v - 0.05) > 2 OR greatest(0, g.down - (n.v - g.v) - 0.05) > 2 FROM g JOIN s n ON n.entity = g.entity AND n.i = g.i + 1)
+ UNION ALL SELECT n.entity, n.i, n.v, CASE WHEN greatest(0, g.up + n.v - g.v - 0.05) > 0.8 OR greatest(0, g.down - (n.v - g.v) - 0.05) > 0.8 THEN 0 ELSE greatest(0, g.up + n.v - g.v - 0.05) END, CASE WHEN greatest(0, g.up + n.v - g.v - 0.05) > 0.8 OR greatest(0, g.down - (n.v - g.v) - 0.05) > 0.8 THEN 0 ELSE greatest(0, g.down - (n.v - g.v) - 0.05) END, greatest(0, g.up + n.v - g.v - 0.05) > 0.8 OR greatest(0, g.down - (n.v - g.v) - 0.05) > 0.8 FROM g JOIN s n ON n.entity = g.entity AND n.i = g.i + 1)
 SELECT entity, i AS alarm FROM g WHERE alarm""")
 def cusum_alarms(spark, d):
     s = views.observations(spark, d).where("metric = 'error'").withColumn("at", F.row_number().over(Window.partitionBy("entity").orderBy("ts", "event_id"))).withColumn("value", F.col("value") / 100)
-    return detect.cusum_alarms(s, ["entity"], 2.0, 0.05, ts="at").select("entity", "alarm")
+    return detect.cusum_alarms(s, ["entity"], 0.8, 0.05, ts="at").select("entity", "alarm")
 
 
 _CORR = _W + ", c AS (SELECT a.metric, a.entity AS a, b.entity AS b, corr(a.value, b.value) AS r, count(*) AS n FROM weekly a JOIN weekly b ON a.metric = b.metric AND a.ts = b.ts AND a.entity < b.entity GROUP BY 1, 2, 3)"
