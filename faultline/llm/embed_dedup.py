@@ -2,8 +2,8 @@
 
 Vectors are normalised; at a cosine of 0.95 or more two of them are at most
 REACH = sqrt(2 - 2 * 0.95) apart. A coarse k-means cuts space into lists; a
-vector's residual to its list's centroid is coded by one byte in each of
-SUBSPACES subspaces, and the length of what the code leaves out is kept. Both
+vector's residual to its list's centroid is coded by one byte in each subspace
+of SUBSPACE_DIMS components, and the length of what the code leaves out is kept. Both
 steps are provably without loss: a list is probed unless a bound shows that no
 vector of it can be within reach, and a coded vector is dropped only if its
 asymmetric table-lookup distance exceeds the reach by more than its own coding
@@ -21,8 +21,9 @@ from .common import components, reliable
 
 COSINE = 0.95
 #: Vectors in the training sample, rows a list aims at, lists at most, rows of a list or of its queries in one task.
-SAMPLE, LIST_ROWS, MAX_LISTS, BLOCK = 20_000, 512, 4096, 2048
-SUBSPACES, CODES, ROUNDS = 8, 64, 8
+SAMPLE, LIST_ROWS, MAX_LISTS, BLOCK = 20_000, 2048, 4096, 2048
+#: Components a code stands for, codes per subspace, rounds of k-means; subspaces whose tables are summed before a pair may be dropped.
+SUBSPACE_DIMS, CODES, ROUNDS, FIRST = 4, 256, 6, 8
 #: Bounds get this much slack for rounding.
 SLACK = 1e-6
 
@@ -54,7 +55,7 @@ class Index:
         self.coarse = kmeans(sample, lists, ROUNDS, rng)
         residual = sample - self.coarse[nearest(sample, self.coarse)[0]]
         dim = sample.shape[1]
-        self.cuts = np.linspace(0, dim, min(SUBSPACES, dim) + 1).round().astype(int)
+        self.cuts = np.linspace(0, dim, max(1, dim // SUBSPACE_DIMS) + 1).round().astype(int)
         self.books = [kmeans(residual[:, a:b], min(CODES, len(sample)), ROUNDS, rng) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
         self.gap = np.sqrt(((self.coarse[:, None, :] - self.coarse[None, :, :]) ** 2).sum(2)) if lists <= 1024 else None
 
@@ -70,7 +71,7 @@ class Index:
         return zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)
 
     def probes(self, x: np.ndarray, home: np.ndarray) -> list[np.ndarray]:
-        """Sufficient lists of each vector.
+        """Sufficient lists of each vector: its own and later ones, so a pair of two lists meets once.
 
         A vector y of list j within reach of x has |y - c_j| <= |y - c_i| for x's
         own list i, so x lies at most ``reach`` beyond the plane between c_i and
@@ -80,6 +81,7 @@ class Index:
         own = d[np.arange(len(x)), home]
         gap = self.gap[home] if self.gap is not None else np.sqrt(nearest(self.coarse[home], self.coarse)[1])
         ok = d - own[:, None] <= 2 * (self.reach + SLACK) * gap + SLACK
+        ok &= np.arange(d.shape[1])[None, :] > home[:, None]
         ok[np.arange(len(x)), home] = True
         return [np.flatnonzero(r) for r in ok]
 
@@ -140,14 +142,14 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     if counts is None:
         return slim.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     linked = components(edges)
-    labels = nodes.select("node", "rep").join(linked.select(F.col("id").alias("node"), "component"), "node", "left")
+    labels = nodes.select("node", "rep", "copies").join(linked.select(F.col("id").alias("node"), "component"), "node", "left")
     lowest = labels.where("component is not null").groupBy("component").agg(F.min("rep").alias("lowest"))
-    labels = labels.join(lowest, "component", "left").select("node", F.coalesce("lowest", "rep").alias("lowest"))
-    per_node = labels.join(counts.groupBy("node").agg(F.sum("n").alias("n")), "node", "left").select("node", "lowest", F.coalesce("n", F.lit(0)).alias("n"))
+    labels = labels.join(lowest, "component", "left").select("node", "copies", F.coalesce("lowest", "rep").alias("lowest"))
+    per_node = labels.join(counts.groupBy("node").agg(F.sum("n").alias("n")), "node", "left").select("node", "lowest", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n"))
     out = rows.withColumn("node", F.when(F.col("unit").isNotNull(), F.shiftrightunsigned(F.xxhash64("unit"), 1))).select("vec_id", "node").join(per_node, "node", "left")
     return out.select(
         "vec_id",
-        F.when(F.col("node").isNull(), 0).otherwise(F.col("n") - 1).cast("long").alias("n_links"),
+        F.when(F.col("node").isNull(), 0).otherwise(F.col("n")).cast("long").alias("n_links"),
         F.when(F.col("vec_id").isNotNull(), F.coalesce("lowest", "vec_id")).alias("component_id"),
     ).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
@@ -178,23 +180,24 @@ def _links(spark, nodes: DataFrame, dim: int, cosine: float) -> list[DataFrame]:
                     [
                         pa.array(lists),
                         pa.array(is_base),
+                        pa.array(home[take].astype(np.int32)),
                         part.column(0).take(take_arrow),
                         part.column(1).take(take_arrow),
                         part.column(2).take(take_arrow),
                         pa.array([codes[t].tobytes() if b else None for t, b in zip(take.tolist(), is_base.tolist(), strict=True)], pa.binary()),
                         pa.array(np.where(is_base, error[take], 0.0)),
                     ],
-                    names=["list", "base", "node", "copies", "unit", "code", "error"],
+                    names=["list", "base", "home", "node", "copies", "unit", "code", "error"],
                 )
 
-    placed = nodes.select("node", "copies", "unit").mapInArrow(place, "list int, base boolean, node long, copies long, unit binary, code binary, error double")
+    placed = nodes.select("node", "copies", "unit").mapInArrow(place, "list int, base boolean, home int, node long, copies long, unit binary, code binary, error double")
     placed = reliable(placed)
     sizes = placed.groupBy("list").agg(F.ceil(F.sum(F.col("base").cast("int")) / BLOCK).cast("int").alias("nb"), F.ceil(F.sum((~F.col("base")).cast("int")) / BLOCK).cast("int").alias("nq")).where("nb > 0")
     cut = placed.join(F.broadcast(sizes), "list")  # at most MAX_LISTS rows
     mine = F.pmod(F.xxhash64("node", F.lit(3)), F.when(F.col("base"), F.col("nb")).otherwise(F.greatest("nq", F.lit(1)))).cast("int")
     cut = cut.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.when(F.col("base"), F.greatest("nq", F.lit(1))).otherwise(F.col("nb")) - 1)))
     task = F.xxhash64("list", F.when(F.col("base"), F.col("_mine")).otherwise(F.col("_other")), F.when(F.col("base"), F.col("_other")).otherwise(F.col("_mine")))
-    cut = cut.withColumn("task", task).select("task", "list", "base", "node", "copies", "unit", "code", "error")
+    cut = cut.withColumn("task", task).select("task", "list", "base", "home", "node", "copies", "unit", "code", "error")
 
     def compare(batches):
         from .minhash_dedup import _groups
@@ -213,40 +216,42 @@ def _links(spark, nodes: DataFrame, dim: int, cosine: float) -> list[DataFrame]:
 
 
 def _compare(ix: Index, t: pa.Table, dim: int):
-    base = t.column("base").to_numpy()
+    """Links between the queries and the coded vectors of one task; a pair of one list counts where the query's node is the lesser."""
+    base, home = t.column("base").to_numpy(), t.column("home").to_numpy()
     node, copies = t.column("node").to_numpy(), t.column("copies").to_numpy()
     unit = _unit(t.column("unit"), dim)
     b, q = np.flatnonzero(base), np.flatnonzero(~base)
     if not len(b) or not len(q):
         return
-    home = int(t.column("list")[0].as_py())
+    here = int(t.column("list")[0].as_py())
     codes = np.frombuffer(b"".join(t.column("code").filter(t.column("base")).to_pylist()), np.uint8).reshape(len(b), -1)
-    limit = (ix.reach + SLACK + t.column("error").to_numpy()[b]) ** 2 + SLACK
-    heads, totals, ends, others = [], [], [], []
-    step = max(1, (1 << 21) // len(b))
+    limit = (((ix.reach + SLACK + t.column("error").to_numpy()[b]) ** 2 + SLACK) * 1.0001).astype(np.float32)
+    ends, others = [], []
+    step = max(1, (1 << 20) // len(b))
     for at in range(0, len(q), step):
         some = q[at : at + step]
-        tables = ix.tables(unit[some], home).astype(np.float32)
-        rough = np.zeros((len(some), len(b)), np.float32)
-        for k in range(codes.shape[1]):
-            rough += tables[k][:, codes[:, k]]
-        i, j = np.nonzero(rough <= limit * 1.0001)
-        exact = np.einsum("ij,ij->i", unit[some[i]], unit[b[j]])
-        same = node[some[i]] == node[b[j]]
-        hit = (exact >= ix.cosine) | same
-        i, j = i[hit], b[j[hit]]
-        if not len(i):
-            continue
-        n = np.bincount(i, weights=copies[j], minlength=len(some)).astype(np.int64)
-        has = np.flatnonzero(n)
-        heads.append(node[some[has]])
-        totals.append(n[has])
-        ends.append(some[i])
-        others.append(j)
-    if not heads:
+        tables = ix.tables(unit[some], here).astype(np.float32)
+        rough = np.take(tables[0], codes[:, 0], axis=1)
+        for k in range(1, min(FIRST, codes.shape[1])):
+            rough += np.take(tables[k], codes[:, k], axis=1)
+        i, j = np.nonzero(rough <= limit)
+        once = (home[some[i]] != here) | (node[some[i]] < node[b[j]])
+        i, j = i[once], j[once]
+        rest = rough[i, j]
+        for k in range(FIRST, codes.shape[1]):
+            rest += tables[k][i, codes[j, k]]
+        near = rest <= limit[j]
+        i, j = some[i[near]], b[j[near]]
+        hit = np.einsum("ij,ij->i", unit[i], unit[j]) >= ix.cosine
+        ends.append(i[hit])
+        others.append(j[hit])
+    i, j = np.concatenate(ends), np.concatenate(others)
+    if not len(i):
         return
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), pa.array(np.concatenate(totals)), pa.nulls(sum(map(len, heads)), pa.int64())], names=["node", "n", "other"])
-    a, c = _forest(node, np.concatenate(ends), np.concatenate(others))
+    n = (np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))).astype(np.int64)
+    has = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(node[has]), pa.array(n[has]), pa.nulls(len(has), pa.int64())], names=["node", "n", "other"])
+    a, c = _forest(node, i, j)
     if len(a):
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.zeros(len(a), np.int64)), pa.array(c)], names=["node", "n", "other"])
 
