@@ -106,7 +106,7 @@ def laid_out(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     plan = plan.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
     at = F.least(F.lit(1.0), F.col("_share") + F.when(F.col("_target") > 0, F.col("_pass") * F.col("_size") / F.col("_target")).otherwise(0))
     plan = plan.withColumn("_position", moment(at, F.col("_slope"))).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "_position", "_pass")
-    rows = docs.withColumn("_hash", stream_order(F.col("doc_id"), F.col("text")))
-    out = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("row_id"), stream_order(F.col("doc_id"), F.col("text")).alias("row_hash"))
+    out = rows.join(plan, F.col("row_id").eqNullSafe(F.col("_id")) & (F.col("row_hash") == F.col("_h")))
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartitionByRange(n, "_position", "_h").sortWithinPartitions("_position", "_h", "_pass").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return out.repartitionByRange(n, "_position", "_h").sortWithinPartitions("_position", "_h", "_pass").select("row.*")

@@ -82,7 +82,7 @@ def _sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def found(kind: str, text: str = "_t") -> str:
+def found(kind: str, text: str) -> str:
     """SQL for the confirmed spans of one kind: pieces between matches and the matches give the offsets in code points."""
     pattern = _sql(PATTERNS[kind])
     fold = (
@@ -100,23 +100,23 @@ def found(kind: str, text: str = "_t") -> str:
     return spans if kind in BASE else f"filter({spans}, x -> x.score >= {LEAST_SCORE})"
 
 
-def spans(text: Column) -> Column:
-    """Spans of a text by kind as in KINDS, then start; a null text counts as empty.
+def spans(text: str) -> Column:
+    """Spans of a text, given as SQL, by kind as in KINDS, then start.
 
     The added kinds count only where their score, with context, reaches
     LEAST_SCORE; base kinds count once confirmed. Offsets are in code points, the
     end excluded.
     """
-    listed = F.concat(*(F.expr(found(k)) for k in KINDS))
-    return listed
+    return F.concat(*(F.expr(found(k, text)) for k in KINDS))
 
 
-def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Every column of ``docs``, with ``pii`` (replaced if present): array of kind, first, last, score.
+def with_spans(docs: DataFrame, text: str = "text", name: str = "pii") -> DataFrame:
+    """Every column of ``docs``, with ``name`` (replaced if present): array of kind, first, last, score.
 
-    Repeated rows stay; an empty table gives an empty result.
+    A null text counts as empty. Repeated rows stay; an empty table gives an
+    empty result.
     """
-    return docs.withColumn("_t", F.coalesce(F.col(f"`{text}`"), F.lit(""))).withColumn("pii", spans(F.col("_t"))).drop("_t")
+    return docs.withColumn(name, spans(f"coalesce(`{text}`, '')"))
 
 
 def joined(array: str) -> str:
@@ -125,13 +125,14 @@ def joined(array: str) -> str:
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with each span of ``text`` replaced by its kind in brackets; overlapping spans become one, of the first's kind. Null stays null."""
+    name = "__" + "_".join(["pii", *docs.columns])  # no column has this name
     merged = (
-        "aggregate(array_sort(transform(pii, x -> named_struct('first', x.first, 'last', x.last, 'kind', x.kind))), "
+        f"aggregate(array_sort(transform(`{name}`, x -> named_struct('first', x.first, 'last', x.last, 'kind', x.kind))), "
         "cast(array() as array<struct<first:int,last:int,kind:string>>), (acc, x) -> "
         "if(size(acc) > 0 and acc[size(acc) - 1].last > x.first, "
         "concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', acc[size(acc) - 1].first, 'last', greatest(acc[size(acc) - 1].last, x.last), 'kind', acc[size(acc) - 1].kind))), "
         "concat(acc, array(x))))"
     )
     pieces = f"aggregate(cast(array() as array<int>), {merged}, (s, _) -> s, s -> concat(transform(s, (x, i) -> concat(substring(`{text}`, if(i = 0, 0, s[i - 1].last) + 1, x.first - if(i = 0, 0, s[i - 1].last)), '[', upper(x.kind), ']')), array(substring(`{text}`, s[size(s) - 1].last + 1))))"
-    clean = F.expr(f"if(size(pii) = 0, `{text}`, array_join({pieces}, ''))")
-    return with_spans(docs, text).withColumn(text, clean).select(*(F.col(f"`{c}`") for c in docs.columns))
+    clean = F.expr(f"if(size(`{name}`) = 0, `{text}`, array_join({pieces}, ''))")
+    return with_spans(docs, text, name).withColumn(text, clean).select(*(F.col(f"`{c}`") for c in docs.columns))
