@@ -120,10 +120,12 @@ class Convergence:
 
 def _drain(spark: SparkSession, out: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over what there is and returns its output table."""
-    from pyspark.sql import SparkSession as _S  # noqa: F401
-
-    name = f"out_{uuid.uuid4().hex}"
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="faultline-stream-")
+    name, sc = f"out_{uuid.uuid4().hex}", spark.sparkContext
+    where = sc.getConf().get("spark.checkpoint.dir")
+    if not where:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = tempfile.mkdtemp(prefix="faultline-stream-")
     q = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{where}/{name}").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
