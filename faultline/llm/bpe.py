@@ -42,7 +42,7 @@ BATCH_ROWS = 1024
 #: Words in one row on their way to the merge expression.
 WORDS_A_ROW = 64
 #: Rows of the sample whose words make the cache, and words that the cache holds at most.
-CACHE_DOCS, CACHE_WORDS = 20_000, 500_000
+CACHE_DOCS, CACHE_WORDS = 10_000, 250_000
 
 _SPACE, _BLANK, _LETTER, _DIGIT, _OTHER = range(5)
 #: The code points of the White_Space property except U+0020.
@@ -442,10 +442,11 @@ def word_cache(docs: DataFrame, path: str, cache_docs: int = CACHE_DOCS, cache_w
             .select("_hashes", F.expr(merge_expression("_words", path)).alias("_ids"))
         )
         for batch in words.toArrow().to_batches():
-            hashes.append(batch.column(0).flatten().to_numpy().view(np.uint64))
+            hashes.append(batch.column(0).flatten().to_numpy().view(np.uint64).copy())
             ids = batch.column(1).flatten()
             flat.append(ids.flatten().to_numpy().astype(np.uint16).astype(np.int32))
             lengths.append(ids.value_lengths().to_numpy().astype(np.int32))
+        pa.default_memory_pool().release_unused()
     return np.concatenate(hashes), np.concatenate(flat), np.concatenate(lengths)
 
 
