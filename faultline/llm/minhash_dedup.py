@@ -29,7 +29,7 @@ SYMBOLS, MAX_ERRORS, CHUNKS = 40, 17, 9
 #: Rows of a bucket, and documents of a candidate component, in one block.
 BUCKET_BLOCK, TEXT_BLOCK = 4096, 1024
 #: Characters whose shingles are computed at once, at least.
-SUB_BLOCK = 1 << 20
+SUB_BLOCK = 1 << 18
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
