@@ -55,3 +55,12 @@ def test_core_needs_no_llm():
         for node in ast.walk(ast.parse(open(path).read())):
             names = [node.module or ""] if isinstance(node, ast.ImportFrom) else [a.name for a in node.names] if isinstance(node, ast.Import) else []
             assert not any("llm" in n for n in names), path
+
+
+def test_column_rules_all_reads_every_event(spark, tmp_path):
+    """Only event 1, which one event in fifty leaves out, moves the deviations and the mean."""
+    values = [(i, 4000.0 if i == 1 else 1.0) for i in range(101)]
+    spark.createDataFrame(values, "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["entity"]: r for r in queries.QUERIES["column_rules_all"](spark, str(tmp_path)).collect()}
+    assert got["cart_cpu"]["useful"] and got["a_lat50"]["useful"]
+    assert got["pay_latency"]["mean_mb"] == pytest.approx(sum(v for _, v in values) / len(values))
