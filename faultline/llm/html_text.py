@@ -42,6 +42,18 @@ _ENDS = {
     "body": (("head",), ("html",)),
 }
 _ENDS_P = _BLOCK - {"body", "html", "option", "optgroup", "select", "tr", "caption", "legend", "summary"}
+#: Where these may stand in a table: other elements still open inside it end first.
+_CONTEXT = {
+    "tr": ("table", "thead", "tbody", "tfoot"),
+    "td": ("table", "thead", "tbody", "tfoot", "tr"),
+    "th": ("table", "thead", "tbody", "tfoot", "tr"),
+    "thead": ("table",),
+    "tbody": ("table",),
+    "tfoot": ("table",),
+}
+_SECTIONS = ("thead", "tbody", "tfoot")
+#: Anything else, like text that isn't blank, ends an open head.
+_IN_HEAD = frozenset("head base basefont bgsound link meta title style script noscript noframes template".split())
 #: Nesting beyond this is flattened, so hostile pages can't exhaust the stack.
 MAX_DEPTH = 200
 
@@ -67,7 +79,10 @@ def parse(source: str) -> Node:
 
     def text(value: str) -> None:
         if value:
-            stack[-1].parts.append(html.unescape(value))
+            value = html.unescape(value)
+            if stack[-1].tag == "head" and value.strip(" \t\n\r\f"):
+                stack.pop()
+            stack[-1].parts.append(value)
 
     def close(tags, until) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -101,8 +116,18 @@ def parse(source: str) -> Node:
             continue
         if tag in ("html", "head") and tag == "html":
             continue
+        if stack[-1].tag == "head" and tag not in _IN_HEAD:
+            stack.pop()
         if tag in _ENDS:
             close(*_ENDS[tag])
+        if tag in _CONTEXT:
+            place = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in _CONTEXT[tag]), 0)
+            if place:
+                del stack[place + 1 :]
+                if tag in ("td", "th") and stack[-1].tag != "tr" and len(stack) < MAX_DEPTH:
+                    row = Node("tr", {})
+                    stack[-1].parts.append(row)
+                    stack.append(row)
         if tag in _ENDS_P:
             close(("p",), ("td", "th", "table", "button", "object", "caption"))
         node = Node(tag, _attributes(m[3]) if m[3].strip(" /") else {})
@@ -112,6 +137,8 @@ def parse(source: str) -> Node:
             body = source[at : end.start() if end else n]
             node.parts.append(html.unescape(body) if tag in ("textarea", "title") else body)
             at = end.end() if end else n
+        elif tag == "form" and stack[-1].tag in ("table", "tr", *_SECTIONS):
+            pass  # as in browsers, its rows and cells are the table's
         elif tag not in _VOID and len(stack) < MAX_DEPTH:
             stack.append(node)
     return root
@@ -271,18 +298,30 @@ def _rows(node: Node):
         if isinstance(part, Node) and _visible(part):
             if part.tag == "tr":
                 yield part
-            elif part.tag in ("thead", "tbody", "tfoot"):
+            elif part.tag in _SECTIONS:
                 yield from _rows(part)
 
 
+def _loose(node: Node):
+    """What stands in a table or its sections without being a part of it."""
+    for part in node.parts:
+        if isinstance(part, str):
+            if part.strip():
+                yield part
+        elif part.tag in _SECTIONS:
+            if _visible(part):
+                yield from _loose(part)
+        elif part.tag not in ("tr", "caption", "colgroup", "col"):
+            yield part
+
+
 def _table(node: Node) -> list[str]:
     """Cells padded to their columns' widths, two blanks between; a cell over several columns takes their room."""
     out, loose = [], Node("div", {})
     for part in node.parts:
         if isinstance(part, Node) and part.tag == "caption" and _visible(part):
             out += _lines(part)
-        elif isinstance(part, str) and part.strip() or isinstance(part, Node) and part.tag not in ("tr", "thead", "tbody", "tfoot", "caption", "colgroup", "col"):
-            loose.parts.append(part)  # as browsers do, before the table
+    loose.parts.extend(_loose(node))  # as browsers do, before the table
     out = _lines(loose) + out
     grid: list[list[tuple[int, int, str]]] = []
     down: dict[int, int] = {}

@@ -166,6 +166,16 @@ def test_html(source, want):
     assert html_text.render(source).strip("\n") == want or html_text.render(source).replace("\n", "") == want.replace("\n", "") and "after" in want
 
 
+@pytest.mark.parametrize("source, want", [
+    ("<table><thead><th>A<th>B</thead><tbody><td>x<td>y</table>", "A  B\nx  y"), ("<table><td>x</table>", "x"), ("<table><tbody>out<tr><td>x</table>", "out\nx"),
+    ("<table><tbody><form><tr><td>x</form><tr><td>y</table>", "x\ny"), ("<table><tbody><div>out<tr><td>x</table>", "out\nx"),
+    ("<table><tr><td>a<table><tbody><td>b</table><td>c</table>", "a b  c"), ("<table><tbody hidden>no<td>no<tbody><td>x</table>", "x"),
+    ("<head><title>T</title><p>text", "text"), ("<head><meta charset=utf-8>text", "text"), ("<head> <style>no</style> <img>a", "a"), ("<head><title>T</title></head>b", "b"),
+])
+def test_html_implied_tags(source, want):
+    assert html_text.render(source) == want
+
+
 def test_html_awkward(spark):
     deep = "<div>" * 5000 + "x"
     rows = [(1, "u", None), (2, None, deep), (3, "u", "<td>x" * 1000), (3, "u", "<td>x" * 1000), (4, "u", "<" * 2000), (5, "u", "<p>é")]
