@@ -1,7 +1,7 @@
 r"""Personal data by patterns, checksums and context, in SQL functions alone.
 
 Regular expressions propose spans, checksums (Luhn, mod 97) and ranges confirm
-them, words just before a span adjust its score. All patterns are linear in the
+them, words near a span adjust its score. All patterns are linear in the
 text: quantifiers that can't match otherwise are possessive, and a look-behind
 keeps a run of characters from being tried from each of its positions.
 """
@@ -25,7 +25,8 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?+[0-9]){12,}+",
     # \+[0-9][\x20().0-9-]+[0-9]
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # the first four characters; IBAN_END finds where it ends
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "imei": r"(?<![0-9])[0-9]{15}(?![0-9])",
 }
@@ -33,7 +34,17 @@ PATTERNS = {
 #: Texts without this have no span of the kind.
 NEEDS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
 
-#: Words before a span that raise its score.
+#: Length of a country's IBANs; those of other codes end where mod 97 holds, the last such place.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22,
+    "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28,
+    "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25,
+    "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29,
+    "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29,
+    "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
+
+#: Words near a span that raise its score.
 CONTEXT = {
     "email": r"(?i)\b(?:e-?mail|contact|mail|write)\b",
     "ip": r"(?i)\b(?:ip|address|host|server)\b",
@@ -43,7 +54,7 @@ CONTEXT = {
     "ssn": r"(?i)\b(?:ssn|social|security|tax)\b",
     "imei": r"(?i)\b(?:imei|device|handset)\b",
 }
-#: Characters before a span in which context words count; score of a confirmed span, what context adds, the least score kept.
+#: Characters before and after a span in which context words count; score of a confirmed span, what context adds, the least score kept.
 WINDOW, CONFIRMED, CONTEXT_ADDS = 40, {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.3, "imei": 0.3}, 0.3
 LEAST_SCORE = 0.5
 
@@ -59,9 +70,9 @@ _MOD97 = (
 )
 
 
-def _with(value: str, body: str) -> str:
-    """SQL with ``d`` bound to ``value``."""
-    return f"aggregate(cast(array() as array<int>), {value}, (d, _) -> d, d -> {body})"
+def _with(value: str, body: str, name: str = "d") -> str:
+    """SQL with a name bound to ``value``."""
+    return f"aggregate(cast(array() as array<int>), {value}, ({name}, _) -> {name}, {name} -> {body})"
 
 
 #: SQL over ``m``, the text of a span.
@@ -75,6 +86,20 @@ VALID = {
     "imei": _with("m", _LUHN),
 }
 
+def _iban_end() -> str:
+    """SQL over ``w``, a text from an IBAN's start on: the IBAN, or null if there is none."""
+    candidate = "regexp_extract(w, '^[A-Z]{2}[0-9]{2}(?:[ ]?+[A-Z0-9]){11,30}+', 0)"
+    ends = f"if(length(c) < 15, cast(array() as array<int>), filter(sequence(15, length(c)), e -> not substring(w, e + 1, 1) rlike '[A-Za-z0-9]' and substring(w, e, 1) <> ' '))"
+    lengths = "map(" + ", ".join(f"'{k}', {v}" for k, v in IBAN_LENGTHS.items()) + ")"
+    fits = f"length(replace(m, ' ', '')) = coalesce(try_element_at({lengths}, substring(m, 1, 2)), length(replace(m, ' ', '')))"
+    found_ = f"filter(transform({ends}, e -> substring(w, 1, e)), m -> {fits} and {VALID['iban']})"
+    return _with(candidate, f"try_element_at({found_}, -1)", "c")
+
+
+IBAN_END = _iban_end()
+#: Characters from an IBAN's start within which it and the character after it lie.
+_IBAN_ROOM = 68
+
 _SPAN = "array<struct<kind:string,first:int,last:int,score:double>>"
 
 
@@ -82,15 +107,28 @@ def _sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _ahead(i: str, room: int) -> str:
+    """SQL for the first ``room`` characters after match ``i``, counted from 1; a match has four characters or more."""
+    return f"left(array_join(transform(sequence({i}, least({i} + {room // 4}, size(ms))), j -> concat(left(ps[j], {room}), coalesce(get(ms, j), ''))), ''), {room})"
+
+
 def found(kind: str, text: str) -> str:
-    """SQL for the confirmed spans of one kind: pieces between matches and the matches give the offsets in code points."""
+    """SQL for the confirmed spans of one kind: pieces between matches and the matches give the offsets in code points.
+
+    ``before`` carries the last WINDOW characters before each match, so context
+    reaches over other matches of the kind, and the work stays linear.
+    """
     pattern = _sql(PATTERNS[kind])
+    span = "ms[i - 1]" if kind != "iban" else _with(f"concat(ms[i - 1], {_ahead('i', _IBAN_ROOM - 4)})", IBAN_END, "w")
+    valid = VALID[kind] if kind != "iban" else "m is not null and (size(acc.out) = 0 or element_at(acc.out, -1).last <= acc.at + length(ps[i - 1]))"
+    after = _ahead("i", WINDOW) if kind != "iban" else f"substring({_ahead('i', WINDOW + _IBAN_ROOM)}, length(m) - 3, {WINDOW})"
     fold = (
-        "aggregate(sequence(1, size(ms)), named_struct('at', 0, 'out', cast(array() as {span})), (acc, i) -> "
-        "named_struct('at', acc.at + length(ps[i - 1]) + length(ms[i - 1]), 'out', aggregate(cast(array() as array<int>), ms[i - 1], (m, _) -> m, m -> "
+        "aggregate(sequence(1, size(ms)), named_struct('at', 0, 'before', '', 'out', cast(array() as {span_type})), (acc, i) -> "
+        "named_struct('at', acc.at + length(ps[i - 1]) + length(ms[i - 1]), 'before', right(concat(acc.before, right(ps[i - 1], {window}), right(ms[i - 1], {window})), {window}), "
+        "'out', aggregate(cast(array() as array<int>), {span}, (m, _) -> m, m -> "
         "if({valid}, concat(acc.out, array(named_struct('kind', {kind}, 'first', acc.at + length(ps[i - 1]), 'last', acc.at + length(ps[i - 1]) + length(m), "
-        "'score', cast({sure} as double) + if(right(ps[i - 1], {window}) rlike {context}, {adds}D, 0D)))), acc.out))), acc -> acc.out)"
-    ).format(span=_SPAN, valid=VALID[kind], kind=_sql(kind), sure=CONFIRMED[kind], window=WINDOW, context=_sql(CONTEXT[kind]), adds=CONTEXT_ADDS)
+        "'score', cast({sure} as double) + if(right(concat(acc.before, right(ps[i - 1], {window})), {window}) rlike {context} or {after} rlike {context}, {adds}D, 0D)))), acc.out))), acc -> acc.out)"
+    ).format(span_type=_SPAN, span=span, valid=valid, kind=_sql(kind), sure=CONFIRMED[kind], window=WINDOW, context=_sql(CONTEXT[kind]), after=after, adds=CONTEXT_ADDS)
     spans = (
         f"aggregate(cast(array() as array<int>), regexp_extract_all({text}, {pattern}, 0), (ms, _) -> ms, ms -> if(size(ms) = 0, cast(array() as {_SPAN}), "
         f"aggregate(cast(array() as array<int>), split({text}, {pattern}, -1), (ps, _) -> ps, ps -> {fold})))"

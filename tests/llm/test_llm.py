@@ -222,6 +222,18 @@ def test_pii_added_and_redacted(spark, awkward, empty):
     assert pii.redacted(empty).count() == 0
 
 
+def test_pii_ibans_and_context_on_both_sides(spark):
+    cases = {
+        "GB82WEST12345698765432 Please": ["[IBAN] Please"], "to GB82 WEST 1234 5698 7654 32 BIC ABCDEFGH now": ["to [IBAN] BIC ABCDEFGH now"], "DE89370400440532013000 5 Euro": ["[IBAN] 5 Euro"],
+        "AB12 34567890123 GB82WEST12345698765432": ["AB12 34567890123 [IBAN]"], "GB82WEST12345698765432X": ["GB82WEST12345698765432X"], "GB82WEST12345698765432 GB82WEST12345698765432 A": ["[IBAN] [IBAN] A"],
+        "SSN: 123-45-6789, 234-56-7890": ["SSN: [SSN], [SSN]"], "123-45-6789 (SSN)": ["[SSN] (SSN)"], "imei 490154203237518/490154203237518": ["imei [IMEI]/[IMEI]", "imei [CARD]/[CARD]"],
+        "123-45-6789" + " far" * 20 + " ssn": ["123-45-6789" + " far" * 20 + " ssn"],
+    }
+    got = [r["text"] for r in pii.redacted(texts(spark, list(cases))).orderBy("doc_id").collect()]
+    for g, (source, want) in zip(got, cases.items(), strict=True):
+        assert g in want, source
+
+
 # ------------------------------------------------------------- 6
 
 
