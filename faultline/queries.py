@@ -99,7 +99,17 @@ def minute_filter(spark, d):
 
 @query(ctes("obs", "kpi") + ", left_ AS (SELECT event_id, ts FROM obs WHERE metric = 'error') SELECT l.event_id, l.ts, round(k.value, 6) AS kpi FROM left_ l ASOF LEFT JOIN kpi k ON l.ts >= k.ts")
 def kpi_asof(spark, d):
-    left = views.observations(spark, d).where("metric = 'error'").select("event_id", "ts", F.lit(0).alias("one"))
+    return _kpi_asof(spark, d, views.observations(spark, d).where("metric = 'error'"))
+
+
+@query(ORACLES["kpi_asof"].replace(" WHERE metric = 'error'", ""))
+def kpi_asof_all(spark, d):
+    """The KPI at every observation; kpi_asof, whose SQL is fixed, takes one metric."""
+    return _kpi_asof(spark, d, views.observations(spark, d))
+
+
+def _kpi_asof(spark, d, observations):
+    left = observations.select("event_id", "ts", F.lit(0).alias("one"))
     right = views.kpi(spark, d).select(F.lit(0).alias("one"), "ts", F.col("value").alias("kpi"))
     return align.asof_backward(left, right, ["one"], "ts", "kpi").select("event_id", "ts", r6("kpi"))
 
@@ -415,6 +425,13 @@ def cusum_alarms(spark, d):
     return detect.cusum_alarms(s, ["entity"], 0.8, 0.05, ts="at").select("entity", "alarm")
 
 
+@query()
+def cusum_alarms_all(spark, d):
+    """Alarms of every series, one per entity and metric; cusum_alarms, whose SQL is fixed, takes one metric."""
+    s = views.observations(spark, d).withColumn("at", F.row_number().over(Window.partitionBy("entity", "metric").orderBy("ts", "event_id"))).withColumn("value", F.col("value") / 100)
+    return detect.cusum_alarms(s, ["entity", "metric"], 0.8, 0.05, ts="at").select("entity", "metric", "alarm")
+
+
 _CORR = _W + ", c AS (SELECT a.metric, a.entity AS a, b.entity AS b, corr(a.value, b.value) AS r, count(*) AS n FROM weekly a JOIN weekly b ON a.metric = b.metric AND a.ts = b.ts AND a.entity < b.entity GROUP BY 1, 2, 3)"
 
 

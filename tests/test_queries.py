@@ -64,3 +64,28 @@ def test_column_rules_all_reads_every_event(spark, tmp_path):
     got = {r["entity"]: r for r in queries.QUERIES["column_rules_all"](spark, str(tmp_path)).collect()}
     assert got["cart_cpu"]["useful"] and got["a_lat50"]["useful"]
     assert got["pay_latency"]["mean_mb"] == pytest.approx(sum(v for _, v in values) / len(values))
+
+
+def test_every_metric_has_alarms_and_kpis(spark, data):
+    """Alarms of all series by a plain loop; as-of values by scanning the KPI for each of some events."""
+    from faultline import views
+
+    obs = views.observations(spark, data).collect()
+    series = {}
+    for r in sorted(obs, key=lambda r: (r["ts"], r["event_id"])):
+        series.setdefault((r["entity"], r["metric"]), []).append(r["value"] / 100)
+    want = []
+    for key, x in series.items():
+        up = down = 0.0
+        for i in range(1, len(x)):
+            up, down = max(0.0, up + x[i] - x[i - 1] - 0.05), max(0.0, down - (x[i] - x[i - 1]) - 0.05)
+            if up > 0.8 or down > 0.8:
+                want.append((*key, i))
+                up = down = 0.0
+    assert sorted(tuple(r) for r in queries.QUERIES["cusum_alarms_all"](spark, data).collect()) == sorted(want)
+    assert len({m for _, m, _ in want}) > 1
+    kpi = [(r["ts"], r["value"]) for r in views.kpi(spark, data).collect()]
+    got = {r["event_id"]: r["kpi"] for r in queries.QUERIES["kpi_asof_all"](spark, data).collect()}
+    assert len(got) == len(obs)
+    for r in obs[::7]:
+        assert got[r["event_id"]] == pytest.approx(max(k for k in kpi if k[0] <= r["ts"])[1], abs=1e-6)
