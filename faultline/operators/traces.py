@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def span_events(spans: DataFrame, logs: DataFrame, alarms: DataFrame | None = None) -> DataFrame:
@@ -105,15 +108,51 @@ def metric_profile(samples: DataFrame) -> DataFrame:
     return samples.groupBy(service_name(F.col("pod")).alias("service"), "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
 
 
-def span_depths(spark, spans: DataFrame, limit: int = 64) -> DataFrame:
-    """Distance of each span from its root, by a recursive query that stops at ``limit`` steps, so cycles end."""
-    spans.select("trace", "span", "parent").createOrReplaceTempView("_spans_to_walk")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(trace, span, depth) AS (
-          SELECT s.trace, s.span, 0 FROM _spans_to_walk s LEFT ANTI JOIN _spans_to_walk p ON s.trace = p.trace AND s.parent = p.span
-          UNION ALL
-          SELECT s.trace, s.span, w.depth + 1 FROM walk w JOIN _spans_to_walk s ON s.trace = w.trace AND s.parent = w.span WHERE w.depth < {limit}
-        ) SELECT trace, span, min(depth) AS depth FROM walk GROUP BY trace, span""")
+def span_depths(spark, spans: DataFrame) -> DataFrame:
+    """Least distance of each span from a root, a span whose parent isn't in its trace, however deep it is.
+
+    Spans that no root leads to, those of a cycle and what hangs on it, have no
+    distance and no row. A trace is walked breadth first in one task, so the work
+    is linear in its spans; spans of a null trace are roots.
+    """
+    slim = spans.select("trace", "span", "parent")
+    trace, span = slim.schema["trace"].dataType, slim.schema["span"].dataType
+    schema = StructType([StructField("trace", trace), StructField("span", span), StructField("depth", IntegerType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            rows = {"trace": [], "span": [], "depth": []}
+            for one in range(batch.num_rows):
+                name, pairs = batch.column(0)[one].as_py(), batch.column(1)[one].as_py()
+                out = _depths(pairs) if name is not None else {p["span"]: 0 for p in pairs}
+                rows["trace"] += [name] * len(out)
+                rows["span"] += out
+                rows["depth"] += out.values()
+                if len(rows["span"]) >= 10_000 or one == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_pydict(rows, schema=arrow)
+                    rows = {"trace": [], "span": [], "depth": []}
+
+    return slim.groupBy("trace").agg(F.collect_list(F.struct("span", "parent")).alias("spans")).mapInArrow(run, schema)
+
+
+def _depths(pairs: list[dict]) -> dict:
+    names = {p["span"] for p in pairs if p["span"] is not None}
+    children: dict = {}
+    at = []
+    for p in pairs:
+        if p["parent"] in names:
+            children.setdefault(p["parent"], []).append(p["span"])
+        else:
+            at.append(p["span"])
+    out: dict = {}
+    depth = 0
+    while at:
+        new = [x for x in dict.fromkeys(at) if x not in out]
+        out.update(dict.fromkeys(new, depth))
+        at = [c for x in new for c in children.get(x, ())]
+        depth += 1
+    return out
 
 
 def synthetic_traces(logs: DataFrame) -> DataFrame:

@@ -227,3 +227,10 @@ def test_online_detector_splits_alike():
 def test_convergence():
     c = Convergence(depth=2, times=2)
     assert [c.add(r) for r in (["a", "b"], ["a", "b"], ["a", "b"])] == [False, False, True]
+
+
+def test_span_depths_of_deep_traces_and_cycles(spark):
+    chain = [("a", str(i), str(i - 1)) for i in range(300)]
+    odd = [("b", "x", "y"), ("b", "y", "x"), ("b", "z", "y"), ("b", "r", None), ("b", "s", "r"), ("b", "s", "t"), ("b", "t", "s"), ("b", "u", "t"), ("b", "u", "r"), (None, "n", "n")]
+    got = traces.span_depths(spark, spark.createDataFrame(chain + odd, "trace string, span string, parent string"))
+    assert {(r["trace"], r["span"]): r["depth"] for r in got.collect()} == {("a", str(i)): i for i in range(300)} | {("b", "r"): 0, ("b", "s"): 1, ("b", "t"): 2, ("b", "u"): 1, (None, "n"): 0}
