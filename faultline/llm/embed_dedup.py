@@ -133,7 +133,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     rows = reliable(slim.mapInArrow(_valid_vectors, "vec_id long, dim int, unit binary"))
     nodes = rows.where("unit is not null").groupBy("dim", "unit").agg(F.count("*").alias("copies"), F.min("vec_id").alias("rep"))
     nodes = reliable(nodes.withColumn("node", F.shiftrightunsigned(F.xxhash64("unit"), 1)))
-    dims = [r["dim"] for r in nodes.select("dim").distinct().limit(64).collect()]
+    dims = [r["dim"] for r in nodes.select("dim").distinct().collect()]
     found = [f for dim in dims for f in _links(spark, nodes.where(F.col("dim") == dim), dim, cosine)]
     counts = edges = None
     for i in range(0, len(found), 2):

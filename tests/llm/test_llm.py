@@ -325,6 +325,14 @@ def test_repeated_vectors(spark):
     assert got == [(3, 2, 3, True), (5, 2, 3, False), (5, 2, 3, False), (9, 0, 9, True)]
 
 
+def test_every_length_is_compared(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(embed_dedup, "_links", lambda spark, nodes, dim, cosine: seen.append(dim) or [])
+    rows = [(n, [1.0] * n) for n in range(1, 71)]
+    embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted(seen) == list(range(1, 71))
+
+
 def test_probes_are_sufficient():
     rng = np.random.default_rng(12)
     x = rng.normal(size=(3000, 24))
