@@ -6,13 +6,23 @@ Three steps run in one stage without a shuffle:
    distinct match of the block that is not in the word cache leaves as an array
    of byte tokens, each document as an array of word numbers;
 2. the higher-order functions of :func:`merge_expression` fold the ranked merges
-   over the byte arrays, looking pairs up in a literal rank map;
+   over the byte arrays, looking pairs up in a literal rank map. The map is the
+   value of a one-row scalar subquery, so it's a constant of the plan without
+   being a part of its text;
 3. documents get the ids of their words, and decoding concatenates the binary
    pieces of the ids.
 
+A long word is merged in windows that overlap, so its cost grows with its
+length, not with the square of it. Tokens of a window but its last ones stand,
+and the next window starts with the last of them. Merges on both sides of a
+token boundary run independently of what lies farther off, so a sequence of
+tokens is the encoding if and only if every two neighbours are the encoding of
+their own bytes: windows that agree on a token join without error. Where they
+don't, the word starts anew with windows twice as wide.
+
 The word cache holds the merged words of a bounded sample of documents (and the
 whole vocabulary); it only saves repeated work, words outside it are merged in
-their block.
+their block. Words are found by a 64-bit hash and compared byte by byte.
 """
 
 from __future__ import annotations
@@ -29,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RunHasher, reliable
+from .common import RunHasher, reliable, unused
 
 #: Rank of a pair that does not merge; ranks and ids are below it.
 NONE = 65535
@@ -41,6 +51,8 @@ BLOCK_WORDS = 300_000
 BATCH_ROWS = 1024
 #: Words in one row on their way to the merge expression.
 WORDS_A_ROW = 64
+#: Bytes of a window of a long word, at least; windows that a fold joins before its tokens are appended to the word's.
+WINDOW, WINDOWS_A_FOLD = 128, 64
 #: Rows of the sample whose words make the cache, and words that the cache holds at most.
 CACHE_DOCS, CACHE_WORDS = 10_000, 250_000
 
@@ -149,20 +161,18 @@ class WordTable:
 # ---------------------------------------------------------------- the merges
 
 
-@functools.cache
-def _rank_levels(path: str) -> list[tuple[list[int], int]]:
+def _rank_levels(ranks: dict[bytes, int]) -> list[np.ndarray]:
     """Hashed tables of the merging pairs: slot -> left << 32 | right << 16 | merged; a pair that finds its slot taken goes to the next table."""
-    ranks = read_ranks(path)
     pairs = []
     for piece, merged in ranks.items():
         for cut in range(1, len(piece)):
             left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
             if left is not None and right is not None:
                 pairs.append((left << 16 | right, merged))
-    levels: list[tuple[list[int], int]] = []
+    levels: list[np.ndarray] = []
     while pairs:
         bits, i = max(18 - 2 * len(levels), 10), len(levels)
-        slots, rest = [-1] * (1 << bits), []
+        slots, rest = np.full(1 << bits, -1, np.int64), []
         for key, merged in pairs:
             h = xxhash.xxh64_intdigest(key.to_bytes(8, "little"), 42)
             if i:
@@ -172,7 +182,7 @@ def _rank_levels(path: str) -> list[tuple[list[int], int]]:
                 slots[at] = key << 16 | merged
             else:
                 rest.append((key, merged))
-        levels.append((slots, bits))
+        levels.append(slots)
         pairs = rest
         if len(levels) > 9:
             raise ValueError("the rank map doesn't settle")
@@ -184,67 +194,138 @@ def _let(value: str, name: str, body: str) -> str:
     return f"aggregate(cast(array() as array<int>), {value}, ({name}, _) -> {name}, {name} -> {body})"
 
 
-def merge_expression(words: str, path: str) -> str:
-    """SQL: array<array<int>> of byte tokens -> array<array<int>> of merged ids.
+class Merges:
+    """The ranked merges as SQL over arrays of byte tokens.
 
-    An element is a long: rank of its pair with the next << 47 | offset << 16 |
-    id, so the least element is the pair to merge next, leftmost among equals.
-    One step of the fold replaces it and drops its right neighbour; only the two
-    pairs around it are looked up again.
+    The rank map is a struct of arrays that SQL reads from a scalar subquery on a
+    table of one row, of a size fixed by the vocabulary (2 MB for 50,000 ranks).
     """
-    if max(read_ranks(path).values()) >= NONE:
-        raise ValueError("ids must be below 65535")
-    levels = _rank_levels(path)
 
-    def rank(left: str, right: str) -> str:
+    def __init__(self, spark, ranks: dict[bytes, int]) -> None:
+        if max(ranks.values()) >= NONE:
+            raise ValueError("ids must be below 65535")
+        levels = _rank_levels(ranks)
+        size = np.zeros(max(ranks.values()) + 1, np.int32)
+        for piece, rank in ranks.items():
+            size[rank] = len(piece)
+        self.bits = [len(x).bit_length() - 1 for x in levels]
+        #: The longest piece; a window's first half holds two of it.
+        self.longest = int(size.max())
+        self.window = max(WINDOW, 4 * self.longest)
+        byte_ids = [(ranks[bytes([b])], bytes([b])) for b in range(256)]
+        self.bytes_wide = max(i for i, _ in byte_ids) + 1
+        first = np.full(self.bytes_wide**2, NONE, np.int64)
+        for i, b in byte_ids:
+            for j, c in byte_ids:
+                first[i * self.bytes_wide + j] = ranks.get(b + c, NONE)
+        columns = {f"r{i}": x for i, x in enumerate(levels)} | {"first": first, "size": size}
+        self.map = spark.createDataFrame(pa.table({k: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v)) for k, v in columns.items()}))
+
+    def apply(self, df: DataFrame, words: str, ids: str) -> DataFrame:
+        """``df`` with ``words``, array<array<int>> of byte tokens, replaced by ``ids``, array<array<int>> of merged ids."""
+        (constant,) = unused(df.columns, "ranks")
+        sql = _let(constant, "ranks", f"transform({words}, w -> if(size(w) <= {self.window}, {self._merged('w')}, {self._long()}))")
+        # the optimiser puts the subquery where the column is read, once, so rows don't carry it
+        both = df.withColumn(constant, self.map.select(F.struct("*")).scalar())
+        return both.select(*(F.expr(sql).alias(ids) if c == words else F.col(f"`{c}`") for c in df.columns))
+
+    def _rank(self, left: str, right: str) -> str:
         found = f"{NONE}L"
-        for i in reversed(range(len(levels))):
-            bits = levels[i][1]
+        for i in reversed(range(len(self.bits))):
             h = f"xxhash64(k, {i})" if i else "xxhash64(k)"
             found = _let(
-                f"get(ranks{i}, cast({h} & {(1 << bits) - 1} as int))",
+                f"get(ranks.r{i}, cast({h} & {(1 << self.bits[i]) - 1} as int))",
                 f"v{i}",
                 f"if(v{i} < 0, {NONE}L, if(shiftright(v{i}, 16) = k, v{i} & 65535, {found}))",
             )
         return _let(f"shiftleft({left}, 16) | {right}", "k", found)
 
-    id_of_m = "shiftrightunsigned(m, 47)"
-    before = rank("(x & 65535)", id_of_m)
-    behind = _let("get(acc, cast(p as int) + 1)", "y", f"if(y is null, {NONE}L, {rank(id_of_m, '(y & 65535)')})")
-    step = _let(
-        "array_min(acc)",
-        "m",
-        f"if({id_of_m} = {NONE}, acc, "
-        + _let(
-            "array_position(acc, m)",
-            "p",
-            "filter(transform(acc, (x, i) -> case when i < p - 2 or i > p then x "
-            f"when i = p - 2 then shiftleft({before}, 47) | (x & {(1 << 47) - 1}L) "
-            f"when i = p - 1 then shiftleft({behind}, 47) | (m & {(1 << 47) - 65536}L) | {id_of_m} end), x -> x is not null)",
+    def _merged(self, w: str) -> str:
+        """Ids of one word.
+
+        An element is a long: rank of its pair with the next << 47 | offset << 16 |
+        id, so the least element is the pair to merge next, leftmost among equals.
+        Ranks of two bytes come from a square table, those of later pairs from the
+        hashed ones. One step of the fold replaces it and drops its right neighbour; only the two
+        pairs around it are looked up again.
+        """
+        id_of_m = "shiftrightunsigned(m, 47)"
+        before = _let("acc[p - 2]", "x", f"shiftleft({self._rank('(x & 65535)', id_of_m)}, 47) | (x & {(1 << 47) - 1}L)")
+        behind = _let("get(acc, p + 1)", "y", f"if(y is null, {NONE}L, {self._rank(id_of_m, '(y & 65535)')})")
+        merged = f"shiftleft({behind}, 47) | (m & {(1 << 47) - 65536}L) | {id_of_m}"
+        step = _let(
+            "array_min(acc)",
+            "m",
+            f"if({id_of_m} = {NONE}, acc, "
+            + _let("cast(array_position(acc, m) as int)", "p", f"filter(transform(acc, (x, i) -> case when i < p - 2 or i > p then x when i = p then null when i = p - 1 then {merged} else shiftleft({self._rank('(x & 65535)', id_of_m)}, 47) | (x & {(1 << 47) - 1}L) end), x -> x is not null)")
+            + ")",
         )
-        + ")",
-    )
-    pair = rank("cast(b as bigint)", "cast(get(w, j + 1) as bigint)")
-    first = f"transform(w, (b, j) -> shiftleft(if(j = size(w) - 1, {NONE}L, {pair}), 47) | shiftleft(cast(j as bigint), 16) | b)"
-    sql = f"transform({words}, w -> aggregate(slice(w, 2, size(w)), {first}, (acc, _) -> {step}, acc -> transform(acc, x -> cast(x & 65535 as int))))"
-    for i, (slots, _) in enumerate(levels):
-        sql = _let(f"cast(split('{' '.join(map(str, slots))}', ' ') as array<bigint>)", f"ranks{i}", sql)
-    return sql
+        pair = f"coalesce(get(ranks.first, b * {self.bytes_wide} + get({w}, j + 1)), {NONE}L)"
+        first = f"transform({w}, (b, j) -> shiftleft({pair}, 47) | shiftleft(cast(j as bigint), 16) | b)"
+        return f"aggregate(slice({w}, 2, size({w})), {first}, (acc, _) -> {step}, acc -> transform(acc, x -> cast(x & 65535 as int)))"
+
+    def _long(self) -> str:
+        """Ids of the word ``w``, window by window.
+
+        ``at`` is where the next window starts, ``expect`` the token that it must
+        start with, ``wide`` its bytes. Tokens within a window's first half stand, at
+        least two; two windows move on by a piece's length at least, which bounds
+        the steps.
+        """
+        none = "cast(array() as array<int>)"
+        anew = f"named_struct('at', 0, 'wide', 2 * s.wide, 'expect', cast(null as int), 'anew', true, 'ids', {none})"
+        last = "named_struct('at', size(w), 'wide', s.wide, 'expect', cast(null as int), 'anew', s.anew, 'ids', concat(s.ids, t))"
+        stands = "aggregate(t, named_struct('n', 0, 'till', 0, 'before', 0, 'go', true), (a, x) -> if(a.go and a.till + ranks.size[x] <= s.wide / 2, named_struct('n', a.n + 1, 'till', a.till + ranks.size[x], 'before', a.till, 'go', true), named_struct('n', a.n, 'till', a.till, 'before', a.before, 'go', false)))"
+        more = _let(stands, "k", "named_struct('at', s.at + k.before, 'wide', s.wide, 'expect', t[k.n - 1], 'anew', s.anew, 'ids', concat(s.ids, slice(t, 1, k.n - 1)))")
+        tokens = _let("slice(w, s.at + 1, s.wide)", "u", self._merged("u"))
+        step = f"if(s.at >= size(w), s, {_let(tokens, 't', f'if(s.expect <> t[0], {anew}, if(s.at + s.wide >= size(w), {last}, {more}))')})"
+        fold = f"aggregate(sequence(1, {WINDOWS_A_FOLD}), named_struct('at', o.at, 'wide', o.wide, 'expect', o.expect, 'anew', false, 'ids', {none}), (s, _) -> {step})"
+        folds = f"4 * (size(w) div {self.longest * WINDOWS_A_FOLD}) + 4"
+        joined = _let(fold, "s", "named_struct('at', s.at, 'wide', s.wide, 'expect', s.expect, 'ids', if(s.anew, s.ids, concat(o.ids, s.ids)))")
+        return f"aggregate(sequence(1, {folds}), named_struct('at', 0, 'wide', {self.window}, 'expect', cast(null as int), 'ids', {none}), (o, _) -> if(o.at >= size(w), o, {joined}), o -> if(o.at >= size(w), o.ids, cast(raise_error('unfinished word') as array<int>)))"
 
 
 # ---------------------------------------------------------------- the Arrow ends
 
 
+class Words:
+    """Byte strings laid end to end."""
+
+    def __init__(self, words: list[bytes]) -> None:
+        self.blob = np.frombuffer(b"".join(words), np.uint8)
+        self.lengths = np.fromiter(map(len, words), np.int32, len(words))
+
+    @functools.cached_property
+    def ends(self) -> np.ndarray:
+        return np.cumsum(self.lengths, dtype=np.int64)
+
+    def hashes(self) -> np.ndarray:
+        return RunHasher()(self.blob, self.ends - self.lengths, self.ends)
+
+
+def _same(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, blob: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether raw[starts:starts + lengths], non-empty ranges, equals blob[at:at + sizes], range by range."""
+    out = lengths == sizes
+    some = np.flatnonzero(out)
+    if len(some):
+        n = lengths[some].astype(np.int64)
+        first = np.cumsum(n) - n
+        step = np.arange(int(n.sum()))
+        equal = raw[np.repeat(starts[some] - first, n) + step] == blob[np.repeat(at[some] - first, n) + step]
+        out[some] = np.logical_and.reduceat(equal, first)
+    return out
+
+
 class _Splitter:
     """Distinct words of texts, across sub-blocks."""
 
-    def __init__(self, known: np.ndarray) -> None:
+    def __init__(self, known: Words) -> None:
         self.hash = RunHasher()
-        self.known = WordTable(known)
-        self.n_known = len(known)
+        self.known, self.table = known, WordTable(known.hashes())
+        self.n_known = len(known.lengths)
 
     def new_block(self) -> None:
-        self.own: dict[int, int] = {}
+        self.own: dict[bytes, int] = {}
 
     def __call__(self, texts: list[str]) -> tuple[list[np.ndarray], list[bytes]]:
         """Word numbers of each text, and the words numbered for the first time."""
@@ -254,6 +335,7 @@ class _Splitter:
         if not joined:
             return [np.zeros(0, np.int32)] * len(texts), []
         raw = joined.encode()
+        buf = np.frombuffer(raw, np.uint8)
         chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         at = split_points(chars, doc_starts[sizes > 0])
         if len(raw) == len(chars):
@@ -262,19 +344,32 @@ class _Splitter:
             width = 1 + (chars >= 0x80).astype(np.uint8) + (chars >= 0x800) + (chars >= 0x10000)
             starts = (np.cumsum(width, dtype=np.int64) - width)[at]
         ends = np.append(starts[1:], len(raw))
-        hashes = self.hash(np.frombuffer(raw, np.uint8), starts, ends)
-        numbers = self.known.find(hashes)
+        lengths = ends - starts
+        hashes = self.hash(buf, starts, ends)
+        numbers = self.table.find(hashes)
+        hit = np.flatnonzero(numbers >= 0)
+        if len(hit):
+            n = numbers[hit]
+            size = self.known.lengths[n].astype(np.int64)
+            numbers[hit[~_same(buf, starts[hit], lengths[hit], self.known.blob, self.known.ends[n] - size, size)]] = -1
         new: list[bytes] = []
+
+        def number(m: int) -> int:
+            word = raw[starts[m] : ends[m]]
+            n = self.own.get(word)
+            if n is None:
+                n = self.own[word] = self.n_known + len(self.own)
+                new.append(word)
+            return n
+
         if len(miss := np.flatnonzero(numbers < 0)):
-            values, where, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
-            got = np.empty(len(values), np.int32)
-            for i, (h, m) in enumerate(zip(values.tolist(), miss[where].tolist(), strict=True)):
-                n = self.own.get(h)
-                if n is None:
-                    n = self.own[h] = self.n_known + len(self.own)
-                    new.append(raw[starts[m] : ends[m]])
-                got[i] = n
-            numbers[miss] = got[back]
+            _, where, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
+            like = miss[where][back]  # of the same hash
+            got = np.fromiter(map(number, miss[where].tolist()), np.int32, len(where))[back]
+            other = np.flatnonzero(~_same(buf, starts[miss], lengths[miss], buf, starts[like], lengths[like]))
+            for i in other.tolist():
+                got[i] = number(int(miss[i]))
+            numbers[miss] = got
         cuts = np.searchsorted(at, np.append(doc_starts, len(chars)))
         return [numbers[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], new
 
@@ -305,20 +400,21 @@ def _word_rows(words: list[bytes], byte_id: np.ndarray) -> pa.Array:
 _WORDS = pa.list_(pa.list_(pa.int32()))
 
 
-def _split_docs(batches, path: str, known: np.ndarray, schema: pa.Schema):
+def _split_docs(batches, ranks: dict[bytes, int], known: Words, schema: pa.Schema, own: tuple[str, ...]):
     """Rows (block start, words, numbers, kept columns): words go before the documents that hold them."""
-    split, byte_id = _Splitter(known), _byte_ids(read_ranks(path))
-    kept = [f for f in schema if f.name not in ("_fresh", "_words", "_numbers")]
+    split, byte_id = _Splitter(known), _byte_ids(ranks)
+    fresh_, words_, numbers_, text_ = own
+    kept = [f for f in schema if f.name not in own]
     split.new_block()
     fresh = True
 
     def rows(n, fresh, words, numbers, keep):
-        cols = {"_fresh": pa.array([fresh] + [False] * (n - 1)) if n else pa.array([], pa.bool_()), "_words": words, "_numbers": numbers}
+        cols = {fresh_: pa.array([fresh] + [False] * (n - 1)) if n else pa.array([], pa.bool_()), words_: words, numbers_: numbers}
         cols |= keep
         return pa.RecordBatch.from_arrays([cols[f.name].cast(f.type) for f in schema], schema=schema)
 
     for batch in (big.slice(i, BATCH_ROWS) for big in batches for i in range(0, big.num_rows, BATCH_ROWS)):
-        texts = [t or "" for t in batch.column("_text").to_pylist()]
+        texts = [t or "" for t in batch.column(text_).to_pylist()]
         for a, b in _sub_blocks(texts):
             if len(split.own) > BLOCK_WORDS:
                 split.new_block()
@@ -360,14 +456,15 @@ def decode(ids: np.ndarray, pieces: _Csr) -> bytes:
     return pieces.take(ids).tobytes()
 
 
-def _assemble(batches, path: str, cache: tuple[np.ndarray, np.ndarray], schema: pa.Schema, with_ids: bool):
-    pieces = _pieces(read_ranks(path))
+def _assemble(batches, ranks: dict[bytes, int], cache: tuple[np.ndarray, np.ndarray], schema: pa.Schema, with_ids: bool, own: tuple[str, ...]):
+    pieces = _pieces(ranks)
+    fresh_, ids_, numbers_ = own
     flats, lens = [cache[0]], [cache[1]]
     words, stale = None, True
-    names = [f.name for f in schema if f.name not in ("n_tokens", "ids_sha256", "decoded_sha256", "ids")]
+    names = [f.name for f in schema if f.name not in RESULTS]
     for batch in (big.slice(i, BATCH_ROWS) for big in batches for i in range(0, big.num_rows, BATCH_ROWS)):
-        fresh = batch.column("_fresh").to_numpy(zero_copy_only=False)
-        is_doc = batch.column("_numbers").is_valid().to_numpy(zero_copy_only=False)
+        fresh = batch.column(fresh_).to_numpy(zero_copy_only=False)
+        is_doc = batch.column(numbers_).is_valid().to_numpy(zero_copy_only=False)
         # stretches of word rows or of documents, cut where a block starts
         change = np.ones(len(fresh), bool)
         change[1:] = (is_doc[1:] != is_doc[:-1]) | fresh[1:]
@@ -377,8 +474,8 @@ def _assemble(batches, path: str, cache: tuple[np.ndarray, np.ndarray], schema:
                 flats, lens, stale = [cache[0]], [cache[1]], True
             part = batch.slice(a, b - a)
             if not is_doc[a]:
-                merged = part.column("_ids").flatten()
-                flats.append(merged.flatten().to_numpy(zero_copy_only=False).astype(np.int32))
+                merged = part.column(ids_).flatten()
+                flats.append(merged.flatten().to_numpy(zero_copy_only=False).astype(np.uint16))
                 lens.append(merged.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32))
                 stale = True
                 continue
@@ -386,7 +483,7 @@ def _assemble(batches, path: str, cache: tuple[np.ndarray, np.ndarray], schema:
                 flats, lens = [np.concatenate(flats)], [np.concatenate(lens)]
                 words, stale = _Csr(flats[0], lens[0]), False
             n_tokens, ids_hex, text_hex, all_ids = [], [], [], []
-            for numbers in part.column("_numbers").to_pylist():
+            for numbers in part.column(numbers_).to_pylist():
                 ids = words.take(np.frombuffer(numbers, np.int32)).astype("<u4")
                 n_tokens.append(len(ids))
                 ids_hex.append(hashlib.sha256(ids.tobytes()).hexdigest())
@@ -400,9 +497,9 @@ def _assemble(batches, path: str, cache: tuple[np.ndarray, np.ndarray], schema:
             yield pa.RecordBatch.from_arrays([cols[f.name].cast(f.type) for f in schema], schema=schema)
 
 
-def _sample_words(batches, path: str):
-    """Distinct words of the sampled texts, as arrays of byte tokens."""
-    split, byte_id = _Splitter(np.zeros(0, np.uint64)), _byte_ids(read_ranks(path))
+def _sample_words(batches, ranks: dict[bytes, int]):
+    """Distinct words of the sampled texts, without the vocabulary's own pieces."""
+    split = _Splitter(Words(list(ranks)))
     split.new_block()
     for batch in (big.slice(i, BATCH_ROWS) for big in batches for i in range(0, big.num_rows, BATCH_ROWS)):
         texts = [t or "" for t in batch.column(0).to_pylist()]
@@ -410,100 +507,83 @@ def _sample_words(batches, path: str):
             _, new = split(texts[a:b])
             new = [w for w in new if len(w) <= 64]
             if new:
-                yield pa.RecordBatch.from_arrays([_word_rows(new, byte_id).flatten()], names=["word"])
+                yield pa.RecordBatch.from_arrays([pa.array(new, pa.binary())], names=["word"])
             if len(split.own) > BLOCK_WORDS:
                 split.new_block()
 
 
-def word_cache(docs: DataFrame, path: str, cache_docs: int = CACHE_DOCS, cache_words: int = CACHE_WORDS):
-    """(word hashes, flat ids, id counts) of the vocabulary's own pieces and of the words of at most about ``cache_docs`` documents.
+def word_cache(docs: DataFrame, text: str, ranks: dict[bytes, int], merges: Merges, cache_docs: int, cache_words: int):
+    """(words, flat ids, id counts) of the vocabulary's own pieces and of the words of at most about ``cache_docs`` documents.
 
     The sample is chosen by the hash of the text, so reruns agree. The cache
     holds at most ``cache_words`` words besides the vocabulary; what it lacks is
     merged where it occurs, so it bears on speed alone.
     """
-    ranks = read_ranks(path)
     pieces = sorted(ranks, key=ranks.get)
-    hashes, flat, lengths = [_hash_words(pieces)], [np.array([ranks[p] for p in pieces], np.int32)], [np.ones(len(pieces), np.int32)]
+    words, flat, lengths = pieces, [np.array([ranks[p] for p in pieces], np.uint16)], [np.ones(len(pieces), np.int32)]
     n = docs.count()
-    if n and cache_words:
+    if n and cache_docs and cache_words:
+        shared = docs.sparkSession.sparkContext.broadcast(ranks)
         share = min(1.0, cache_docs / n)
-        keep = F.col("_text").isNotNull() if share >= 1 else F.pmod(F.xxhash64("_text"), F.lit(1 << 20)) < int(share * (1 << 20))
-        # cut here, so that the plan with the rank map, which is long as text, has no exchange and is planned once
-        words = reliable(
-            docs.select("_text").where(keep)
-            .mapInArrow(functools.partial(_sample_words, path=path), "word array<int>")
-            .distinct()
-            .limit(cache_words)
-            .repartition(F.xxhash64("word"))
-        )
-        words = (
-            words.mapInArrow(functools.partial(_chunks, path=path), "_hashes array<long>, _words array<array<int>>")
-            .select("_hashes", F.expr(merge_expression("_words", path)).alias("_ids"))
-        )
-        for batch in words.toArrow().to_batches():
-            hashes.append(batch.column(0).flatten().to_numpy().view(np.uint64).copy())
+        keep = F.col(text).isNotNull() if share >= 1 else F.pmod(F.xxhash64(text), F.lit(1 << 20)) < int(share * (1 << 20))
+        found = reliable(docs.select(text).where(keep).mapInArrow(lambda b: _sample_words(b, shared.value), "word binary").distinct().limit(cache_words).repartition(F.xxhash64("word")))
+        chunks = found.mapInArrow(lambda b: _chunks(b, shared.value), "chunk array<binary>, ids array<array<int>>")
+        for batch in merges.apply(chunks, "ids", "ids").toArrow().to_batches():
+            words = words + batch.column(0).flatten().to_pylist()
             ids = batch.column(1).flatten()
-            flat.append(ids.flatten().to_numpy().astype(np.uint16).astype(np.int32))
+            flat.append(ids.flatten().to_numpy().astype(np.uint16))
             lengths.append(ids.value_lengths().to_numpy().astype(np.int32))
         pa.default_memory_pool().release_unused()
-    return np.concatenate(hashes), np.concatenate(flat), np.concatenate(lengths)
+    return Words(words), np.concatenate(flat), np.concatenate(lengths)
 
 
-def _chunks(batches, path: str):
-    """Words, as arrays of byte tokens, gathered into rows of many with their hashes; the vocabulary's own pieces are left out."""
-    ranks = read_ranks(path)
-    back = np.zeros(1 << 16, np.uint8)
-    back[_byte_ids(ranks)] = np.arange(256, dtype=np.uint8)
+def _chunks(batches, ranks: dict[bytes, int]):
+    """Words gathered into rows of many, with their arrays of byte tokens."""
+    byte_id = _byte_ids(ranks)
     for batch in batches:
-        col = batch.column(0)
-        raw = back[col.flatten().to_numpy()].tobytes()
-        ends = np.cumsum(col.value_lengths().to_numpy()).tolist()
-        words = [w for a, b in zip([0, *ends], ends, strict=False) if (w := raw[a:b]) not in ranks]
-        if words:
-            rows = _word_rows(words, _byte_ids(ranks))
-            hashes = pa.ListArray.from_arrays(rows.offsets, pa.array(_hash_words(words).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([hashes, rows], names=["_hashes", "_words"])
+        if batch.num_rows:
+            rows = _word_rows(batch.column(0).to_pylist(), byte_id)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(rows.offsets, batch.column(0).cast(pa.binary())), rows], names=["chunk", "ids"])
 
 
-def _hash_words(words: list[bytes]) -> np.ndarray:
-    if not words:
-        return np.zeros(0, np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-    starts = ends - np.fromiter(map(len, words), np.int64, len(words))
-    return RunHasher()(np.frombuffer(b"".join(words), np.uint8), starts, ends)
+#: Columns that :func:`encode` adds.
+RESULTS = ("n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", with_ids: bool = True, cache_docs: int = CACHE_DOCS) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", with_ids: bool = True, cache_docs: int = CACHE_DOCS, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Every column of ``docs`` except those it replaces, with n_tokens, ids_sha256, decoded_sha256 and, if asked, ids array<int>.
 
     A null text counts as empty: no ids, digests of nothing. Columns named like
-    the results are replaced. A path is a rank file of base64 pieces and ranks.
-    Repeated rows stay; an empty table gives an empty result.
+    the results are replaced, the text column is left out; any others stay,
+    whatever their names. A path is a rank file of base64 pieces and ranks, read
+    on the driver alone. Words may be of any length. Repeated rows stay; an empty
+    table gives an empty result.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
+
     spark = docs.sparkSession
-    results = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
-    names = [c for c in docs.columns if c not in (*results, "_fresh", "_words", "_numbers", "_ids", "_text")]
     if text not in docs.columns:
         raise ValueError(f"no column {text}")
-    slim = docs.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text}`").alias("_text"))
-    hashes, flat, lengths = word_cache(slim, path, cache_docs)
-    known = spark.sparkContext.broadcast(hashes)
-    merged = spark.sparkContext.broadcast((flat, lengths))
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
+    names = [c for c in docs.columns if c not in RESULTS[: 3 + with_ids] and c != text]
+    fresh, words, numbers, ids, raw = unused([*docs.columns, *RESULTS], "fresh", "words", "numbers", "ids", "text")
+    slim = docs.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text}`").alias(raw))
+    ranks = read_ranks(path)
+    merges = Merges(spark, ranks)
+    cached, flat, lengths = word_cache(slim, raw, ranks, merges, cache_docs, cache_words)
+    known = spark.sparkContext.broadcast((ranks, cached))
+    merged = spark.sparkContext.broadcast((ranks, flat, lengths))
 
-    keep = [StructField(f.name, f.dataType, True) for f in slim.schema if f.name != "_text"]
-    mid = StructType([StructField("_fresh", BooleanType()), StructField("_words", ArrayType(ArrayType(IntegerType()))), StructField("_numbers", BinaryType()), *keep])
+    keep = [StructField(f.name, f.dataType, True) for f in slim.schema if f.name != raw]
+    mid = StructType([StructField(fresh, BooleanType()), StructField(words, ArrayType(ArrayType(IntegerType()))), StructField(numbers, BinaryType()), *keep])
     out = StructType([*keep, StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType()), *[StructField("ids", ArrayType(IntegerType()))] * with_ids])
     mid_arrow, out_arrow = to_arrow_schema(mid), to_arrow_schema(out)
 
     def split(batches):
-        return _split_docs(batches, path, known.value, mid_arrow)
+        return _split_docs(batches, *known.value, mid_arrow, (fresh, words, numbers, raw))
 
     def assemble(batches):
-        return _assemble(batches, path, merged.value, out_arrow, with_ids)
+        ranks, flat, lengths = merged.value
+        return _assemble(batches, ranks, (flat, lengths), out_arrow, with_ids, (fresh, ids, numbers))
 
-    words = slim.mapInArrow(split, mid)
-    ids = words.select("_fresh", "_numbers", F.expr(merge_expression("_words", path)).alias("_ids"), *(F.col(f"`{f.name}`") for f in keep))
-    return ids.mapInArrow(assemble, out)
+    return merges.apply(slim.mapInArrow(split, mid), words, ids).mapInArrow(assemble, out)

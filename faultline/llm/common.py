@@ -38,6 +38,14 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Each name with as many underscores before it as set it apart from all of ``columns``, in any case of letters."""
+    taken, start = {c.lower() for c in columns}, "_"
+    while any(start + n.lower() in taken for n in names):
+        start += "_"
+    return [start + n for n in names]
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) mod 2**64, by doubling."""
     out = np.ones(n, np.uint64)
