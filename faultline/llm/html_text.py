@@ -7,8 +7,11 @@ aligned columns.
 
 from __future__ import annotations
 
+import bisect
+import collections
 import hashlib
 import html
+import itertools
 import re
 import unicodedata
 
@@ -16,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+#: One attribute, or what ends a tag.
+_ATTR = re.compile(r"[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+)|(?=>)|([\"'])))?)")
 _UNSEEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
@@ -54,93 +58,154 @@ _CONTEXT = {
 _SECTIONS = ("thead", "tbody", "tfoot")
 #: Anything else, like text that isn't blank, ends an open head.
 _IN_HEAD = frozenset("head base basefont bgsound link meta title style script noscript noframes template".split())
-#: Nesting beyond this is flattened, so hostile pages can't exhaust the stack.
+#: The tree isn't deeper than this: elements nested farther share their parent's parts, but keep their place, ends and visibility.
 MAX_DEPTH = 200
+_CELLS = ("td", "th", "table")
+_TABLE_PARTS = ("table", "tr", "tbody", "thead", "tfoot")
+#: Columns and rows that a cell may span.
+_MOST_COLUMNS, _MOST_ROWS = 1000, 65534
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parts")
+    __slots__ = ("tag", "attrs", "parts", "flat")
 
     def __init__(self, tag: str, attrs: dict[str, str]) -> None:
-        self.tag, self.attrs, self.parts = tag, attrs, []
+        self.tag, self.attrs, self.parts, self.flat = tag, attrs, [], False
 
 
-def _attributes(source: str) -> dict[str, str]:
+def _attributes(source: str, at: int) -> tuple[dict[str, str], int]:
+    """Attributes of a tag whose name ends at ``at``, and where the tag ends; a quote that nothing closes ends with the tag, at the next ``>``, which must exist."""
     out: dict[str, str] = {}
-    for m in _ATTR.finditer(source):
-        value = m[2] or ""
-        out.setdefault(m[1].lower(), html.unescape(value[1:-1] if value[:1] in "\"'" else value) if value else "")
-    return out
+    begin = at
+    while m := _ATTR.match(source, at):
+        if m[1]:
+            return out, m.end()
+        if m[6]:
+            break
+        at = m.end()
+        name = m[2].lower()
+        if name not in out:
+            value = next((v for v in (m[3], m[4], m[5]) if v is not None), "")
+            out[name] = html.unescape(value) if "&" in value else value
+    return out, source.index(">", begin) + 1
+
+
+class _Stack:
+    """Open elements, the root at 0, with the places of each tag's."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes, self.places = [root], collections.defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.places[node.tag].append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, to: int) -> None:
+        """Ends all from ``to`` on."""
+        for node in self.nodes[to:]:
+            self.places[node.tag].pop()
+            if node.flat and node.tag in _BLOCK:
+                node.parts.append(Node("div", {}))
+        del self.nodes[to:]
+
+    def nearest(self, tags) -> int:
+        """Place of the innermost open element of these tags, 0 if none is."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def close(self, tags, until) -> None:
+        """Ends the elements of these tags, and what is in them, up to the boundary."""
+        while (i := self.nearest(tags)) > self.nearest(until):
+            self.cut(i)
 
 
 def parse(source: str) -> Node:
+    """The tree of a page, in time linear in its length; a tag that no ``>`` ends is text."""
     root = Node("html", {})
-    stack = [root]
+    stack = _Stack(root)
+
+    def add(part) -> None:
+        stack.nodes[-1].parts.append(part)
 
     def text(value: str) -> None:
         if value:
             value = html.unescape(value)
-            if stack[-1].tag == "head" and value.strip(" \t\n\r\f"):
-                stack.pop()
-            stack[-1].parts.append(value)
-
-    def close(tags, until) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in until:
-                return
-            if stack[i].tag in tags:
-                del stack[i:]
-                return close(tags, until)
+            if stack.nodes[-1].tag == "head" and value.strip(" \t\n\r\f"):
+                stack.cut(len(stack.nodes) - 1)
+            add(value)
+
+    def open_(node: Node) -> None:
+        if len(stack.nodes) >= MAX_DEPTH and stack.nodes[-1].tag not in _UNSEEN and _visible(node):
+            if node.tag in _BLOCK:
+                add(Node("div", {}))
+            node.flat, node.parts = True, stack.nodes[-1].parts
+        else:
+            add(node)
+        stack.push(node)
 
+    last = source.rfind(">")
     at, n = 0, len(source)
-    while at < n:
-        m = _TOKEN.search(source, at)
-        if m is None:
-            text(source[at:])
+    begin = 0  # of the text not yet added
+    while True:
+        at = source.find("<", at)
+        if at < 0 or at > last and not source.startswith("<!--", at):
             break
-        text(source[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        m = _TAG.match(source, at)
+        if m is None:
+            if source.startswith("<!--", at):
+                text(source[begin:at])
+                if source.startswith((">", "->"), at + 4):
+                    at = source.index(">", at) + 1
+                else:
+                    end = source.find("-->", at + 4)
+                    at = end + 3 if end >= 0 else n
+                begin = at
+            elif source.startswith(("<!", "<?", "</"), at) and (source[at + 1] != "/" or source[at + 2 : at + 3].strip()):
+                text(source[begin:at])
+                at = begin = source.index(">", at) + 1
+            else:
+                at += 1
             continue
+        text(source[begin:at])
         tag = m[2].lower()
+        if last < m.end():
+            begin = at
+            break
+        attrs, at = _attributes(source, m.end())
+        begin = at
         if m[1]:
-            if tag == "p" and not any(x.tag == "p" for x in stack):
-                stack[-1].parts.append(Node("p", {}))
+            if tag == "p" and not stack.places["p"]:
+                add(Node("p", {}))
             elif tag not in ("html", "body"):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
-                        break
+                i = stack.nearest((tag,))
+                if i and (tag in _TABLE_PARTS or i >= stack.nearest(_CELLS)):
+                    stack.cut(i)
             continue
-        if tag in ("html", "head") and tag == "html":
+        if tag == "html":
             continue
-        if stack[-1].tag == "head" and tag not in _IN_HEAD:
-            stack.pop()
+        if stack.nodes[-1].tag == "head" and tag not in _IN_HEAD:
+            stack.cut(len(stack.nodes) - 1)
         if tag in _ENDS:
-            close(*_ENDS[tag])
+            stack.close(*_ENDS[tag])
         if tag in _CONTEXT:
-            place = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in _CONTEXT[tag]), 0)
+            place = stack.nearest(_CONTEXT[tag])
             if place:
-                del stack[place + 1 :]
-                if tag in ("td", "th") and stack[-1].tag != "tr" and len(stack) < MAX_DEPTH:
-                    row = Node("tr", {})
-                    stack[-1].parts.append(row)
-                    stack.append(row)
+                stack.cut(place + 1)
+                if tag in ("td", "th") and stack.nodes[-1].tag != "tr":
+                    open_(Node("tr", {}))
         if tag in _ENDS_P:
-            close(("p",), ("td", "th", "table", "button", "object", "caption"))
-        node = Node(tag, _attributes(m[3]) if m[3].strip(" /") else {})
-        stack[-1].parts.append(node)
+            stack.close(("p",), ("td", "th", "table", "button", "object", "caption"))
+        node = Node(tag, attrs)
         if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
+            add(node)
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
             body = source[at : end.start() if end else n]
             node.parts.append(html.unescape(body) if tag in ("textarea", "title") else body)
-            at = end.end() if end else n
-        elif tag == "form" and stack[-1].tag in ("table", "tr", *_SECTIONS):
-            pass  # as in browsers, its rows and cells are the table's
-        elif tag not in _VOID and len(stack) < MAX_DEPTH:
-            stack.append(node)
+            at = begin = source.find(">", end.end()) + 1 or n if end else n
+        elif tag in _VOID or tag == "form" and stack.nodes[-1].tag in ("table", "tr", *_SECTIONS):
+            add(node)  # a form in a table is empty as in browsers: its rows and cells are the table's
+        else:
+            open_(node)
+    text(source[begin:])
     return root
 
 
@@ -324,11 +389,12 @@ def _table(node: Node) -> list[str]:
     loose.parts.extend(_loose(node))  # as browsers do, before the table
     out = _lines(loose) + out
     grid: list[list[tuple[int, int, str]]] = []
-    down: dict[int, int] = {}
-    for row in _rows(node):
-        cells, column = [], 0
-        taken = {c for c, k in down.items() if k > 0}
-        down = {c: k - 1 for c, k in down.items() if k > 1}
+    down: list[tuple[int, int, int]] = []  # columns that cells of rows before take: first, end, first row that is free again
+    for number, row in enumerate(_rows(node)):
+        cells, column, fresh = [], 0, []
+        down = [d for d in down if d[2] > number]
+        taken = iter(down)
+        ahead = next(taken, None)
         for part in row.parts:
             if not (isinstance(part, Node) and part.tag in ("td", "th")):
                 if isinstance(part, Node) or part.strip():
@@ -339,37 +405,44 @@ def _table(node: Node) -> list[str]:
                     continue
             if not _visible(part):
                 continue
-            while column in taken:
-                column += 1
-            span = min(int(s), 100) if (s := part.attrs.get("colspan", "1")).isdigit() and s.isascii() and int(s) else 1
-            tall = min(int(s), 1000) if (s := part.attrs.get("rowspan", "1")).isdigit() and s.isascii() and int(s) else 1
-            for c in range(column, column + span):
-                if tall > 1:
-                    down[c] = tall - 1
+            while ahead and ahead[0] <= column:
+                column = max(column, ahead[1])
+                ahead = next(taken, None)
+            span, tall = _span(part, "colspan", _MOST_COLUMNS), _span(part, "rowspan", _MOST_ROWS)
+            if tall > 1:
+                if fresh and fresh[-1][1:] == (column, number + tall):
+                    fresh[-1] = (fresh[-1][0], column + span, number + tall)
+                else:
+                    fresh.append((column, column + span, number + tall))
             cells.append((column, span, " ".join(x.strip() for x in _lines(part) if x.strip())))
             column += span
+        if fresh:
+            down = sorted(down + fresh)
         grid.append(cells)
     widths: dict[int, int] = {}
     for cells in grid:
         for column, span, value in cells:
-            if span == 1:
+            if span == 1 and value:
                 widths[column] = max(widths.get(column, 0), _width(value))
-    starts, at = {}, 0
-    for c in range(max((c + s for cells in grid for c, s, _ in cells), default=0)):
-        starts[c] = at
-        at += widths.get(c, 0) + 2 if widths.get(c, 0) else 0
+    used = sorted(widths)
+    starts = [0, *itertools.accumulate(widths[c] + 2 for c in used)]
     for cells in grid:
-        line, room = "", 0
+        line, room = [], 0
         for column, _, value in cells:
             if value:
-                pad = max(starts[column] - room, 2 if room else 0)
-                line += " " * pad + value
+                pad = max(starts[bisect.bisect_left(used, column)] - room, 2 if room else 0)
+                line.append(" " * pad + value)
                 room += pad + _width(value)
-        if line.strip():
-            out.append(line.rstrip())
+        if line:
+            out.append("".join(line).rstrip())
     return out
 
 
+def _span(cell: Node, name: str, most: int) -> int:
+    value = cell.attrs.get(name, "").strip()
+    return max(1, min(int(value[:9]), most)) if value.isascii() and value.isdigit() else 1
+
+
 def render(source: str | None) -> str:
     """Visible text of a page; empty for null or empty source."""
     return "\n".join(_lines(parse(source or "")))
@@ -379,23 +452,24 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     """Every column of ``pages`` except the source, with text, n_chars, n_lines, text_sha256.
 
     A null or empty page gives an empty text. Repeated rows stay; columns named
-    like the results are replaced; an empty table gives an empty result.
+    like the results are replaced, any others stay, whatever their names; an
+    empty table gives an empty result.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import LongType, StringType, StructField, StructType
 
     results = ("text", "n_chars", "n_lines", "text_sha256")
     names = [c for c in pages.columns if c not in (*results, column)]
-    slim = pages.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{column}`").alias("_html"))
-    schema = StructType([*(StructField(f.name, f.dataType, True) for f in slim.schema if f.name != "_html"), StructField("text", StringType()), StructField("n_chars", LongType()), StructField("n_lines", LongType()), StructField("text_sha256", StringType())])
+    slim = pages.select(F.col(f"`{column}`"), *(F.col(f"`{c}`") for c in names))
+    schema = StructType([*(StructField(f.name, f.dataType, True) for f in slim.schema[1:]), StructField("text", StringType()), StructField("n_chars", LongType()), StructField("n_lines", LongType()), StructField("text_sha256", StringType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                texts = [render(x) for x in part.column("_html").to_pylist()]
-                cols = [part.column(n) for n in names] + [
+                texts = [render(x) for x in part.column(0).to_pylist()]
+                cols = part.columns[1:] + [
                     pa.array(texts, pa.string()),
                     pa.array([len(t) for t in texts], pa.int64()),
                     pa.array([t.count("\n") + 1 if t else 0 for t in texts], pa.int64()),
