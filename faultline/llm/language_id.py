@@ -14,8 +14,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a dictionary; bytes of it from one document at most; languages learned at most.
-DICT_BYTES, PASSAGE_BYTES, MAX_LANGUAGES = 1 << 16, 500, 256
+from .common import reliable
+
+#: Bytes of a dictionary; bytes of it from one document at most; bytes of all dictionaries, which share them equally where there are very many languages.
+DICT_BYTES, PASSAGE_BYTES, ALL_BYTES = 1 << 16, 500, 1 << 28
+#: Languages whose counts are broadcast at most.
+BROADCAST_ROWS = 100_000
 #: Bytes of a document's pieces.
 PIECE_BYTES = 1024
 #: Relative margins below these get a second look, and are rejected after it.
@@ -38,27 +42,32 @@ def has_letter(text: str) -> bool:
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """Language -> dictionary, from a bounded sample of the rows whose text and language are not null.
 
-    A language's sample is the texts of the smallest hashes, each text once, at
-    most PASSAGE_BYTES of each and DICT_BYTES in all; the MAX_LANGUAGES most
-    frequent languages are learned. One aggregation finds how many rows a
-    language has, so only about as many as needed are shuffled.
+    Every language that a row names is learned. Its sample is the texts of the
+    smallest hashes, each text once, a passage of at most PASSAGE_BYTES from a
+    hashed place in each, and DICT_BYTES in all (less where ALL_BYTES are shared
+    by more than 4096 languages). One aggregation finds how many rows a language
+    has, so only about as many as needed are shuffled.
     """
     rows = docs.select(F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l")).where("t is not null and l is not null and trim(l) <> ''")
-    counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).collect()
-    if not counts:
+    counts = reliable(rows.groupBy("l").count())
+    languages = counts.count()
+    if not languages:
         return {}
-    want = 8 * DICT_BYTES // PASSAGE_BYTES
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["l"]), F.lit(int(min(1.0, want / r["count"]) * (1 << 30))))])
+    size = min(DICT_BYTES, max(PASSAGE_BYTES, ALL_BYTES // languages))
+    want = 8 * size // PASSAGE_BYTES
+    h, room = F.xxhash64("t"), 4 * PASSAGE_BYTES
     sample = (
-        rows.withColumn("h", F.xxhash64("t"))
-        .where(F.pmod("h", F.lit(1 << 30)) < F.element_at(share, F.col("l")))
+        rows.join(F.broadcast(counts) if languages <= BROADCAST_ROWS else counts, "l")
+        .withColumn("h", h)
+        .where(F.pmod("h", F.lit(1 << 30)) < F.least(F.lit(1.0), want / F.col("count")) * (1 << 30))
+        .select("l", "h", F.substring("t", F.pmod(F.shiftright("h", 30), F.greatest(F.length("t") - room, F.lit(0)) + 1).cast("int") + 1, F.lit(room)).alias("t"))
         .groupBy("l", "h")
-        .agg(F.first(F.substring("t", 1, 4 * PASSAGE_BYTES)).alias("t"))
+        .agg(F.min("t").alias("t"))
     )
     per: dict[str, list] = {}
     for r in sample.toLocalIterator():
         per.setdefault(r["l"], []).append((r["h"] % (1 << 30), r["h"], letters(r["t"])[:PASSAGE_BYTES]))
-    return {lang: b" ".join(p for _, _, p in sorted(parts))[:DICT_BYTES] for lang, parts in sorted(per.items())}
+    return {lang: b" ".join(p for _, _, p in sorted(parts))[:size] for lang, parts in sorted(per.items())}
 
 
 class Classifier:
@@ -135,6 +144,11 @@ def held_out(doc_id: str, parts: int, part: int):
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that are rejected, in the same columns."""
+    """``docs`` without the documents that are rejected, in the same columns.
+
+    Rejected are null texts, texts without a letter, and those whose smallest
+    encodings of two languages are too close to tell. Repeated rows stay or go
+    together; without any labelled row nothing can be told and all go.
+    """
     found = identify(docs, learn(docs.where(~held_out("doc_id", 3, 1))))
     return found.where("lang_accepted").select(*docs.columns)
