@@ -160,19 +160,26 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     p = seen.column("n").to_numpy().astype(float)
     lam = _lambda(seen.column("s").to_numpy(), p / max(p.sum(), 1)) if len(p) else 1.0
     model = Model(scores, lam, 0.0, 1.0, 0.0)
-    shared = session.broadcast(model)
 
-    def best(batches):
-        scan = _Scan(shared.value)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            out = [(len(s), [x for *_, x in segments(s)]) for a, b in sub_blocks(texts) for s in scan.token_scores(texts[a:b])[0]]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.float64())), batch.column(1)], names=["n", "s", "toxic"])
-
-    fit = rows.mapInArrow(best, "n long, s array<double>, toxic int").toArrow().to_pylist()
-    tops = [lam * max(r["s"], default=0.0) - math.log(r["n"]) for r in fit if not r["toxic"] and r["n"]]
-    model.log_k = -math.log(np.mean(np.exp(-np.array(tops)))) if tops else 0.0
-    x = np.array([statistic([(0, 0, s) for s in r["s"]], r["n"], lam, model.log_k) for r in fit])
+    def per_document(value):
+        """A job over the sample that gives ``value(segments, tokens, model)`` and the label of each document."""
+        shared = session.broadcast(model)
+
+        def run(batches):
+            scan = _Scan(shared.value)
+            for batch in batches:
+                texts = batch.column(0).to_pylist()
+                out = [value(segments(s), len(s), scan.model) for a, b in sub_blocks(texts) for s in scan.token_scores(texts[a:b])[0]]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64()), batch.column(1)], names=["x", "toxic"])
+
+        return rows.mapInArrow(run, "x double, toxic int")
+
+    tops = per_document(lambda found, n, m: m.lam * max((x for *_, x in found), default=0.0) - math.log(n) if n else None)
+    fair = tops.where("toxic = 0 and x is not null").agg(F.avg(F.exp(-F.col("x")))).first()[0]
+    model.log_k = round(-math.log(fair), 9) if fair else 0.0
+    fit = per_document(lambda found, n, m: statistic(found, n, m.lam, m.log_k)).toArrow().to_pylist()  # two numbers a document of the sample
+    fit.sort(key=lambda r: (r["x"], r["toxic"]))
+    x = np.array([r["x"] for r in fit])
     t = np.array([r["toxic"] for r in fit], float)
     weight = np.where(t > 0, 1 / share[1], 1 / share[0])
     model.slope, model.intercept = _logistic(x, t, weight)
