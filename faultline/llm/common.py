@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,37 +98,47 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def groups(batches) -> Iterator[pa.Table]:
+    """Runs of rows with equal first column, of batches sorted by it; small runs come many in one table."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        key = batch.column(0).to_numpy()
+        last = int(np.searchsorted(key, key[-1], "left"))
+        if held and last > 0 or held and held[-1].column(0)[-1].as_py() != key[0]:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        elif last > 0:
+            yield pa.Table.from_batches([batch.slice(0, last)])
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a long, b long)``: rows ``(id, component)`` for every id on an edge.
 
     component is the smallest id reachable. Alternates large-star and small-star
-    steps until the edge set no longer changes; every step is an aggregation by
-    id with partial sums and a join back, so a hub costs no more memory than its
-    edges, and each round is checkpointed. Null ends and self-loops are ignored.
+    steps until the edge set no longer changes. The least neighbours have partial
+    sums, and each table is checkpointed before a join, so both sides of a join
+    are plain shuffles that adaptive execution splits where an id is a hub. Null
+    ends and self-loops are ignored.
     """
-    e = (
-        edges.where("a <> b")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-    )
-    e = reliable(e)
+    e = reliable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
         now = e.agg(F.count("*").alias("n"), F.sum(F.expr("cast(xxhash64(a, b) as decimal(38,0))")).alias("s")).first()
         if now["n"] == 0 or (before is not None and tuple(now) == before):
             break
         before = tuple(now)
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        e = reliable(
-            small.select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .unionByName(small.select("a", F.col("m").alias("b")))
-            .where("a <> b")
-            .distinct()
-        )
+        # the larger neighbours of an id go over to its least one
+        low = reliable(e.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m")))
+        e = reliable(e.join(low, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct())
+        # an id and its smaller neighbours go over to the least of them
+        low = reliable(e.groupBy("a").agg(F.min("b").alias("m")))
+        e = e.join(low, "a")
+        e = reliable(e.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
     nodes = e.select(F.col("a").alias("id"), F.col("b").alias("component"))
     roots = e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return nodes.unionByName(roots)

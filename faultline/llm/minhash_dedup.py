@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RunHasher, components, mix, reliable
+from .common import RunHasher, components, groups, mix, reliable
 
 SYMBOLS, MAX_ERRORS, CHUNKS = 40, 17, 9
 #: Rows of a bucket, and documents of a candidate component, in one block.
 BUCKET_BLOCK, TEXT_BLOCK = 4096, 1024
+#: Documents with candidates that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 #: Characters whose shingles are computed at once, at least.
 SUB_BLOCK = 1 << 18
 
@@ -140,24 +142,6 @@ def _chunk_keys(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cid)], names=["key", "cid"])
 
 
-def _groups(batches) -> Iterator[pa.Table]:
-    """Runs of rows with equal first column, of batches sorted by it; small runs come many in one table."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        key = batch.column(0).to_numpy()
-        last = int(np.searchsorted(key, key[-1], "left"))
-        if held and last > 0 or held and held[-1].column(0)[-1].as_py() != key[0]:
-            yield pa.Table.from_batches([*held, batch.slice(0, last)])
-            held = []
-        elif last > 0:
-            yield pa.Table.from_batches([batch.slice(0, last)])
-        held.append(batch.slice(last))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _spread(n: int, near) -> Iterator[tuple[int, int]]:
     """A spanning forest of n nodes under ``near(i, others) -> bool array``; pairs already connected aren't compared."""
     rest = np.arange(n)
@@ -174,7 +158,7 @@ def _spread(n: int, near) -> Iterator[tuple[int, int]]:
 
 
 def _near_signatures(batches):
-    for t in _groups(batches):
+    for t in groups(batches):
         key, cid = t.column(0).to_numpy(), t.column(1).to_numpy()
         sig = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
         start = np.flatnonzero(np.diff(key, prepend=key[0] - 1 if key[0] > -(2**63) else 0))
@@ -199,7 +183,7 @@ def _near_signatures(batches):
 def _confirm(width: int, percent: int):
     def run(batches):
         shingle = Shingler(width)
-        for t in _groups(batches):
+        for t in groups(batches):
             key = t.column(0).to_numpy()
             cuts = np.append(np.flatnonzero(np.diff(key, prepend=key[0])), len(key))
             cuts = cuts if cuts[0] == 0 else np.append(0, cuts)
@@ -278,7 +262,7 @@ def classes(docs: DataFrame, width: int, percent: int = 85, doc_id: str = "doc_i
     candidates = components(near)
     sizes = candidates.groupBy("component").agg(F.count("*").alias("n"))
     members = reliable(candidates.join(sizes, "component").join(sets.select(F.col("cid").alias("id"), F.col("rep").alias("doc_id")), "id").select("component", "n", F.col("id").alias("cid"), "doc_id"))
-    small = members.count() <= 1_000_000
+    small = members.count() <= BROADCAST_ROWS
     texts = slim.join(F.broadcast(members) if small else members, "doc_id").select("component", "n", "cid", "text")
     tasks = _blocked(texts, "component", "n", TEXT_BLOCK).select("task", "cid", "text")
     links = tasks.repartition(F.col("task")).sortWithinPartitions("task").mapInArrow(_confirm(width, percent), "a long, b long")
