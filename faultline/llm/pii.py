@@ -1,7 +1,9 @@
 r"""Personal data by patterns, checksums and context, in SQL functions alone.
 
 Regular expressions propose spans, checksums (Luhn, mod 97) and ranges confirm
-them, words near a span adjust its score. All patterns are linear in the
+them, words near a span adjust its score. Secrets (keys, tokens, passwords) are
+spans too: what is assigned to a name of a secret, or has the form of a known
+issuer's keys, and mixes letters and digits. All patterns are linear in the
 text: quantifiers that can't match otherwise are possessive, and a look-behind
 keeps a run of characters from being tried from each of its positions.
 """
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: Kinds of the base, in order, then those that the method adds.
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "ssn", "imei")
+KINDS = (*BASE, "iban", "ssn", "imei", "secret")
 
 #: Each pattern equals the plain one named beside it on every text that can pass its validator.
 PATTERNS = {
@@ -29,8 +31,15 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "imei": r"(?<![0-9])[0-9]{15}(?![0-9])",
+    # an assignment, the span being its value, or a key of a known form
+    "secret": r"(?:[Tt][Oo][Kk][Ee][Nn]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Pp][Ww][Dd]|[Kk][Ee][Yy])[\"']?[\x20\t]*(?:=>|:=|=|:)[\x20\t]*[\"']?[A-Za-z0-9+/_.~-]{12,}={0,2}"
+    r"|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_-]{35}"
+    r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN[\x20][A-Z\x20]*PRIVATE[\x20]KEY-----[A-Za-z0-9+/=\s]*-----END[\x20][A-Z\x20]*PRIVATE[\x20]KEY-----",
 }
 
+#: The part of a secret's match that is the secret.
+SECRET_VALUE = r"(?s)-----BEGIN.*|[A-Za-z0-9+/_.~-]{12,}={0,2}$"
+
 #: Texts without this have no span of the kind.
 NEEDS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
 
@@ -53,9 +62,10 @@ CONTEXT = {
     "iban": r"(?i)\b(?:iban|account|bank|konto|compte|cuenta)\b",
     "ssn": r"(?i)\b(?:ssn|social|security|tax)\b",
     "imei": r"(?i)\b(?:imei|device|handset)\b",
+    "secret": r"(?i)\b(?:secret|token|password|key|credential|bearer)\b",
 }
 #: Characters before and after a span in which context words count; score of a confirmed span, what context adds, the least score kept.
-WINDOW, CONFIRMED, CONTEXT_ADDS = 40, {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.3, "imei": 0.3}, 0.3
+WINDOW, CONFIRMED, CONTEXT_ADDS = 40, {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.3, "imei": 0.3, "secret": 0.7}, 0.3
 LEAST_SCORE = 0.5
 
 _DIGITS = "regexp_replace(m, '[^0-9]', '')"
@@ -84,6 +94,7 @@ VALID = {
     "iban": _with("concat(substring(regexp_replace(m, ' ', ''), 5), substring(m, 1, 4))", f"length(d) between 15 and 34 and {_MOD97}"),
     "ssn": "m rlike '^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$'",
     "imei": _with("m", _LUHN),
+    "secret": "m rlike '[0-9]' and m rlike '[A-Za-z]'",
 }
 
 def _iban_end() -> str:
@@ -119,16 +130,20 @@ def found(kind: str, text: str) -> str:
     reaches over other matches of the kind, and the work stays linear.
     """
     pattern = _sql(PATTERNS[kind])
-    span = "ms[i - 1]" if kind != "iban" else _with(f"concat(ms[i - 1], {_ahead('i', _IBAN_ROOM - 4)})", IBAN_END, "w")
+    span, first = "ms[i - 1]", "acc.at + length(ps[i - 1])"
+    if kind == "iban":
+        span = _with(f"concat(ms[i - 1], {_ahead('i', _IBAN_ROOM - 4)})", IBAN_END, "w")
+    elif kind == "secret":
+        span, first = f"regexp_extract(ms[i - 1], {_sql(SECRET_VALUE)}, 0)", "acc.at + length(ps[i - 1]) + length(ms[i - 1]) - length(m)"
     valid = VALID[kind] if kind != "iban" else "m is not null and (size(acc.out) = 0 or element_at(acc.out, -1).last <= acc.at + length(ps[i - 1]))"
     after = _ahead("i", WINDOW) if kind != "iban" else f"substring({_ahead('i', WINDOW + _IBAN_ROOM)}, length(m) - 3, {WINDOW})"
     fold = (
         "aggregate(sequence(1, size(ms)), named_struct('at', 0, 'before', '', 'out', cast(array() as {span_type})), (acc, i) -> "
         "named_struct('at', acc.at + length(ps[i - 1]) + length(ms[i - 1]), 'before', right(concat(acc.before, right(ps[i - 1], {window}), right(ms[i - 1], {window})), {window}), "
         "'out', aggregate(cast(array() as array<int>), {span}, (m, _) -> m, m -> "
-        "if({valid}, concat(acc.out, array(named_struct('kind', {kind}, 'first', acc.at + length(ps[i - 1]), 'last', acc.at + length(ps[i - 1]) + length(m), "
+        "if({valid}, concat(acc.out, array(named_struct('kind', {kind}, 'first', {first}, 'last', {first} + length(m), "
         "'score', cast({sure} as double) + if(right(concat(acc.before, right(ps[i - 1], {window})), {window}) rlike {context} or {after} rlike {context}, {adds}D, 0D)))), acc.out))), acc -> acc.out)"
-    ).format(span_type=_SPAN, span=span, valid=valid, kind=_sql(kind), sure=CONFIRMED[kind], window=WINDOW, context=_sql(CONTEXT[kind]), after=after, adds=CONTEXT_ADDS)
+    ).format(span_type=_SPAN, span=span, first=first, valid=valid, kind=_sql(kind), sure=CONFIRMED[kind], window=WINDOW, context=_sql(CONTEXT[kind]), after=after, adds=CONTEXT_ADDS)
     spans = (
         f"aggregate(cast(array() as array<int>), regexp_extract_all({text}, {pattern}, 0), (ms, _) -> ms, ms -> if(size(ms) = 0, cast(array() as {_SPAN}), "
         f"aggregate(cast(array() as array<int>), split({text}, {pattern}, -1), (ps, _) -> ps, ps -> {fold})))"
