@@ -18,7 +18,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A source is taken at most this often.
 MAX_REPEATS = 3
 #: Documents of one bucket of the order, about; a source's window never spans more.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
+
+
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` with ``number``, the place of each row in this order from 0: ranges of the order are sorted apart, and only their counts are added up in one task."""
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = "__" + "_".join(["range", *df.columns])  # no column has this name
+    parts = reliable(df.repartitionByRange(ranges, *order).withColumn(at, F.spark_partition_id()))
+    before = Window.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy(at).count().select(at, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("number"))
+    inside = F.row_number().over(Window.partitionBy(at).orderBy(*order)) - 1
+    return parts.withColumn("_inside", inside).join(F.broadcast(starts), at).select(*df.columns, (F.col("number") + F.col("_inside")).alias("number"))
 
 
 def targets(sources: DataFrame, total: int) -> DataFrame:
@@ -30,8 +41,7 @@ def targets(sources: DataFrame, total: int) -> DataFrame:
     is found by aggregates over the sources' table; only its totals reach the
     driver.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    s = sources.withColumn("weight", (F.row_number().over(order) - 1) % 3 + 1).withColumn("cap", F.col("source_size") * MAX_REPEATS)
+    s = numbered(sources, F.col("source").isNull(), F.col("source")).withColumn("weight", (F.col("number") % 3 + 1).cast("int")).drop("number").withColumn("cap", F.col("source_size") * MAX_REPEATS)
     s = reliable(s)
     level = 0.0
     while total:
@@ -57,15 +67,23 @@ def stream_order(doc_id: Column, text: Column) -> Column:
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", slopes: Column | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source, source_size, target, copies, taken, first_position.
+    """One row per row of ``docs``: doc_id, size, source, source_size, target, positions, taken, in training order.
 
     A source's documents are ordered by a hash of id and text, rows of equal
-    hash by id, and make a stream of words, repeated up to MAX_REPEATS times; a
-    copy whose middle lies before the target is taken, so a source's taken words
-    are within half a document of its target. ``slopes``, by source and weight,
-    tilts the schedules (default: heavier sources later). Null and empty texts
-    have size 0 and are taken with 0 words; null sources are one source. Repeated
-    rows count as often as they stand. An empty table gives an empty result.
+    hash by id, and make a stream of words, repeated up to MAX_REPEATS times.
+    The source's demand for words at a moment of training, 0 to 1, is its target
+    times the integral of its schedule up to then; inverting it at the middle of
+    each copy of a document gives the moment at which that copy is trained on.
+    ``positions`` holds the moments before 1, in order; later ones, beyond the
+    target, aren't taken, so a source's taken words are within half a document
+    of its target. Rows are sorted in ranges of their first position, those
+    without any last. ``slopes``, by source and weight, tilts the schedules
+    (default: heavier sources later).
+
+    Null and empty texts have size 0 and are taken once, with 0 words, at the
+    moment of their place in the stream, or at 1 if that lies beyond the target; null sources are one source. Repeated
+    rows count as often as they stand. Other columns are ignored, whatever their
+    names. An empty table gives an empty result.
     """
     d = docs.select(
         F.col(f"`{doc_id}`").alias("doc_id"),
@@ -86,26 +104,28 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("offset", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     d = d.join(parts, (d["bucket"] == parts["k"]) & d["source"].eqNullSafe(parts["s"]))
-    middle = F.col("before") + F.col("offset") + F.col("size") / 2
-    passes = [F.when(middle + F.col("source_size") * p < F.col("target"), 1).otherwise(0) for p in range(MAX_REPEATS)]
-    slope = slopes if slopes is not None else (F.col("weight") - 2) * 0.5
-    share = F.when(F.col("target") > 0, F.least(F.lit(1.0), middle / F.col("target"))).otherwise(F.lit(0.0))
-    copies = F.when(F.col("size") == 0, 1).otherwise(sum(passes[1:], passes[0]))
-    return d.select(
-        "doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"),
-        moment(share, slope).alias("first_position"), share.alias("_share"), slope.alias("_slope"), "h",
-    )
+    d = d.withColumn("middle", F.col("before") + F.col("offset") + F.col("size") / 2).withColumn("slope", slopes if slopes is not None else (F.col("weight") - 2) * 0.5)
+
+    def trained_at(repeat: int) -> Column:
+        share = (F.col("middle") + F.col("source_size") * repeat) / F.col("target")
+        return F.when(F.col("target") > 0, F.when(share < 1, moment(share, F.col("slope"))))
+
+    positions = F.when(F.col("size") == 0, F.array(F.coalesce(trained_at(0), F.lit(1.0)))).otherwise(F.filter(F.array(*map(trained_at, range(MAX_REPEATS))), lambda t: t < 1))
+    d = d.withColumn("positions", positions).withColumn("taken", (F.size("positions") * F.col("size")).cast("long"))
+    first = F.coalesce(F.try_element_at("positions", F.lit(1)), F.lit(2.0))
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return d.repartitionByRange(ranges, first, "h").sortWithinPartitions(first, "h").select("doc_id", "size", "source", "source_size", "target", "positions", "taken", "h")
 
 
 def laid_out(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """The mix itself: the rows of ``docs``, repeated as taken, in range-sorted training order; documents not taken go.
 
-    Rows of equal doc_id and text can't be told apart and get the same number of copies.
+    Of rows of equal doc_id and text, which can't be told apart, each gets the
+    positions of the one that has most. Null and empty texts stay once; a null
+    doc_id or source is a value like others; an empty table stays empty.
     """
-    plan = mix(docs).where("copies > 0").groupBy("doc_id", "h").agg(F.max("copies").alias("_copies"), F.min("_share").alias("_share"), F.min("_slope").alias("_slope"), F.min("target").alias("_target"), F.min("source_size").alias("_size"))
-    plan = plan.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-    at = F.least(F.lit(1.0), F.col("_share") + F.when(F.col("_target") > 0, F.col("_pass") * F.col("_size") / F.col("_target")).otherwise(0))
-    plan = plan.withColumn("_position", moment(at, F.col("_slope"))).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "_position", "_pass")
+    plan = mix(docs).where("size(positions) > 0").groupBy("doc_id", "h").agg(F.max(F.struct(F.size("positions").alias("n"), "positions")).alias("most"))
+    plan = plan.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.posexplode("most.positions").alias("_pass", "_position"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("row_id"), stream_order(F.col("doc_id"), F.col("text")).alias("row_hash"))
     out = rows.join(plan, F.col("row_id").eqNullSafe(F.col("_id")) & (F.col("row_hash") == F.col("_h")))
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
