@@ -41,12 +41,13 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = f"filter(pii, x -> x.kind in ({', '.join(repr(k) for k in pii.BASE)}))"
     counts = [F.expr(f"cast(size(filter(pii, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(F.expr(pii.joined(base)), 256).alias("base_sha256"), F.expr(pii.joined("pii")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(F.expr(pii.joined(base)), 256).alias("base_sha256"), F.expr(pii.joined("pii")).alias("spans"), F.expr("cast(size(pii) as bigint)").alias("n_spans"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", F.round("first_position", 6).alias("first_position"))
+    positions = F.array_join(F.transform("positions", lambda t: F.round(t * 1_000_000).cast("long").cast("string")), ",")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", F.size("positions").alias("copies"), positions.alias("positions_ppm"))
 
 
 def op7_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +60,7 @@ def op8_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", F.length("licence_sentences").cast("long").alias("n_sentences"), "licence_sentences", F.array_join("licences", ",").alias("licences"))
+    return found.select("doc_id", F.regexp_count("licence_sentences", F.lit("[0-9]+")).cast("long").alias("n_sentences"), "licence_sentences", F.array_join("licences", ",").alias("licences"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,41 +118,48 @@ WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\
 ), level AS (SELECT max(CAST((SELECT sum(source_size) FROM s) - full_ AS DOUBLE) / rest) AS level FROM o
 ), t AS (SELECT source, source_size, weight, least(CAST(source_size * 3 AS DOUBLE), weight * level) AS target FROM s, level
 ), c AS (SELECT d.*, t.source_size, t.weight, t.target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2 AS middle FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-), p AS (SELECT *, CASE WHEN size = 0 THEN 1 ELSE CAST(middle < target AS INT) + CAST(middle + source_size < target AS INT) + CAST(middle + 2 * source_size < target AS INT) END AS copies, CASE WHEN target > 0 THEN least(1.0, middle / target) ELSE 0.0 END AS share, (weight - 2) * 0.5 AS slope FROM c)
-SELECT doc_id, size, source_size, target, copies * size AS taken, copies, round(CASE WHEN slope = 0 THEN share ELSE (sqrt((1 - slope / 2) * (1 - slope / 2) + 2 * slope * share) - (1 - slope / 2)) / slope END, 6) AS first_position FROM p
+), e AS (SELECT doc_id, size, source_size, target, h, pass, CASE WHEN target > 0 AND (middle + pass * source_size) / target < 1 THEN (middle + pass * source_size) / target END AS share, (weight - 2) * 0.5 AS slope FROM c, (SELECT unnest([0, 1, 2]) AS pass)
+), p AS (SELECT *, CASE WHEN slope = 0 THEN share ELSE (sqrt((1 - slope / 2) * (1 - slope / 2) + 2 * slope * share) - (1 - slope / 2)) / slope END AS t FROM e
+), k AS (SELECT * REPLACE (CASE WHEN size = 0 THEN coalesce(t, 1.0) ELSE t END AS t) FROM p WHERE size > 0 OR pass = 0)
+SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target, count(*) FILTER (t < 1) * any_value(size) AS taken, CAST(count(*) FILTER (t < 1 OR size = 0) AS INT) AS copies,
+  coalesce(string_agg(CAST(CAST(round(t * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY pass) FILTER (t < 1 OR size = 0), '') AS positions_ppm
+FROM k GROUP BY doc_id, h
 """
 
-#: The base kinds by their plain patterns; the synthetic tables hold no span of the added kinds.
+#: The base kinds and secrets by their plain patterns; the synthetic tables hold no span of the other added kinds.
 _OP5 = r"""
-WITH k(o, kind, p) AS (VALUES (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), (2, 'ip', '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), (3, 'card', '[0-9]([\x20-]?[0-9])+'), (4, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')
+WITH k(o, kind, p) AS (VALUES (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), (2, 'ip', '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), (3, 'card', '[0-9]([\x20-]?[0-9])+'), (4, 'phone', '\+[0-9][\x20().0-9-]+[0-9]'), (5, 'secret', '@secret@')
 ), m AS (SELECT doc_id, o, kind, regexp_extract_all(text, p) AS ms, regexp_split_to_array(text, p) AS ps FROM documents, k WHERE text IS NOT NULL
 ), u AS (SELECT doc_id, o, kind, unnest(ms) AS m, unnest(ps[1:len(ms)]) AS p, generate_subscripts(ms, 1) AS i FROM m WHERE len(ms) > 0
-), s AS (SELECT *, CAST(sum(length(p) + length(m)) OVER (PARTITION BY doc_id, o ORDER BY i) - length(m) AS BIGINT) AS f, regexp_replace(m, '[^0-9]', '', 'g') AS d FROM u
-), v AS (SELECT * FROM s WHERE CASE kind WHEN 'email' THEN true WHEN 'ip' THEN len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR CAST('0' || right(ltrim(x, '0'), 3) AS INT) > 255)) = 0
+), s AS (SELECT *, CAST(sum(length(p) + length(m)) OVER (PARTITION BY doc_id, o ORDER BY i) - length(m) AS BIGINT) AS f, regexp_replace(m, '[^0-9]', '', 'g') AS d, CASE WHEN kind = 'secret' THEN regexp_extract(m, '@value@') ELSE m END AS x FROM u
+), v AS (SELECT * FROM s WHERE CASE kind WHEN 'email' THEN true WHEN 'secret' THEN regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]') WHEN 'ip' THEN len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR CAST('0' || right(ltrim(x, '0'), 3) AS INT) > 255)) = 0
   WHEN 'phone' THEN length(d) BETWEEN 9 AND 15 ELSE length(d) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN CAST(d[i] AS INT) WHEN d[i] < '5' THEN 2 * CAST(d[i] AS INT) ELSE 2 * CAST(d[i] AS INT) - 9 END)) % 10 = 0 END
-), g AS (SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone, string_agg(kind || ':' || f || ':' || (f + length(m)), ',' ORDER BY o, f) AS spans FROM v GROUP BY 1)
-SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN g USING (doc_id)
-"""
+), g AS (SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone, string_agg(kind || ':' || f || ':' || (f + length(m)), ',' ORDER BY o, f) FILTER (o < 5) AS base,
+  string_agg(kind || ':' || (f + length(m) - length(x)) || ':' || (f + length(m)), ',' ORDER BY o, f) AS spans, count(*) AS n FROM v GROUP BY 1)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n, 0) AS n_spans FROM documents LEFT JOIN g USING (doc_id)
+""".replace("@secret@", pii.PATTERNS["secret"].replace("'", "''")).replace("@value@", pii.SECRET_VALUE)
 
 
 def _op9() -> str:
     """The same cuts, identifiers and rules; look-behind is said by marking the cuts first."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    table_ = "MAP {" + ", ".join(f"{quote(v)}: {quote(k)}" for k, v in license_scan.SENTENCES.items()) + "}"
-    ids = "array_to_string(list_transform({cut}, lambda s: coalesce({table}[trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))], '')), '')"
-    by_line = ids.format(cut=r"string_split(regexp_replace(regexp_replace(t, '([.!?;:])[\x20\t]+', '\1' || chr(1), 'g'), '\s*\n\s*', chr(1), 'g'), chr(1))", table=table_)
-    wrapped = ids.format(cut=r"string_split(regexp_replace(regexp_replace(t, '([.!?;:])\s+', '\1' || chr(1), 'g'), '\s*\n\s*\n\s*', chr(1), 'g'), chr(1))", table=table_)
-    rules = ", ".join(f"({i}, {quote(n)}, {quote(license_scan._rule_pattern(p))})" for i, (n, p) in enumerate(license_scan.RULES, 1))
+    table_ = "MAP {" + ", ".join(f"{quote(k)}: ':{v}:'" for k, v in license_scan.SENTENCES.items()) + "}"
+    ids = "array_to_string(list_transform({cut}, lambda s: coalesce({table}[regexp_replace(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')), {lead}, {under})], '')), '')"
+    more = {"table": table_, "lead": quote(license_scan.LEAD), "under": quote(license_scan.UNDER)}
+    by_line = ids.format(cut=r"string_split(regexp_replace(regexp_replace(t, '([.!?;:])[\x20\t]+', '\1' || chr(1), 'g'), '\s*\n\s*', chr(1), 'g'), chr(1))", **more)
+    wrapped = ids.format(cut=r"string_split(regexp_replace(regexp_replace(t, '([.!?;:])\s+', '\1' || chr(1), 'g'), '\s*\n\s*\n\s*', chr(1), 'g'), chr(1))", **more)
+    rules = ", ".join(f"({i}, {quote(n)}, {quote(p)})" for i, (n, p) in enumerate(license_scan.RULES, 1))
     return f"""
-WITH RECURSIVE rules(o, licence, p) AS (VALUES {rules}), d AS (SELECT doc_id, regexp_replace(text, '(?m)^[\\x20\\t]*(?://+|#+|\\*+|/\\*+|--+)[\\x20\\t]*', '', 'g') AS t FROM documents WHERE regexp_matches(text, {quote(license_scan.HINT)})
+WITH RECURSIVE rules(o, licence, p) AS (VALUES {rules}), d AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?m)^[\\x20\\t]*(?://+|#+|\\*+|/\\*+|--+)[\\x20\\t]*', '', 'g'), {quote(license_scan.VERSION)}, {quote(license_scan.VERSION_JOINED[1])}, 'g') AS t FROM documents WHERE regexp_matches(text, {quote(license_scan.HINT)})
 ), i AS (SELECT doc_id, {by_line} AS a, {wrapped} AS b FROM d
 ), j AS (SELECT doc_id, 0 AS pass, a AS ids FROM i WHERE a <> '' UNION ALL SELECT doc_id, 1, b FROM i WHERE b <> ''
 ), step AS (SELECT doc_id, pass, ids AS whole, ids, 0 AS o, NULL::VARCHAR AS licence, NULL::INT AS first FROM j
   UNION ALL SELECT s.doc_id, s.pass, s.whole, regexp_replace(s.ids, r.p, '-', 'g'), r.o, CASE WHEN regexp_matches(s.ids, r.p) THEN r.licence END, CASE WHEN regexp_matches(s.ids, r.p) THEN strpos(s.whole, regexp_extract(s.whole, r.p)) END FROM step s JOIN rules r ON r.o = s.o + 1
 ), n AS (SELECT doc_id, licence, min(pass * 1000000 + first) AS pos, arg_min(licence, pass * 1000000 + first) AS l FROM step WHERE licence IS NOT NULL GROUP BY 1, 2
-), l AS (SELECT doc_id, string_agg(licence, ',' ORDER BY pos, licence) AS licences FROM n GROUP BY 1)
-SELECT documents.doc_id, CAST(coalesce(length(CASE WHEN length(b) > length(a) THEN b ELSE a END), 0) AS BIGINT) AS n_sentences, coalesce(CASE WHEN length(b) > length(a) THEN b ELSE a END, '') AS licence_sentences, coalesce(licences, '') AS licences
-FROM documents LEFT JOIN i USING (doc_id) LEFT JOIN l USING (doc_id)
+), l AS (SELECT doc_id, string_agg(licence, ',' ORDER BY pos, licence) AS licences FROM n GROUP BY 1
+), r AS (SELECT doc_id, CASE WHEN length(b) > length(a) THEN b ELSE a END AS ids FROM i)
+SELECT documents.doc_id, CAST(coalesce(length(ids) - length(replace(ids, ':', '')), 0) // 2 AS BIGINT) AS n_sentences, coalesce(ids, '') AS licence_sentences, coalesce(licences, '') AS licences
+FROM documents LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)
 """
 
 
