@@ -12,23 +12,63 @@ from .frames import frame
 
 
 def cusum(x: np.ndarray, threshold: float, drift: float = 0.0) -> list[tuple[int, int]]:
-    """(alarm, start) indices of cumulative sums of changes, reset at each alarm."""
-    up = down = 0.0
-    since_up = since_down = 0
-    out = []
-    for i in range(1, len(x)):
-        step = x[i] - x[i - 1]
-        up, down = up + step - drift, down - step - drift
-        if up < 0:
-            up, since_up = 0.0, i
-        if down < 0:
-            down, since_down = 0.0, i
-        if up > threshold or down > threshold:
-            out.append((i, since_up if up > threshold else since_down))
-            up = down = 0.0
+    """(alarm, start) indices of cumulative sums of changes, reset at each alarm.
+
+    Since the last alarm, a sum of changes less the drift, taken from its running
+    minimum (0 at the reset), is the one-sided statistic; where a new minimum is
+    reached, a change may have started. Stretches of doubling length are summed
+    at once, so the work is linear but for the alarms.
+    """
+    changes = np.diff(np.asarray(x, float))
+    out: list[tuple[int, int]] = []
+    start = {1: 0, -1: 0}
+    at, width = 0, 64
+    carry = {1: 0.0, -1: 0.0}  # the statistics where the stretch begins
+    while at < len(changes):
+        part = changes[at : at + width]
+        state = {}
+        for side in (1, -1):
+            total = carry[side] + np.cumsum(side * part - drift)
+            low = np.minimum.accumulate(np.append(0.0, total))
+            state[side] = total - low[1:], np.flatnonzero(low[1:] < low[:-1])
+        over = np.flatnonzero((state[1][0] > threshold) | (state[-1][0] > threshold))
+        end = int(over[0]) if len(over) else len(part) - 1
+        for side in (1, -1):
+            minima = state[side][1][state[side][1] <= end]
+            start[side] = at + int(minima[-1]) + 1 if len(minima) else start[side]
+            carry[side] = 0.0 if len(over) else float(state[side][0][end])
+        if len(over):
+            out.append((at + end + 1, start[1 if state[1][0][end] > threshold else -1]))
+        at, width = at + end + 1, 64 if len(over) else 2 * width
     return out
 
 
+def cusum_changes(x: np.ndarray, threshold: float, drift: float = 0.0) -> list[tuple[int, int, int, float]]:
+    """(alarm, start, end, amplitude): as :func:`cusum`, with ends from the same sums run backwards.
+
+    A change's end is where a change of the reversed series starts. Alarms of one
+    start are one change. Where there are more ends than changes, a change takes
+    the first end not before its alarm; where there are fewer, an end takes the
+    last change alarmed by then. Of changes that overlap, the earlier gives its
+    start and the later its end.
+    """
+    x = np.asarray(x, float)
+    first: dict[int, int] = {}
+    for alarm, start in cusum(x, threshold, drift):
+        first.setdefault(start, alarm)
+    changes = [(alarm, start) for start, alarm in sorted(first.items())]
+    ends = sorted(len(x) - 1 - start for _, start in cusum(x[::-1], threshold, drift))
+    if len(changes) < len(ends):
+        ends = [next((e for e in ends if e >= alarm), ends[0]) for alarm, _ in changes]
+    elif len(changes) > len(ends):
+        before = [[c for c in changes if c[0] <= e] for e in ends]
+        changes = [b[-1] if b else changes[-1] for b in before]
+    clash = [e > later[1] for e, later in zip(ends[:-1], changes[1:], strict=True)]
+    starts = [c for c, drop in zip(changes, [False, *clash], strict=False) if not drop]
+    stops = [e for e, drop in zip(ends, [*clash, False], strict=False) if not drop]
+    return [(alarm, start, end, float(x[end] - x[start])) for (alarm, start), end in zip(starts, stops, strict=True)]
+
+
 def cusum_alarms(series: DataFrame, keys: list[str], threshold: float, drift: float = 0.0, ts: str = "ts", value: str = "value") -> DataFrame:
     """(keys, alarm, start): positions in each series. The reset makes the sum non-associative, so a series is one group."""
 
@@ -39,39 +79,55 @@ def cusum_alarms(series: DataFrame, keys: list[str], threshold: float, drift: fl
     return series.groupBy(*keys).applyInPandas(run, f"{_schema(series, keys)}, alarm long, start long")
 
 
+def cusum_ends(series: DataFrame, keys: list[str], threshold: float, drift: float = 0.0, ts: str = "ts", value: str = "value") -> DataFrame:
+    """(keys, alarm, start, end, amplitude): the changes of each series with where they end and how far they lead."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = cusum_changes(pdf.sort_values(ts)[value].to_numpy(float), threshold, drift)
+        cols = list(zip(*found, strict=True)) or [()] * 4
+        return frame({**{k: [pdf[k].iloc[0]] * len(found) for k in keys}, **dict(zip(("alarm", "start", "end", "amplitude"), map(list, cols), strict=True))})
+
+    return series.groupBy(*keys).applyInPandas(run, f"{_schema(series, keys)}, alarm long, start long, end long, amplitude double")
+
+
 def distance_threshold(distances: np.ndarray, beta: float = 1.0, gamma: float = 4.0) -> float:
     """beta * mean + gamma * population deviation."""
     return float(beta * distances.mean() + gamma * distances.std())
 
 
-class StudentT:
-    """Predictive densities of a multivariate normal of unknown mean and precision, one per run length."""
-
-    def __init__(self, dims: int) -> None:
-        self.d = dims
-        self.dof = np.array([dims + 1.0])
-        self.kappa = np.ones(1)
-        self.mean = np.zeros((1, dims))
-        self.scale = np.eye(dims)[None]
-
-    def density(self, x: np.ndarray) -> np.ndarray:
-        df = self.dof - self.d + 1
-        shape = np.linalg.inv((self.kappa * df / (self.kappa + 1))[:, None, None] * self.scale)
-        diff = x - self.mean
-        quad = np.einsum("ti,tij,tj->t", diff, np.linalg.inv(shape), diff)
-        _, logdet = np.linalg.slogdet(shape)
-        gamma = np.array([math.lgamma((v + self.d) / 2) - math.lgamma(v / 2) for v in df])
-        return np.exp(gamma - self.d / 2 * np.log(df * math.pi) - logdet / 2 - (df + self.d) / 2 * np.log1p(quad / df))
-
-    def update(self, x: np.ndarray) -> None:
-        diff = x - self.mean
-        outer = (self.kappa / (self.kappa + 1))[:, None, None] * np.einsum("ti,tj->tij", diff, diff)
-        scale = np.linalg.inv(np.linalg.inv(self.scale) + outer)
-        mean = (self.kappa[:, None] * self.mean + x) / (self.kappa + 1)[:, None]
-        self.scale = np.concatenate([np.eye(self.d)[None], scale])
-        self.mean = np.concatenate([np.zeros((1, self.d)), mean])
-        self.dof = np.concatenate([[self.d + 1.0], self.dof + 1])
-        self.kappa = np.concatenate([[1.0], self.kappa + 1])
+class Runs:
+    """Predictive Student densities of a multivariate normal of unknown mean and precision, one per run, by when the run began.
+
+    A run that has seen m rows has m + dims + 1 degrees of freedom and weight
+    m + 1. Its precision matrix and that matrix's log-determinant follow from the
+    ones before by a rank-one update, so a step inverts nothing.
+    """
+
+    def __init__(self, rows: int, dims: int) -> None:
+        self.dims, self.live = dims, 0
+        self.mean = np.zeros((rows + 1, dims))
+        self.precision = np.broadcast_to(np.eye(dims), (rows + 1, dims, dims)).copy()
+        self.logdet = np.zeros(rows + 1)
+
+    def begin(self) -> None:
+        self.live += 1
+
+    def see(self, x: np.ndarray) -> np.ndarray:
+        """Densities of a row under the live runs, which then take it in."""
+        k, d = self.live, self.dims
+        weight = np.arange(k, 0, -1, dtype=float)  # the oldest run first
+        freedom = weight + 1.0
+        off = x - self.mean[:k]
+        pull = np.einsum("kij,kj->ki", self.precision[:k], off)
+        quad = np.einsum("ki,ki->k", off, pull)
+        ratio = weight / (weight + 1)
+        lgamma = np.array([math.lgamma((f + d) / 2) - math.lgamma(f / 2) for f in freedom])
+        logp = lgamma + 0.5 * (self.logdet[:k] + d * np.log(ratio / math.pi)) - (freedom + d) / 2 * np.log1p(ratio * quad)
+        self.mean[:k] += off / (weight + 1)[:, None]
+        shrink = ratio / (1 + ratio * quad)
+        self.precision[:k] -= shrink[:, None, None] * pull[:, :, None] * pull[:, None, :]
+        self.logdet[:k] -= np.log1p(ratio * quad)
+        return np.exp(logp)
 
 
 def run_lengths(x: np.ndarray, hazard: float = 1 / 50) -> np.ndarray:
@@ -80,15 +136,20 @@ def run_lengths(x: np.ndarray, hazard: float = 1 / 50) -> np.ndarray:
     The run-length distribution keeps one column only, so memory is linear in the rows.
     """
     x = np.asarray(x, float).reshape(len(x), -1)
-    model, r = StudentT(x.shape[1]), np.ones(1)
+    runs, chance = Runs(len(x), x.shape[1]), np.zeros(len(x) + 1)
     best = np.zeros(len(x) + 1, int)
+    chance[0] = 1.0
     for t, row in enumerate(x):
-        best[t] = int(r.argmax())
-        joint = r * model.density(row)
-        r = np.concatenate([[joint.sum() * hazard], joint * (1 - hazard)])
-        total = r.sum()
-        r = r / total if total > 0 else np.eye(1, len(r))[0]
-        model.update(row)
+        runs.begin()  # the run of length 0 began at row t
+        best[t] = int(chance[: t + 1][::-1].argmax())
+        grown = chance[: t + 1] * runs.see(row)
+        total = grown.sum()
+        if total > 0:
+            chance[: t + 1] = grown * (1 - hazard) / total
+            chance[t + 1] = hazard
+        else:
+            chance[: t + 1] = 0.0
+            chance[t + 1] = 1.0
     return best
 
 
