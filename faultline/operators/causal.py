@@ -39,22 +39,126 @@ def transitions(edges: DataFrame, strength: DataFrame, keys: list[str], rho: flo
     """Row-stochastic transitions from causal edges(src, dst) and strength(entity, r): |correlation| with the KPI.
 
     A walker steps back along an edge to its cause with the cause's strength,
-    forward with rho times its own place's strength if no edge leads back, and
-    stays with what its own exceeds the greatest of these by. Rows of strength 0
+    forward with rho times the effect's strength if no edge leads back, and stays
+    with what its own exceeds the greatest of its causes' by. Rows of strength 0
     stay 0.
     """
     r = strength.select(*keys, "entity", F.abs("r").alias("r"))
     back = edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst")).join(r.withColumnRenamed("entity", "dst"), [*keys, "dst"]).select(*keys, "src", "dst", F.col("r").alias("w"))
     reverse = edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))
-    forward = edges.join(reverse, [*keys, "src", "dst"], "left_anti").join(r.withColumnRenamed("entity", "src"), [*keys, "src"]).select(*keys, "src", "dst", (rho * F.col("r")).alias("w"))
+    forward = edges.join(reverse, [*keys, "src", "dst"], "left_anti").join(r.withColumnRenamed("entity", "dst"), [*keys, "dst"]).select(*keys, "src", "dst", (rho * F.col("r")).alias("w"))
     steps = back.unionByName(forward).groupBy(*keys, "src", "dst").agg(F.max("w").alias("w"))
-    top = steps.groupBy(*keys, "src").agg(F.max("w").alias("_top"))
+    top = back.groupBy(*keys, "src").agg(F.max("w").alias("_top"))
     own = r.withColumnRenamed("entity", "src").join(top, [*keys, "src"], "left").select(*keys, "src", F.col("src").alias("dst"), F.greatest(F.lit(0.0), F.col("r") - F.coalesce("_top", F.lit(0.0))).alias("w"))
     all_ = steps.unionByName(own)
     total = F.sum("w").over(Window.partitionBy(*keys, "src"))
     return all_.withColumn("p", F.coalesce(F.col("w") / F.nullif(total, F.lit(0.0)), F.lit(0.0))).where("p > 0").select(*keys, "src", "dst", "p")
 
 
+def partial_correlation(x: np.ndarray, i: int, j: int, given: list[int]) -> float:
+    """Correlation of two columns after both are regressed on others, from the inverse of the correlation matrix; 0 for a constant column."""
+    ix = [i, j, *given]
+    part = x[:, ix]
+    part = part[:, [0, 1] + [k for k in range(2, len(ix)) if part[:, k].std() > 0]]
+    if part[:, 0].std() == 0 or part[:, 1].std() == 0:
+        return 0.0
+    p = np.linalg.pinv(np.corrcoef(part.T), hermitian=True)
+    return float(-p[0, 1] / np.sqrt(p[0, 0] * p[1, 1])) if p[0, 0] > 0 and p[1, 1] > 0 else 0.0
+
+
+def partial_strengths(series: DataFrame, edges: DataFrame, keys: list[str], row: str, target: str) -> DataFrame:
+    """(keys, entity, r): |partial correlation| of each entity with ``target`` given the parents of both; 0 for the target itself.
+
+    A parent is the source of an edge, both ends of an undirected one. A group's
+    pooled series are one small matrix.
+    """
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty:
+            return frame({c: [] for c in (*keys, "entity", "r")})
+        wide = left.pivot_table(index=row, columns="entity", values="value").sort_index().dropna()
+        names = list(wide.columns)
+        at, x = {n: i for i, n in enumerate(names)}, wide.to_numpy(float)
+        parents: dict[str, set[str]] = {n: set() for n in names}
+        for a, b in zip(right["src"], right["dst"], strict=True):
+            if a in at and b in at and a != b:
+                parents[b].add(a)
+        out = []
+        for n in names:
+            given = sorted((parents.get(target, set()) | parents[n]) - {n, target})
+            r = abs(partial_correlation(x, at[target], at[n], [at[g] for g in given])) if n != target and target in at else 0.0
+            out.append((*key, n, r))
+        return pd.DataFrame(out, columns=[*keys, "entity", "r"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in series.schema if f.name in keys)
+    return series.groupBy(*keys).cogroup(edges.groupBy(*keys)).applyInPandas(run, f"{schema}, entity string, r double")
+
+
+def granger_edges(series: DataFrame, keys: list[str], row: str, lag: int = 2, penalty: float = 0.02, rounds: int = 200) -> DataFrame:
+    """(keys, src, dst, weight): linear Granger causes by group lasso, one vector autoregression per entity.
+
+    Standardised series are regressed on the ``lag`` values before of all; the
+    lags of one entity are one group, whose norm is the edge's weight. Solved by
+    block coordinate descent with the groups' proximal step.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot_table(index=row, columns="entity", values="value").sort_index().dropna()
+        names = list(wide.columns)
+        weights = granger_kernel(wide.to_numpy(float), lag, penalty, rounds)
+        i, j = np.nonzero(weights)
+        return frame({**{k: [pdf[k].iloc[0]] * len(i) for k in keys}, "src": [names[k] for k in i], "dst": [names[k] for k in j], "weight": weights[i, j]})
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in series.schema if f.name in keys)
+    return series.groupBy(*keys).applyInPandas(run, f"{schema}, src string, dst string, weight double")
+
+
+def granger_kernel(x: np.ndarray, lag: int, penalty: float, rounds: int = 200) -> np.ndarray:
+    """Norms w[i, j] of the lags of column i in the regression of column j; 0 where the penalty shuts them out."""
+    n, d = x.shape
+    sd = x.std(0)
+    z = (x - x.mean(0)) / np.where(sd > 0, sd, 1.0)
+    if n <= lag + 1:
+        return np.zeros((d, d))
+    past = np.stack([z[lag - 1 - k : n - 1 - k] for k in range(lag)], 2)  # row, entity, lag
+    rows = len(past)
+    step = np.array([max(np.linalg.eigvalsh(past[:, i].T @ past[:, i] / rows)[-1], 1e-12) for i in range(d)])
+    out = np.zeros((d, d))
+    for j in range(d):
+        beta, rest = np.zeros((d, lag)), z[lag:, j].copy()
+        for _ in range(rounds):
+            moved = 0.0
+            for i in range(d):
+                target = beta[i] + past[:, i].T @ rest / rows / step[i]
+                size = np.linalg.norm(target)
+                new = target * max(0.0, 1 - penalty / step[i] / size) if size > 0 else target
+                if (new != beta[i]).any():
+                    rest -= past[:, i] @ (new - beta[i])
+                    moved = max(moved, float(np.abs(new - beta[i]).max()))
+                    beta[i] = new
+            if moved < 1e-8:
+                break
+        out[:, j] = np.linalg.norm(beta, axis=1)
+    return out
+
+
+def prior_knowledge(frame_: DataFrame) -> tuple[set[tuple[str, str]], dict[str, int], set[tuple[str, str]]]:
+    """(forbidden edges, tiers, known edges) from rows (kind, src, dst, tier), a file written by hand.
+
+    kind is ``forbidden`` or ``known``, with src and dst, or ``tier``, with src and
+    its tier: no edge leads from a later tier to an earlier one.
+    """
+    forbidden, tiers, known = set(), {}, set()
+    for r in frame_.toLocalIterator():
+        if r["kind"] == "tier":
+            tiers[r["src"]] = int(r["tier"])
+        elif r["kind"] in ("forbidden", "known"):
+            (forbidden if r["kind"] == "forbidden" else known).add((r["src"], r["dst"]))
+        else:
+            raise ValueError(f"unknown kind {r['kind']}")
+    return forbidden, tiers, known
+
+
 def walk_kernel(q: np.ndarray, start: int, restart: float = 0.05, steps: int = 100) -> np.ndarray:
     """Visits of a walk with restart by power iteration; what a row lacks to 1 restarts."""
     e = np.zeros(len(q))
@@ -80,9 +184,10 @@ def walk(trans: DataFrame, keys: list[str], start: str, restart: float = 0.05, s
     return trans.groupBy(*keys).applyInPandas(run, f"{schema}, entity string, score double")
 
 
-def pc_kernel(x: np.ndarray, alpha: float = 1e-6, max_order: int = 3) -> tuple[np.ndarray, dict]:
+def pc_kernel(x: np.ndarray, alpha: float = 1e-6, max_order: int | None = None) -> tuple[np.ndarray, dict]:
     """Skeleton (boolean matrix) and separating sets by order-independent PC on Gaussian data.
 
+    Orders rise until no node has enough neighbours, or to ``max_order``.
     Correlations are not disturbed; inverses get a ridge of 1e-9.
     """
     n, d = x.shape
@@ -94,7 +199,7 @@ def pc_kernel(x: np.ndarray, alpha: float = 1e-6, max_order: int = 3) -> tuple[n
     adj = ~np.eye(d, dtype=bool)
     apart: dict[tuple[int, int], tuple[int, ...]] = {}
     crit = normal_quantile(1 - alpha / 2)
-    for order in range(max_order + 1):
+    for order in range(d if max_order is None else max_order + 1):
         if n - order - 3 <= 0 or adj.sum(1).max(initial=0) - 1 < order:
             break
         frozen = adj.copy()
@@ -132,7 +237,7 @@ def orient(adj: np.ndarray, apart: dict, forbidden: set[tuple[int, int]] = froze
     if tier:
         for i in range(n):
             for j in range(n):
-                if d[i, j] and d[j, i] and tier.get(i, 0) > tier.get(j, 0):
+                if d[i, j] and d[j, i] and i in tier and j in tier and tier[i] > tier[j]:
                     d[i, j] = False
     for k in range(n):
         for i, j in combinations(np.flatnonzero(adj[k]).tolist(), 2):
@@ -155,16 +260,19 @@ def orient(adj: np.ndarray, apart: dict, forbidden: set[tuple[int, int]] = froze
             return d
 
 
-def pc_edges(series: DataFrame, keys: list[str], row: str, alpha: float = 1e-6, max_order: int = 3) -> DataFrame:
-    """(keys, src, dst): edges of the PC graph of each group's entities, both ways where undirected.
+def pc_edges(series: DataFrame, keys: list[str], row: str, alpha: float = 1e-6, max_order: int | None = None, forbidden: set[tuple[str, str]] = frozenset(), tiers: dict[str, int] | None = None, known: set[tuple[str, str]] = frozenset()) -> DataFrame:
+    """(keys, src, dst): edges of the PC graph of each group's entities, both ways where undirected, under prior knowledge by name.
 
     Groups are pooled series, a few hundred rows of a few hundred entities.
+    Tests go up to the order that the graph's degrees allow, or to ``max_order``.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot_table(index=row, columns="entity", values="value").sort_index().dropna()
         names = list(wide.columns)
-        d = orient(*pc_kernel(wide.to_numpy(float), alpha, max_order))
+        at = {n: i for i, n in enumerate(names)}
+        pairs = lambda some: {(at[a], at[b]) for a, b in some if a in at and b in at}
+        d = orient(*pc_kernel(wide.to_numpy(float), alpha, max_order), pairs(forbidden), pairs(known), {at[n]: t for n, t in (tiers or {}).items() if n in at})
         i, j = np.nonzero(d)
         return frame({**{k: [pdf[k].iloc[0]] * len(i) for k in keys}, "src": [names[k] for k in i], "dst": [names[k] for k in j]})
 

@@ -54,6 +54,36 @@ def kth_threshold(edges: DataFrame, keys: list[str], n_nodes: str, share: float
     return out.where(F.col(weight) > 0).drop("_r", "_k", "_kth")
 
 
+def online_threshold(edges: DataFrame, keys: list[str], n_nodes: str, weight: str = "weight", floor: float = 0.99) -> DataFrame:
+    """Edges above the k-th largest of the n^2 weights, k = ceil(0.6 n^2) below 50 cells and ceil(0.3 n^2) from there, and above ``floor``; absent edges weigh 0."""
+    cells = F.col(n_nodes) * F.col(n_nodes)
+    k = F.ceil(cells * F.when(cells < 50, 0.6).otherwise(0.3))
+    w = Window.partitionBy(*keys).orderBy(F.desc(weight), "src", "dst")
+    e = edges.withColumn("_r", F.row_number().over(w)).withColumn("_kth", F.max(F.when(F.col("_r") == k, F.col(weight))).over(Window.partitionBy(*keys)))
+    return e.where(F.col(weight) > F.greatest(F.lit(floor), F.coalesce("_kth", F.lit(0.0)))).drop("_r", "_kth")
+
+
+def quantile_edges(edges: DataFrame, keys: list[str], n_nodes: str, share: float = 0.95, weight: str = "weight") -> DataFrame:
+    """Edges above the ``share`` quantile of the n^2 weights of their graph; absent edges weigh 0, and count by their number."""
+    absent = edges.groupBy(*keys).agg((F.first(n_nodes) * F.first(n_nodes) - F.count("*")).alias("_n")).select(*keys, F.lit(0.0).alias("_w"), "_n")
+    cells = edges.select(*keys, F.col(weight).cast("double").alias("_w"), F.lit(1).cast("long").alias("_n")).unionByName(absent.withColumn("_n", F.col("_n").cast("long")).where("_n > 0"))
+    cut = cells.groupBy(*keys).agg(F.expr(f"percentile(_w, {share}, _n)").alias("_cut"))
+    return edges.join(cut, keys).where(F.col(weight) > F.col("_cut")).drop("_cut")
+
+
+def relabel_edges(edges: DataFrame, merged: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Distinct edges after nodes are merged: ``merged(node, into)``; other nodes stay, loops go."""
+    out = edges
+    for end in ("src", "dst"):
+        out = out.join(merged.select(F.col("node").alias(end), F.col("into").alias("_into")), end, "left").withColumn(end, F.coalesce("_into", end)).drop("_into")
+    return out.where("src <> dst").select(*keys, "src", "dst").distinct()
+
+
+def effects_on(edges: DataFrame, label: str, keys: list[str] = ()) -> DataFrame:
+    """(Cause, Effect, Strength) of the edges that end at ``label``."""
+    return edges.where(F.col("dst") == label).select(*keys, F.col("src").alias("Cause"), F.col("dst").alias("Effect"), F.col("weight").alias("Strength"))
+
+
 def precision_at(ranking: DataFrame, truth: DataFrame, ks: list[int]) -> DataFrame:
     """(k, precision): mean over cases of hits among the first k over min(k, true causes)."""
     n = truth.groupBy("case_id").agg(F.count_distinct("entity").alias("n"))

@@ -60,6 +60,15 @@ def threshold_anomalies(series: DataFrame, keys: list[str], threshold: float, ga
     return s.where(F.col("_p").isNull() | (F.col("row") - F.col("_p") > gap)).drop("_p")
 
 
+def anomalies_or_peak(series: DataFrame, keys: list[str], threshold: float, gap: int = 5, skip: int = 5, ts: str = "ts", value: str = "value") -> DataFrame:
+    """:func:`threshold_anomalies`, and for a series without any its greatest value after the first ``skip`` rows, the earliest of equals."""
+    found = threshold_anomalies(series, keys, threshold, gap, ts, value)
+    order = Window.partitionBy(*keys).orderBy(ts)
+    top = Window.partitionBy(*keys).orderBy(F.desc(value), ts)
+    rest = series.withColumn("row", F.row_number().over(order) - 1).join(found.select(*keys).distinct(), keys, "left_anti").where(F.col("row") >= skip)
+    return found.unionByName(rest.withColumn("_t", F.row_number().over(top)).where("_t = 1").drop("_t"))
+
+
 def run_length_changes(maxima: DataFrame, keys: list[str], index: str = "i", value: str = "m") -> DataFrame:
     """Indices at which the likeliest run length jumps by more than 1."""
     order = Window.partitionBy(*keys).orderBy(index)
