@@ -9,12 +9,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 
-def span_events(spans: DataFrame, logs: DataFrame, alarms: DataFrame | None = None) -> DataFrame:
+def span_events(spans: DataFrame, logs: DataFrame, alarms: DataFrame | None = None, alarms_from: int = 0) -> DataFrame:
     """Ordered events of each span: its start, its logs, its end; the end moves to one after its last log if that is later.
 
     ``spans(trace, span, parent, pod, operation, start_ns, end_ns)``,
-    ``logs(trace, span, ns, event)``, ``alarms(pod, metric_type)``: each alarm of
-    the pod goes right after the start. Adds seq, 0-based in the span.
+    ``logs(trace, span, ns, event)``, ``alarms(pod, metric_type, position)``: the
+    alarms of the pod go right after the start, one nanosecond after another by
+    their position; with columns ``from_ns`` and ``to_ns`` only into spans that
+    start in that time. ``alarms_from`` events is what a span must have without
+    them. Adds seq, 0-based in the span.
     """
     last = logs.groupBy("trace", "span").agg(F.max("ns").alias("_last"))
     s = spans.join(last, ["trace", "span"], "left")
@@ -25,7 +28,11 @@ def span_events(spans: DataFrame, logs: DataFrame, alarms: DataFrame | None = No
     inside = logs.join(spans.select(*base), ["trace", "span"]).select(*base, "ns", F.lit(2).alias("part"), "event")
     out = start.unionByName(inside).unionByName(finish)
     if alarms is not None:
-        out = out.unionByName(spans.join(F.broadcast(alarms), "pod").select(*base, F.col("start_ns").alias("ns"), F.lit(1).alias("part"), F.col("metric_type").alias("event")))
+        size = logs.groupBy("trace", "span").agg(F.count("*").alias("_size"))
+        some = spans.join(size, ["trace", "span"], "left").where(F.coalesce("_size", F.lit(0)) + 2 >= alarms_from).join(alarms, "pod")
+        if "from_ns" in alarms.columns:
+            some = some.where((F.col("start_ns") >= F.col("from_ns")) & (F.col("start_ns") < F.col("to_ns")))
+        out = out.unionByName(some.select(*base, (F.col("start_ns") + F.col("position") + 1).alias("ns"), F.lit(1).alias("part"), F.col("metric_type").alias("event")))
     # starts and ends keep their places whatever the log times say
     order = Window.partitionBy("trace", "span").orderBy(F.when(F.col("part") <= 1, 0).when(F.col("part") == 3, 2).otherwise(1), "part", "ns", "event")
     return out.withColumn("seq", F.row_number().over(order) - 1).drop("part")
@@ -82,6 +89,72 @@ def eliminate_followers(scored: DataFrame, exempt: str = "(?i)cpu|network|memory
     return j.where(F.col("_best").isNull() | (F.col("_best") < F.col("score")) | F.col("dst").rlike(exempt)).drop("_best", "_from")
 
 
+def event_depths(edges: DataFrame, order: list[str], counts: Column | None = None) -> DataFrame:
+    """(trace, event, depth, pod): how many counted events lie on the way from an event back to a root of its graph, and the pod where the event is first entered.
+
+    ``edges(trace, src, dst, dst_pod)``; the way back goes over the first edge, by
+    ``order``, into each event, and ends where it would meet an event again.
+    ``counts``, over ``src``, tells which events count: by default the starts of
+    operations.
+    """
+    counts = counts if counts is not None else F.contains("src", F.lit("start")) & ~F.contains("src", F.lit("TraceID"))
+    into = edges.groupBy("trace", F.col("dst").alias("event")).agg(F.min_by(F.struct(F.col("src"), F.col("dst_pod").alias("pod"), counts.cast("int").alias("counts")), F.struct(*order)).alias("_f"))
+    into = into.select("trace", "event", F.col("_f.src").alias("src"), F.col("_f.pod").alias("pod"), F.col("_f.counts").alias("counts"))
+    schema = StructType([into.schema["trace"], into.schema["event"], StructField("depth", IntegerType()), into.schema["pod"]])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            rows = {"trace": [], "event": [], "depth": [], "pod": []}
+            for trace, steps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                back = {s["event"]: s for s in steps}
+                for event, first in back.items():
+                    depth, seen, at = 0, {event}, event
+                    while at in back:
+                        depth += back[at]["counts"]
+                        at = back[at]["src"]
+                        if at in seen:
+                            break
+                        seen.add(at)
+                    for name, value in zip(rows, (trace, event, depth, first["pod"]), strict=True):
+                        rows[name].append(value)
+            yield pa.RecordBatch.from_pydict(rows, schema=arrow)
+
+    return into.groupBy("trace").agg(F.collect_list(F.struct("event", "src", "pod", "counts")).alias("steps")).mapInArrow(run, schema)
+
+
+def deepest(depths: DataFrame) -> DataFrame:
+    """(event, depth, pod): the greatest depth over all traces, above 0, and the pod of the first trace that has it."""
+    best = F.max_by(F.struct("depth", "pod"), F.struct(F.col("depth"), (-F.col("trace").cast("long")).alias("first")))
+    return depths.where("depth > 0").groupBy("event").agg(best.alias("_b")).select("event", "_b.depth", "_b.pod")
+
+
+def rank_patterns(scored: DataFrame, depths: DataFrame, alarms: DataFrame, default_pod: str = "frontend") -> DataFrame:
+    """(src, dst, score, depth, pod, resource, rank): patterns by falling score, then depth.
+
+    A pattern has the depth and pod of its source, or depth 1 and ``default_pod``
+    if it has none, and the first alarm of its pod as resource. Of an alarmed
+    pod's patterns only the deepest stays, the first by name of several.
+    """
+    resource = alarms.groupBy("pod").agg(F.min_by("metric_type", "position").alias("resource"))
+    j = scored.select("src", "dst", "score").join(depths.select(F.col("event").alias("src"), "depth", "pod"), "src", "left")
+    j = j.select("src", "dst", "score", F.coalesce("depth", F.lit(1)).alias("depth"), F.coalesce("pod", F.lit(default_pod)).alias("pod")).join(resource, "pod", "left")
+    place = Window.partitionBy("pod").orderBy(F.desc("depth"), "src", "dst")
+    kept = j.withColumn("_p", F.row_number().over(place)).where("resource is null or _p = 1").drop("_p")
+    # ranks by counts of equal (score, depth), which are few, so that no task sorts all patterns
+    ties = kept.groupBy("score", "depth").agg(F.count("*").alias("_n"))
+    order = Window.orderBy(F.desc("score"), F.desc("depth")).rowsBetween(Window.unboundedPreceding, -1)
+    ties = ties.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0))).drop("_n")
+    inside = Window.partitionBy("score", "depth").orderBy("src", "dst")
+    return kept.join(ties, ["score", "depth"]).withColumn("rank", F.col("_before") + F.row_number().over(inside)).drop("_before").select("src", "dst", "score", "depth", "pod", "resource", "rank")
+
+
+def threshold_sweep(scored: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(least, patterns, best): for each least score, how many patterns reach it and the greatest score among them."""
+    at = scored.withColumn("least", F.explode(F.array(*map(F.lit, thresholds)))).where("score >= least")
+    return at.groupBy("least").agg(F.count("*").alias("patterns"), F.max("score").alias("best"))
+
+
 def alarm(metric: Column, value: Column, ns: str) -> Column:
     """Whether a sample is an alarm: CPU and memory rates over 80, other metrics over 200 (hipster) or 300 (ts), none in other systems."""
     limit = {"hipster": 200, "ts": 300}.get(ns)
@@ -156,7 +229,12 @@ def _depths(pairs: list[dict]) -> dict:
 
 
 def synthetic_traces(logs: DataFrame) -> DataFrame:
-    """Traces from logs(pod, ts, event): the pod is the trace, an event a span at its first appearance, its parent the event that first appeared before."""
-    first = logs.groupBy("pod", "event").agg(F.min("ts").alias("ts"), F.max("ts").alias("end_ts"), F.count("*").alias("n"))
-    order = Window.partitionBy("pod").orderBy("ts", "event")
-    return first.withColumn("span_no", F.row_number().over(order)).withColumn("parent", F.coalesce(F.lag("event").over(order), F.lit("root")))
+    """Traces from logs(pod, ts, event): the pod is the trace, each line of an event a span, its parent the event that first appeared before this one.
+
+    span_no is the event's place by first appearance, n how many lines it has.
+    Events, not lines, are ordered: a pod's events are few.
+    """
+    first = logs.groupBy("pod", "event").agg(F.min("ts").alias("_first"), F.count("*").alias("n"))
+    order = Window.partitionBy("pod").orderBy("_first", "event")
+    first = first.withColumn("span_no", F.row_number().over(order)).withColumn("parent", F.coalesce(F.lag("event").over(order), F.lit("root"))).drop("_first")
+    return logs.select("pod", "event", "ts").join(first, ["pod", "event"])
