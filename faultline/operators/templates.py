@@ -2,26 +2,50 @@
 
 from __future__ import annotations
 
+import collections
 import dataclasses
 import re
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import mask, template_id
+from ..functions.text import mask, template_id, unwrap_service
+from .align import asof_backward
 
 WILD = "<*>"
 _DIGIT = re.compile(r"\d")
 
 
-@dataclasses.dataclass
+@dataclasses.dataclass(frozen=True)
 class MinerConfig:
-    """Similarity that a line needs with a template, tree depth, children of a tree node at most."""
+    """Similarity that a line needs with a template, tree depth, children of a tree node at most, groups kept at most (the least recently used goes), characters that part tokens like blanks, and what stands around the names of masks."""
 
     similarity: float = 0.4
     depth: int = 4
     max_children: int = 100
+    max_clusters: int | None = None
+    delimiters: tuple[str, ...] = ()
+    mask_prefix: str = "<"
+    mask_suffix: str = ">"
+
+    @classmethod
+    def of(cls, settings: dict) -> MinerConfig:
+        """From a parsed settings file; unknown settings are an error, absent ones keep their values."""
+        names = {f.name for f in dataclasses.fields(cls)}
+        if unknown := set(settings) - names:
+            raise ValueError(f"unknown settings {sorted(unknown)}")
+        return cls(**{k: tuple(v) if k == "delimiters" else v for k, v in settings.items()})
+
+    def tokenised(self, content: Column) -> Column:
+        """Masked, with blanks for delimiters, one blank between tokens."""
+        out = mask(F.coalesce(content, F.lit("")))
+        if (self.mask_prefix, self.mask_suffix) != ("<", ">"):
+            out = F.regexp_replace(out, F.lit("<([A-Z*:]+)>"), F.lit(re.sub(r"([\\$])", r"\\\1", self.mask_prefix) + "$1" + re.sub(r"([\\$])", r"\\\1", self.mask_suffix)))
+        for d in self.delimiters:
+            out = F.replace(out, F.lit(d), F.lit(" "))
+        return F.regexp_replace(F.regexp_replace(out, r"^\s+|\s+$", ""), r"\s+", " ")
 
 
 @dataclasses.dataclass
@@ -42,6 +66,7 @@ class TemplateMiner:
         self.config = config
         self.roots: dict[int, dict] = {}
         self.groups: list[_Group] = []
+        self.used: collections.OrderedDict[int, None] = collections.OrderedDict()  # live groups, the last used last
 
     def _leaf(self, tokens: list[str], grow: bool) -> list[int] | None:
         node = self.roots.setdefault(len(tokens), {}) if grow else self.roots.get(len(tokens))
@@ -74,16 +99,42 @@ class TemplateMiner:
 
     def add(self, line: int, tokens: list[str]) -> int:
         """Group of the line. Lines of at most one token only join equal ones."""
-        g = self.match(tokens) if len(tokens) > 1 else next((i for i in (self._leaf(tokens, False) or ()) if self.groups[i].template == tokens), None)
+        g = self.find(tokens)
         if g is None:
-            g = len(self.groups)
-            self.groups.append(_Group(list(tokens)))
-            self._leaf(tokens, True).append(g)
+            g = self.open(tokens)
         else:
             self.groups[g].template = [a if a == b else WILD for a, b in zip(self.groups[g].template, tokens, strict=True)]
         self.groups[g].lines.append(line)
+        self.used[g] = None
+        self.used.move_to_end(g)
+        return g
+
+    def open(self, tokens: list[str]) -> int:
+        """A new group of this template; beyond the groups kept, the least recently used leaves the tree."""
+        if self.config.max_clusters is not None and len(self.used) >= self.config.max_clusters:
+            old, _ = self.used.popitem(last=False)
+            for leaf in self.leaves(self.roots[len(self.groups[old].template)]):
+                if old in leaf:
+                    leaf.remove(old)
+        g = len(self.groups)
+        self.groups.append(_Group(list(tokens)))
+        self._leaf(tokens, True).append(g)
+        self.used[g] = None
         return g
 
+    def leaves(self, node: dict) -> Iterator[list[int]]:
+        for key, child in node.items():
+            if key == "":
+                yield child
+            else:
+                yield from self.leaves(child)
+
+    def find(self, tokens: list[str]) -> int | None:
+        """Group that a line matches, without learning from it."""
+        if len(tokens) > 1:
+            return self.match(tokens)
+        return next((i for i in (self._leaf(tokens, False) or ()) if self.groups[i].template == tokens), None)
+
     def template(self, g: int) -> str:
         return " ".join(self.groups[g].template)
 
@@ -94,9 +145,9 @@ def mine(lines: DataFrame, line_id: str = "line_id", content: str = "content", c
     The tree's state is separate per number of tokens, so that is the grouping.
     Equal masked lines are mined once, at their first appearance - a repeat can
     neither open a group nor change a template - so a group holds distinct lines
-    only. The template is the group's last, or with ``running`` that after the line.
+    only. The template is the group's last, or with ``running`` that at the line.
     """
-    tokenised = lines.withColumn("_m", F.regexp_replace(F.regexp_replace(mask(F.coalesce(F.col(content), F.lit(""))), r"^\s+|\s+$", ""), r"\s+", " "))
+    tokenised = lines.withColumn("_m", config.tokenised(F.col(content)))
     distinct = tokenised.groupBy("_m").agg(F.min(line_id).alias("_first")).withColumn("_n", F.when(F.col("_m") == "", 0).otherwise(F.size(F.split("_m", " "))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -107,13 +158,91 @@ def mine(lines: DataFrame, line_id: str = "line_id", content: str = "content", c
             g = miner.add(first, text.split(" ") if text else [])
             found.append(g)
             now.append(miner.template(g))
-        return pd.DataFrame({"_m": pdf["_m"], "template": now if running else [miner.template(g) for g in found]})
-
-    mined = distinct.groupBy("_n").applyInPandas(run, "_m string, template string")
-    out = tokenised.join(mined, "_m").drop("_m").withColumn("event_id", template_id(F.col("template")))
+        return pd.DataFrame({"_m": pdf["_m"], "_n": pdf["_n"], "_first": pdf["_first"], "_g": found, "_now": now, "template": [miner.template(g) for g in found]})
+
+    first = f"{line_id} {lines.schema[line_id].dataType.simpleString()}".replace(line_id, "_first", 1)
+    mined = distinct.groupBy("_n").applyInPandas(run, f"_m string, _n int, {first}, _g int, _now string, template string")
+    if running:
+        changes = mined.select("_n", "_g", F.col("_first").alias(line_id), F.col("_now").alias("template"))
+        out = asof_backward(tokenised.join(mined.select("_m", "_n", "_g"), "_m"), changes, ["_n", "_g"], line_id, "template")
+    else:
+        out = tokenised.join(mined.select("_m", "template"), "_m")
+    out = out.drop("_m", "_n", "_g").withColumn("event_id", template_id(F.col("template")))
     return out.withColumn("occurrence", F.row_number().over(Window.partitionBy("event_id").orderBy(line_id)))
 
 
 def catalogue(mined: DataFrame) -> DataFrame:
     """(event_id, template, occurrence), most frequent first."""
     return mined.groupBy("event_id", "template").agg(F.count("*").alias("occurrence")).orderBy(F.desc("occurrence"), "event_id")
+
+
+def numbered(mined: DataFrame, line_id: str = "line_id") -> DataFrame:
+    """Adds cluster_id, from 1 by the first line of each template: the number that mining line by line would give."""
+    first = mined.groupBy("event_id").agg(F.min(line_id).alias("_first"))
+    ids = first.select("event_id", F.row_number().over(Window.orderBy("_first")).alias("cluster_id"))  # a row per template
+    return mined.join(ids, "event_id")
+
+
+def save_catalogue(catalogue_: DataFrame, path: str) -> None:
+    """Stores (event_id, template, occurrence) as Parquet: the miner's state."""
+    catalogue_.select("event_id", "template", "occurrence").write.mode("overwrite").parquet(path)
+
+
+def load_catalogue(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def match_only(lines: DataFrame, catalogue_: DataFrame, content: str = "content", config: MinerConfig = MinerConfig()) -> DataFrame:
+    """Adds event_id and template by a stored catalogue, null where no template is similar enough; nothing is learned.
+
+    The catalogue, whose size ``max_clusters`` or the first mining bounds, goes to
+    every task; lines are matched where they lie, without a shuffle.
+    """
+    rows = [(r["event_id"], r["template"]) for r in catalogue_.select("event_id", "template", "occurrence").orderBy(F.desc("occurrence"), "event_id").toLocalIterator()]
+    shared = lines.sparkSession.sparkContext.broadcast(rows)
+
+    @F.pandas_udf("struct<event_id:string,template:string>")
+    def match(text: pd.Series) -> pd.DataFrame:
+        miner = TemplateMiner(config)
+        for _, template in shared.value:
+            miner.open(template.split(" ") if template else [])
+        known: dict[str, int | None] = {}
+        out = []
+        for t in text:
+            if t not in known:
+                known[t] = miner.find(t.split(" ") if t else [])
+            out.append(shared.value[known[t]] if known[t] is not None else (None, None))
+        return pd.DataFrame(out, columns=["event_id", "template"])
+
+    return lines.withColumn("_e", match(config.tokenised(F.col(content)))).select("*", "_e.event_id", "_e.template").drop("_e")
+
+
+def template_of(events: DataFrame, catalogue_: DataFrame) -> DataFrame:
+    """``events`` with the template of their event_id, empty where it is unknown."""
+    return events.join(catalogue_.select("event_id", "template").dropDuplicates(["event_id"]), "event_id", "left").withColumn("template", F.coalesce("template", F.lit("")))
+
+
+def parse_events(logs: DataFrame, catalogue_: DataFrame, log: str = "log", pod: str = "pod", config: MinerConfig = MinerConfig()) -> DataFrame:
+    """``logs`` with service, message, event_id and template: container lines are unwrapped by their service's rule, then matched."""
+    message, service = unwrap_service(F.col(log), F.col(pod))
+    return match_only(logs.withColumn("service", service).withColumn("message", message), catalogue_, "message", config)
+
+
+def mine_online(stream: DataFrame, line_id: str = "line_id", content: str = "content", config: MinerConfig = MinerConfig()) -> DataFrame:
+    """(line_id, event_id, template): the miner as the state of a stream, one tree per number of tokens; the template is the one at that moment."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    tokenised = stream.withColumn("_m", config.tokenised(F.col(content))).withColumn("_n", F.when(F.col("_m") == "", 0).otherwise(F.size(F.split("_m", " "))))
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        miner = TemplateMiner(config)
+        for template in state.get[0] if state.exists else ():
+            miner.open(list(template))
+        pdf = pd.concat(list(parts)).sort_values(line_id)
+        found = [miner.template(miner.add(i, t.split(" ") if t else [])) for i, t in zip(pdf[line_id], pdf["_m"], strict=True)]
+        state.update(([miner.groups[g].template for g in miner.used],))
+        yield pd.DataFrame({line_id: pdf[line_id], "template": found})
+
+    types = {f.name: f.dataType.simpleString() for f in stream.schema}
+    out = tokenised.groupBy("_n").applyInPandasWithState(step, f"{line_id} {types[line_id]}, template string", "templates array<array<string>>", "append", GroupStateTimeout.NoTimeout)
+    return out.withColumn("event_id", template_id(F.col("template")))
