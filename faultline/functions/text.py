@@ -143,3 +143,20 @@ def template_parameters(message: Column, template: Column) -> Column:
 
 def span_event(service: Column, operation: Column, what: str) -> Column:
     return F.concat_ws(" ", service, operation, F.lit(what))
+
+
+def log_envelope(message: Column, time: Column) -> Column:
+    """A container runtime's JSON line around a log message: log (message, severity, timestamp), stream, time."""
+    log = F.struct(message.alias("message"), F.lit("info").alias("severity"), time.alias("timestamp"))
+    return F.to_json(F.struct(log.alias("log"), F.lit("stdout").alias("stream"), time.alias("time")))
+
+
+def local_time(seconds: Column, hours: int = 9) -> Column:
+    """Epoch seconds as the clock reads ``hours`` east of Greenwich, whatever the session's zone."""
+    return F.date_format(F.to_timestamp_ntz(F.concat(F.lit("1970-01-01 00:00:00"))) + F.make_dt_interval(secs=(seconds + 3600 * hours).cast("decimal(18,6)")), "yyyy-MM-dd HH:mm:ss")
+
+
+def date_hour(seconds: Column) -> Column:
+    """(date, hour) of epoch seconds, in UTC."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int"))
+    return F.struct(day.alias("date"), F.floor(F.pmod(seconds, F.lit(86400)) / 3600).cast("int").alias("hour"))

@@ -49,8 +49,22 @@ def unpivot_metrics(wide: DataFrame, keys: list[str], metrics: list[str]) -> Dat
     return wide.unpivot(keys, metrics, "metric", "value")
 
 
-def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], ts: str, value: str) -> DataFrame:
-    """``left`` with the value of the latest row of ``right`` at or before its time, null if none; one sort of the union, no range join."""
+def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], ts: str, value: str, width: int | None = None) -> DataFrame:
+    """``left`` with the value of the latest row of ``right`` at or before its time, null if none; a sort of the union, no range join.
+
+    With ``width``, times are cut into ranges of it, so a hot key, or no key at
+    all, is sorted in as many tasks as it has ranges; a range starts with the last
+    value of the ranges before it, which one small row per range tells.
+    """
+    if width is not None:
+        at = "_range"
+        l, r = (df.withColumn(at, F.floor(F.col(ts) / width)) for df in (left, right))
+        inside = asof_backward(l, r, [*keys, at], ts, value)
+        ends = r.where(F.col(value).isNotNull()).groupBy(*keys, at).agg(F.max_by(value, ts).alias("_last"))
+        marks = ends.unionByName(l.select(*keys, at).distinct(), allowMissingColumns=True).groupBy(*keys, at).agg(F.max("_last").alias("_last"))
+        before = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+        marks = marks.select(*keys, at, F.last("_last", True).over(before).alias("_before"))
+        return inside.join(marks, [*keys, at]).withColumn(value, F.coalesce(value, "_before")).drop(at, "_before")
     r = right.groupBy(*keys, ts).agg(F.max(value).alias(value))
     both = left.withColumn("_right", F.lit(0)).withColumn(value, F.lit(None).cast(r.schema[value].dataType)).unionByName(r.withColumn("_right", F.lit(1)), allowMissingColumns=True)
     w = Window.partitionBy(*keys).orderBy(F.col(ts), F.col("_right").desc()).rowsBetween(Window.unboundedPreceding, 0)
@@ -71,7 +85,7 @@ def fault_segments(obs: DataFrame, segments: DataFrame, ts: str = "ts") -> DataF
 
 
 def batch_slice(obs: DataFrame, start: int, width: int, ts: str = "ts") -> DataFrame:
-    """Rows with start <= ts <= start + width but for those of the last time."""
+    """Rows with start <= ts <= start + width but for those of the last time: one row of an aligned matrix, whose times are distinct."""
     inside = obs.where(F.col(ts).between(start, start + width))
     last = inside.agg(F.max(ts).alias("_last"))
     return inside.join(F.broadcast(last), F.col(ts) < F.col("_last")).drop("_last")

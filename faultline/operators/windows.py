@@ -89,3 +89,29 @@ def session_windows(events: DataFrame, entity: str, ts: str, gap: int) -> DataFr
     e = e.withColumn("_new", (F.col("t") - F.lag("t").over(order) > gap).cast("int"))
     e = e.withColumn("session", F.coalesce(F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, 0)), F.lit(0)))
     return e.groupBy("entity", "session").agg(F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.count("*").alias("n"))
+
+
+def template_frequencies(windows: DataFrame, events: DataFrame, entity: str, ts: str, template: str) -> DataFrame:
+    """``windows`` with ``frequencies``, a map of the templates inside each to how often they occur.
+
+    Every template's events are counted up to a window's first and last event by
+    running sums in a union of both, so no event is repeated per window; a window
+    has a row for each template of its entity, not for each event.
+    """
+    ranked = events.select(F.col(entity).alias("entity"), F.col(ts).alias("t"), F.col(template).alias("template"))
+    ranked = ranked.withColumn("i", F.row_number().over(Window.partitionBy("entity").orderBy("t", "template")) - 1)
+    kinds = ranked.select("entity", "template").distinct()
+    edges = windows.select("entity", "lo", "hi", F.explode(F.array("lo", "hi")).alias("i")).join(kinds, "entity")
+    none = F.lit(None).cast("int")
+    rows = ranked.select("entity", "template", "i", F.lit(1).alias("one"), none.alias("lo"), none.alias("hi")).unionByName(edges.select("entity", "template", "i", F.lit(0).alias("one"), F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi")))
+    before = Window.partitionBy("entity", "template").orderBy("i").rangeBetween(Window.unboundedPreceding, -1)
+    counted = rows.withColumn("c", F.coalesce(F.sum("one").over(before), F.lit(0))).where("one = 0")
+    per = counted.groupBy("entity", "lo", "hi", "template").agg((F.max("c") - F.min("c")).alias("n")).where("n > 0")
+    return per.groupBy("entity", "lo", "hi").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("template", "n")))).alias("frequencies"))
+
+
+def entity_spans(events: DataFrame, entity: str, ts: str) -> DataFrame:
+    """Per entity its first and last event, and over the entities up to it, by name, the latest start and the earliest end: what all of them cover."""
+    span = events.groupBy(F.col(entity).alias("entity")).agg(F.min(ts).alias("start_t"), F.max(ts).alias("end_t"))
+    upto = Window.orderBy("entity").rowsBetween(Window.unboundedPreceding, 0)  # a row per entity
+    return span.withColumn("last_start", F.max("start_t").over(upto)).withColumn("least_end", F.min("end_t").over(upto))
