@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import l1
 from ..operators import align, causal, detect, prep, rank, scorers
+from ..operators.frames import materialised
 
 #: name -> function of (pooled, gated series incl. KPI, changes(case_id, metric, a)) giving (case_id, metric, entity, score).
 METHODS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {}
@@ -59,11 +60,17 @@ def _spot(series: DataFrame, changes: DataFrame) -> DataFrame:
 
 @register("fastpc")
 def _fastpc(series: DataFrame, changes: DataFrame) -> DataFrame:
-    """Walk on the causal graph from the KPI, by each entity's partial correlation with it."""
+    """Walk on the causal graph from the KPI, by each entity's partial correlation with it given their parents."""
     edges = causal.pc_edges(series, _KEYS, "ts", alpha=0.01)
-    kpi = series.where(F.col("entity") == KPI).select(*_KEYS, "ts", F.col("value").alias("_k"))
-    r = series.join(kpi, [*_KEYS, "ts"]).groupBy(*_KEYS, "entity").agg(F.abs(F.coalesce(F.corr("value", "_k"), F.lit(0.0))).alias("r"))
-    return causal.walk(causal.transitions(edges, r, _KEYS), _KEYS, KPI)
+    return causal.walk(causal.transitions(edges, causal.partial_strengths(series, edges, _KEYS, "ts", KPI), _KEYS), _KEYS, KPI)
+
+
+@register("granger")
+def _granger(series: DataFrame, changes: DataFrame) -> DataFrame:
+    """The same walk on linear Granger causes above the 0.95 quantile of the graph's weights."""
+    n = series.groupBy(*_KEYS).agg(F.count_distinct("entity").alias("n"))
+    edges = rank.quantile_edges(causal.granger_edges(series, _KEYS, "ts").where("src <> dst").join(n, _KEYS), _KEYS, "n").drop("n", "weight")
+    return causal.walk(causal.transitions(edges, causal.partial_strengths(series, edges, _KEYS, "ts", KPI), _KEYS), _KEYS, KPI)
 
 
 def offline(obs: DataFrame, kpi: DataFrame, patch: int = 100, method: str = "baro") -> DataFrame:
@@ -74,12 +81,22 @@ def offline(obs: DataFrame, kpi: DataFrame, patch: int = 100, method: str = "bar
     of the KPI splits each metric's series, and an entity's scores add up over
     the metrics. The KPI itself is not ranked.
     """
+    return ranking(*prepared(obs, kpi, patch), method)
+
+
+def prepared(obs: DataFrame, kpi: DataFrame, patch: int) -> tuple[DataFrame, DataFrame]:
+    """(series, changes) for :func:`ranking`, from the inputs of :func:`offline`; both are computed once."""
     tagged = obs.withColumn("_case", F.struct("case_id", "metric"))
     every = obs.select("case_id", "metric").distinct().join(kpi.withColumnRenamed("value", "_k"), "case_id")
     aligned = align.common_timestamps(tagged, every.withColumn("_case", F.struct("case_id", "metric")), "_case").drop("_case")
     with_kpi = aligned.unionByName(every.join(aligned.select("case_id", "metric", "ts").distinct(), ["case_id", "metric", "ts"], "left_semi").select("case_id", "metric", F.lit(KPI).alias("entity"), "ts", F.col("_k").alias("value")))
     pooled = prep.patches(with_kpi, _KEYS, [*_KEYS, "entity"], patch).withColumn("value", l1(F.col("value"), *_KEYS, "entity")).withColumnRenamed("patch", "ts")
-    gated = prep.variance_gate(pooled, _KEYS, [*_KEYS, "entity"])
-    changes = detect.bocpd_changes(gated.where(F.col("entity") == KPI), _KEYS).groupBy(*_KEYS).agg(F.min("change").alias("a"))
-    scores = METHODS[method](gated, changes).where(F.col("entity") != KPI)
+    gated = materialised(prep.variance_gate(pooled, _KEYS, [*_KEYS, "entity"]))
+    changes = materialised(detect.bocpd_changes(gated.where(F.col("entity") == KPI), _KEYS).groupBy(*_KEYS).agg(F.min("change").alias("a")))
+    return gated, changes
+
+
+def ranking(series: DataFrame, changes: DataFrame, method: str) -> DataFrame:
+    """(case_id, entity, score, rank) of pooled, gated series(case_id, metric, entity, ts, value) by a registered method."""
+    scores = METHODS[method](series, changes).where(F.col("entity") != KPI)
     return rank.ranked(rank.sum_over_metrics(scores, ["case_id"]), ["case_id"])

@@ -1,9 +1,9 @@
-"""Structured Streaming: hopping counts and online change detection with batch ranking at each trigger."""
+"""Structured Streaming: hopping counts, online change detection, alerts, and batch ranking at each trigger."""
 
 from __future__ import annotations
 
+import dataclasses
 import json
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.detect import Spot, cusum, distance_threshold
-from ..operators.frames import frame
+from ..functions.numeric import l1
+from ..operators import prep, rank
+from ..operators.frames import frame, materialised, shared_folder
 from ..operators.rank import average_overlap
 
 
@@ -62,28 +64,29 @@ class OnlineDetector:
         self.rows = self.rows[drop:]
         return out
 
-    def dump(self) -> str:
-        return json.dumps(self.__dict__)
+    def dump(self) -> tuple:
+        return self.rows, self.seen, self.cursor, self.distances
 
-    @classmethod
-    def load(cls, text: str) -> OnlineDetector:
-        out = cls()
-        out.__dict__ |= json.loads(text)
-        return out
+    def load(self, state: tuple) -> OnlineDetector:
+        rows, self.seen, self.cursor, distances = state
+        self.rows, self.distances = [list(map(float, r)) for r in rows], list(map(float, distances))
+        return self
 
 
 def detect_online(stream: DataFrame, key: str, values: list[str], ts: str = "ts", **params) -> DataFrame:
-    """(key, change, at): detections per key; rows must reach a key in time order of batches and are sorted within one."""
+    """(key, change, seen): detections per key; rows must reach a key in time order of batches and are sorted within one."""
     types = {f.name: f.dataType.simpleString() for f in stream.schema}
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        d = OnlineDetector.load(state.get[0]) if state.exists else OnlineDetector(**params)
+        d = OnlineDetector(**params)
+        if state.exists:
+            d.load(state.get)
         pdf = pd.concat(list(parts)).sort_values(ts)
         found = d.push(pdf[values].to_numpy(float).tolist())
-        state.update((d.dump(),))
+        state.update(d.dump())
         yield frame({key: [k[0]] * len(found), "change": found, "seen": [d.seen] * len(found)})
 
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {types[key]}, change long, seen long", "state string", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {types[key]}, change long, seen long", "rows array<array<double>>, seen long, cursor long, distances array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def spot_online(stream: DataFrame, key: str, ts: str = "ts", value: str = "value", **params) -> DataFrame:
@@ -118,17 +121,79 @@ class Convergence:
         return self.run >= self.times
 
 
+@dataclasses.dataclass
+class OnlineRanking:
+    """Ranks entities at each trigger over the history so far, until the rankings agree.
+
+    A batch of ``obs(metric, entity, ts, value)`` joins the history, of which the
+    last ``keep`` time units stay; per metric, the times that all entities have
+    make shares, which the ``method`` scores after a split at ``share`` of the
+    times; an entity's mean over the metrics, as a share of all, ranks it. Each
+    ranking is written with its confidence. The first one that reaches
+    ``failure_time + tolerance`` is marked early. History and rankings lie in
+    ``folder`` by batch, so a batch that is run again replaces its own.
+    """
+
+    folder: str
+    method: str = "nsigma"
+    share: float = 0.6
+    keep: int = 57_600
+    start: int | None = None
+    failure_time: int | None = None
+    tolerance: int = 600
+    convergence: Convergence = dataclasses.field(default_factory=Convergence)
+    done: bool = False
+    early: int | None = None
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if self.done:
+            return
+        batch.select("metric", "entity", "ts", "value").write.mode("overwrite").parquet(f"{self.folder}/history/batch={number}")
+        history = spark.read.option("basePath", f"{self.folder}/history").parquet(f"{self.folder}/history").where(F.col("batch") <= number).drop("batch")
+        last = history.agg(F.max("ts")).first()[0]
+        if last is None or self.start is not None and last < self.start:
+            return
+        series = materialised(history.where(F.col("ts") > last - self.keep))
+        final = rank.ranked(rank.mean_over_metrics(self.scores(series), ["case_id"]), ["case_id"])
+        if self.early is None and self.failure_time is not None and last >= self.failure_time + self.tolerance:
+            self.early = number
+        final = materialised(final)
+        out = final.join(F.broadcast(rank.confidence(final)), "case_id", "left").select("entity", "score", "rank", "confidence", F.lit(last).alias("until"), F.lit(self.early == number).alias("early"))
+        out.write.mode("overwrite").parquet(f"{self.folder}/ranking/batch={number}")
+        top = [r["entity"] for r in final.where(F.col("rank") <= self.convergence.depth).orderBy("rank").collect()]
+        self.done = self.convergence.add(top)
+
+    def scores(self, series: DataFrame) -> DataFrame:
+        from ..plans.root_cause import METHODS
+
+        keys = ["case_id", "metric"]
+        entities = series.groupBy("metric").agg(F.count_distinct("entity").alias("_n"))
+        common = series.groupBy("metric", "ts").agg(F.count_distinct("entity").alias("_c")).join(entities, "metric").where("_c = _n").select("metric", "ts")
+        s = series.join(common, ["metric", "ts"]).withColumn("case_id", F.lit("online")).withColumn("value", l1(F.col("value"), "metric", "entity"))
+        s = materialised(s)
+        split = prep.time_index(s, keys).groupBy(*keys).agg(F.floor(F.count("*") * self.share).alias("a"))
+        return METHODS[self.method](s, split)
+
+    def run(self, stream: DataFrame) -> DataFrame:
+        """Feeds what the stream has, batch by batch, and stops early once the rankings agree; all rankings, by batch."""
+        q = stream.writeStream.foreachBatch(self).option("checkpointLocation", f"{self.folder}/checkpoint").trigger(availableNow=True).start()
+        while not q.awaitTermination(1):
+            if self.done:
+                q.stop()
+        return stream.sparkSession.read.parquet(f"{self.folder}/ranking")
+
+
 def _drain(spark: SparkSession, out: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what there is and returns its output table."""
-    name, sc = f"out_{uuid.uuid4().hex}", spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir")
-    if not where:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        where = tempfile.mkdtemp(prefix="faultline-stream-")
-    q = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{where}/{name}").trigger(availableNow=True).start()
+    """Runs a stream over what there is and returns its output table, which lies in the shared folder by batch."""
+    where = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{where}/out" if mode == "complete" else f"{where}/out/batch={number}")
+
+    q = out.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(out.schema).parquet(f"{where}/out")
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,3 +211,18 @@ def run_hopping(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_online(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _event_stream(spark, sf_dir).select("event_type", "ts", (F.col("value") / 100).alias("a"), (F.get_json_object("props", "$.k").cast("double") / 100).alias("b"))
     return _drain(spark, detect_online(s, "event_type", ["a", "b"], window=20, shift=3, stride=4, pool=2), "append")
+
+
+def run_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly series that come in five batches; a fault is known half way."""
+    from .. import views
+
+    weekly = views.weekly(spark, sf_dir)
+    lo, hi = weekly.agg(F.min("ts"), F.max("ts")).first()
+    folder = f"{shared_folder(spark)}/online-{uuid.uuid4().hex}"
+    for k in range(5):  # one file after another, as they would arrive
+        part = weekly.where((F.col("ts") >= lo + (hi - lo + 1) * k // 5) & (F.col("ts") < lo + (hi - lo + 1) * (k + 1) // 5))
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(weekly.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    ranking = OnlineRanking(folder, failure_time=lo + (hi - lo + 1) // 2, tolerance=0, convergence=Convergence(times=99))
+    return ranking.run(stream).select("batch", "entity", F.round("score", 6).alias("score"), "rank", "early")
