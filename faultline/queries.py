@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import views
 from .functions import numeric, text
 from .operators import align, causal, detect, prep, rank, scorers, sensors, templates, traces, windows
+from .operators.frames import materialised
 from .views import ctes, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,21 +98,18 @@ def minute_filter(spark, d):
     return o.select("event_id", F.from_unixtime("ts", "yyyy-MM-dd HH:mm").alias("minute"))
 
 
-@query(ctes("obs", "kpi") + ", left_ AS (SELECT event_id, ts FROM obs WHERE metric = 'error') SELECT l.event_id, l.ts, round(k.value, 6) AS kpi FROM left_ l ASOF LEFT JOIN kpi k ON l.ts >= k.ts")
+@query(ctes("obs", "kpi") + " SELECT o.event_id, o.ts, round(k.value, 6) AS kpi FROM obs o ASOF LEFT JOIN kpi k ON o.ts >= k.ts")
 def kpi_asof(spark, d):
-    return _kpi_asof(spark, d, views.observations(spark, d).where("metric = 'error'"))
+    left = views.observations(spark, d).select("event_id", "ts")
+    right = views.kpi(spark, d).select("ts", F.col("value").alias("kpi"))
+    return align.asof_backward(left, right, [], "ts", "kpi", width=6 * 3600).select("event_id", "ts", r6("kpi"))
 
 
-@query(ORACLES["kpi_asof"].replace(" WHERE metric = 'error'", ""))
-def kpi_asof_all(spark, d):
-    """The KPI at every observation; kpi_asof, whose SQL is fixed, takes one metric."""
-    return _kpi_asof(spark, d, views.observations(spark, d))
-
-
-def _kpi_asof(spark, d, observations):
-    left = observations.select("event_id", "ts", F.lit(0).alias("one"))
-    right = views.kpi(spark, d).select(F.lit(0).alias("one"), "ts", F.col("value").alias("kpi"))
-    return align.asof_backward(left, right, ["one"], "ts", "kpi").select("event_id", "ts", r6("kpi"))
+@query(ctes("obs") + ", l AS (SELECT event_id, entity, ts FROM obs WHERE metric <> 'error'), r AS (SELECT entity, ts, max(value) AS error FROM obs WHERE metric = 'error' GROUP BY 1, 2) SELECT l.event_id, round(r.error, 6) AS error FROM l ASOF LEFT JOIN r ON l.entity = r.entity AND l.ts >= r.ts")
+def entity_asof(spark, d):
+    o = views.observations(spark, d)
+    left, right = o.where("metric <> 'error'").select("event_id", "entity", "ts"), o.where("metric = 'error'").select("entity", "ts", F.col("value").alias("error"))
+    return align.asof_backward(left, right, ["entity"], "ts", "error", width=24 * 3600).select("event_id", r6("error"))
 
 
 # ------------------------------------------------------------- text
@@ -193,6 +191,13 @@ def unwrap_json(spark, d):
     return views.logs(spark, d).select("event_id", service.alias("service"), out.alias("message"))
 
 
+@query(ctes("logs") + " SELECT event_id, CAST(to_json({'log': {'message': message, 'severity': 'info', 'timestamp': CAST(ts AS VARCHAR)}, 'stream': 'stdout', 'time': CAST(ts AS VARCHAR)}) AS VARCHAR) AS line, strftime(to_timestamp(ts + 32400) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS local, CAST(to_timestamp(ts) AT TIME ZONE 'UTC' AS DATE) AS date, CAST(hour(to_timestamp(ts) AT TIME ZONE 'UTC') AS INT) AS hour FROM logs")
+def log_envelope(spark, d):
+    ts = F.col("ts")
+    at = text.date_hour(ts)
+    return views.logs(spark, d).select("event_id", text.log_envelope(F.col("message"), ts.cast("string")).alias("line"), text.local_time(ts).alias("local"), at["date"].alias("date"), at["hour"].alias("hour"))
+
+
 # ------------------------------------------------------------- windows
 
 _WINDOWS = """, t AS (SELECT entity, ts AS t, {extra} FROM {source}), span AS (SELECT entity, min(t) AS t0, max(t) AS t1, count(*) AS total FROM t GROUP BY 1
@@ -263,6 +268,19 @@ def session_runs(spark, d):
     return windows.session_windows(views.logs(spark, d), "entity", "ts", 3600)
 
 
+@query(ctes("logs") + _windows_sql("logs", 1800, 30) + ", ev AS (SELECT entity, template, row_number() OVER (PARTITION BY entity ORDER BY ts) - 1 AS i, ts FROM logs), n AS (SELECT w.entity, w.lo, w.hi, e.template, count(*) AS n FROM win w JOIN ev e ON e.entity = w.entity AND e.i >= w.lo AND e.i < w.hi GROUP BY 1, 2, 3, 4) SELECT entity, lo, hi, string_agg(template || '=' || n, ',' ORDER BY template) AS frequencies FROM n GROUP BY 1, 2, 3")
+def window_templates(spark, d):
+    logs = views.logs(spark, d)
+    f = windows.template_frequencies(windows.sliding_windows(logs, "entity", "ts", 1800, 30), logs, "entity", "ts", "template")
+    pairs = F.transform(F.map_entries("frequencies"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string")))
+    return f.select("entity", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), F.array_join(pairs, ",").alias("frequencies"))
+
+
+@query(ctes("logs") + ", s AS (SELECT entity, min(ts) AS start_t, max(ts) AS end_t FROM logs GROUP BY 1) SELECT *, max(start_t) OVER (ORDER BY entity) AS last_start, min(end_t) OVER (ORDER BY entity) AS least_end FROM s")
+def entity_spans(spark, d):
+    return windows.entity_spans(views.logs(spark, d), "entity", "ts")
+
+
 # ------------------------------------------------------------- preparation
 
 _W = ctes("weekly0", "weekly", "weekly_kpi")
@@ -303,16 +321,10 @@ def variance_gate(spark, d):
     return prep.variance_gate(prep.drop_constant(prep.drop_near_constant(x, s), s), ["metric"], s).groupBy(*s).agg(F.count("*").alias("n"))
 
 
-@query("""WITH n(entity) AS (VALUES ('main_a'), ('redis_x'), ('rabbitmq-1'), ('cart_cpu'), ('cart_mem'), ('a_lat50'), ('x-frontend-external'), ('session'), ('time.1'), ('Score_1'), ('queue-master_latency'), ('pay_latency')), o AS (SELECT entity, event_id, value * CASE WHEN entity = 'cart_mem' THEN 0.000001 ELSE 1 END AS value FROM n, events WHERE event_id % 50 = 0)
+@query("""WITH n(entity) AS (VALUES ('main_a'), ('redis_x'), ('rabbitmq-1'), ('cart_cpu'), ('cart_mem'), ('a_lat50'), ('x-frontend-external'), ('session'), ('time.1'), ('Score_1'), ('queue-master_latency'), ('pay_latency')), o AS (SELECT entity, event_id, value * CASE WHEN entity = 'cart_mem' THEN 0.000001 ELSE 1 END AS value FROM n, events)
 , k AS (SELECT * FROM o WHERE NOT regexp_matches(entity, '^(main_|PassthroughCluster_|redis_|rabbitmq|queue|session|istio-proxy)|frontend-external|^time\\.1$')), s AS (SELECT entity, stddev_samp(value) AS sd FROM k GROUP BY 1)
 SELECT s.entity, (ends_with(entity, '_cpu') OR ends_with(entity, '_mem')) AND sd > 1 OR contains(entity, 'lat50') AND sd * 1000 > 10 AS useful, regexp_matches(entity, 'Score|golden_signal|cost|occurrence|latency|Latency|latency-50|_error') AND NOT regexp_matches(entity, 'queue-master|rabbitmq_') AS is_kpi, round(CASE WHEN ends_with(entity, '_mem') THEN m / 1e6 ELSE m END, 9) AS mean_mb FROM s JOIN (SELECT entity, avg(value) AS m FROM k GROUP BY 1) USING (entity)""".replace("\\\\", "\\"))
 def column_rules(spark, d):
-    return _column_rules(table(spark, d, "events").where("event_id % 50 = 0"))
-
-
-@query(ORACLES["column_rules"].replace(" WHERE event_id % 50 = 0", ""))
-def column_rules_all(spark, d):
-    """The rules over every event; column_rules, whose SQL is fixed, reads one event in fifty."""
     return _column_rules(table(spark, d, "events"))
 
 
@@ -391,6 +403,12 @@ def anomaly_merge(spark, d):
     return scorers.threshold_anomalies(o, ["entity"], 80.0, ts="event_id").select("entity", "event_id", F.col("row").cast("long").alias("row"))
 
 
+@query(ctes("obs") + ", i AS (SELECT entity, event_id, value, row_number() OVER (PARTITION BY entity ORDER BY event_id) - 1 AS row FROM obs), a AS (SELECT *, lag(row) OVER (PARTITION BY entity ORDER BY event_id) AS p FROM i WHERE value > CASE WHEN entity < 'u5' THEN 80 ELSE 1e9 END), k AS (SELECT entity, event_id, row FROM a WHERE p IS NULL OR row - p > 5) SELECT * FROM k UNION ALL SELECT entity, arg_max(event_id, (value, -row)), arg_max(row, (value, -row)) FROM i WHERE row >= 5 AND entity NOT IN (SELECT entity FROM k) GROUP BY 1")
+def anomaly_or_peak(spark, d):
+    o = views.observations(spark, d).withColumn("value", F.when(F.col("entity") < "u5", F.col("value")).otherwise(F.col("value") - 1e9))
+    return scorers.anomalies_or_peak(o, ["entity"], 80.0, ts="event_id").select("entity", "event_id", F.col("row").cast("long").alias("row"))
+
+
 @query(ctes("obs") + ", m AS (SELECT entity, event_id AS i, CAST(floor(value / 40) AS BIGINT) AS m FROM obs), j AS (SELECT *, abs(m - lag(m) OVER (PARTITION BY entity ORDER BY i)) AS jump FROM m) SELECT entity, i, jump FROM j WHERE jump > 1")
 def change_point_jumps(spark, d):
     m = views.observations(spark, d).select("entity", F.col("event_id").alias("i"), F.floor(F.col("value") / 40).alias("m"))
@@ -416,20 +434,21 @@ def log_euclid(spark, d):
     return scorers.log_euclidean(m.where("half = 0"), m.where("half = 1"), ["metric"]).select("metric", r6("distance"))
 
 
-@query(ctes("obs") + """, s AS (SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY ts, event_id) - 1 AS i, value / 100 AS v FROM obs WHERE metric = 'error')
-, g AS (SELECT entity, i, v, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, false AS alarm FROM s WHERE i = 0
- UNION ALL SELECT n.entity, n.i, n.v, CASE WHEN greatest(0, g.up + n.v - g.v - 0.05) > 0.8 OR greatest(0, g.down - (n.v - g.v) - 0.05) > 0.8 THEN 0 ELSE greatest(0, g.up + n.v - g.v - 0.05) END, CASE WHEN greatest(0, g.up + n.v - g.v - 0.05) > 0.8 OR greatest(0, g.down - (n.v - g.v) - 0.05) > 0.8 THEN 0 ELSE greatest(0, g.down - (n.v - g.v) - 0.05) END, greatest(0, g.up + n.v - g.v - 0.05) > 0.8 OR greatest(0, g.down - (n.v - g.v) - 0.05) > 0.8 FROM g JOIN s n ON n.entity = g.entity AND n.i = g.i + 1)
-SELECT entity, i AS alarm FROM g WHERE alarm""")
+@query(ctes("obs") + """, s AS (SELECT entity, metric, row_number() OVER (PARTITION BY entity, metric ORDER BY ts, event_id) - 1 AS i, value / 100 AS v FROM obs)
+, g AS (SELECT entity, metric, i, v, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, false AS alarm FROM s WHERE i = 0
+ UNION ALL SELECT n.entity, n.metric, n.i, n.v, CASE WHEN greatest(0, g.up + n.v - g.v - 0.05) > 0.8 OR greatest(0, g.down - (n.v - g.v) - 0.05) > 0.8 THEN 0 ELSE greatest(0, g.up + n.v - g.v - 0.05) END, CASE WHEN greatest(0, g.up + n.v - g.v - 0.05) > 0.8 OR greatest(0, g.down - (n.v - g.v) - 0.05) > 0.8 THEN 0 ELSE greatest(0, g.down - (n.v - g.v) - 0.05) END, greatest(0, g.up + n.v - g.v - 0.05) > 0.8 OR greatest(0, g.down - (n.v - g.v) - 0.05) > 0.8 FROM g JOIN s n ON n.entity = g.entity AND n.metric = g.metric AND n.i = g.i + 1)
+SELECT entity, metric, i AS alarm FROM g WHERE alarm""")
 def cusum_alarms(spark, d):
-    s = views.observations(spark, d).where("metric = 'error'").withColumn("at", F.row_number().over(Window.partitionBy("entity").orderBy("ts", "event_id"))).withColumn("value", F.col("value") / 100)
-    return detect.cusum_alarms(s, ["entity"], 0.8, 0.05, ts="at").select("entity", "alarm")
+    return detect.cusum_alarms(_numbered(spark, d), ["entity", "metric"], 0.8, 0.05, ts="at").select("entity", "metric", "alarm")
+
+
+def _numbered(spark, d):
+    return views.observations(spark, d).withColumn("at", F.row_number().over(Window.partitionBy("entity", "metric").orderBy("ts", "event_id"))).withColumn("value", F.col("value") / 100)
 
 
 @query()
-def cusum_alarms_all(spark, d):
-    """Alarms of every series, one per entity and metric; cusum_alarms, whose SQL is fixed, takes one metric."""
-    s = views.observations(spark, d).withColumn("at", F.row_number().over(Window.partitionBy("entity", "metric").orderBy("ts", "event_id"))).withColumn("value", F.col("value") / 100)
-    return detect.cusum_alarms(s, ["entity", "metric"], 0.8, 0.05, ts="at").select("entity", "metric", "alarm")
+def cusum_ends(spark, d):
+    return detect.cusum_ends(_numbered(spark, d), ["entity", "metric"], 0.8, 0.05, ts="at").select("entity", "metric", "alarm", "start", "end", r6("amplitude"))
 
 
 _CORR = _W + ", c AS (SELECT a.metric, a.entity AS a, b.entity AS b, corr(a.value, b.value) AS r, count(*) AS n FROM weekly a JOIN weekly b ON a.metric = b.metric AND a.ts = b.ts AND a.entity < b.entity GROUP BY 1, 2, 3)"
@@ -465,16 +484,16 @@ def ci_tests_l1(spark, d):
 # ------------------------------------------------------------- graphs and walks
 
 _EDGES = [("s0", "s1"), ("s1", "s2"), ("s3", "s2"), ("s2", "kpi"), ("s0", "kpi"), ("s1", "s0")]
-_KR = _W + ", rk AS (SELECT w.metric, w.entity, abs(corr(w.value, k.value)) AS r FROM weekly w JOIN weekly_kpi k USING (ts) GROUP BY 1, 2 UNION ALL SELECT DISTINCT metric, 'kpi', 1.0 FROM weekly), ed(src, dst) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _EDGES) + """), bk AS (SELECT metric, dst AS src, src AS dst, r AS w FROM ed JOIN rk ON entity = src
-), fw AS (SELECT metric, src, dst, 0.01 * r AS w FROM ed e JOIN rk ON entity = src WHERE NOT EXISTS (SELECT 1 FROM ed f WHERE f.src = e.dst AND f.dst = e.src)), st AS (SELECT metric, src, dst, max(w) AS w FROM (SELECT * FROM bk UNION ALL SELECT * FROM fw) GROUP BY 1, 2, 3
-), sf AS (SELECT rk.metric, entity AS src, entity AS dst, greatest(0, r - coalesce((SELECT max(w) FROM st WHERE st.metric = rk.metric AND st.src = entity), 0)) AS w FROM rk), al AS (SELECT * FROM st UNION ALL SELECT * FROM sf
+_KR = _W + ", rk AS (SELECT w.metric, w.entity, abs(corr(w.value, k.value)) AS r FROM weekly w JOIN weekly_kpi k USING (ts) GROUP BY 1, 2 UNION ALL SELECT DISTINCT metric, 'kpi', 0.0 FROM weekly), ed(src, dst) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _EDGES) + """), bk AS (SELECT metric, dst AS src, src AS dst, r AS w FROM ed JOIN rk ON entity = src
+), fw AS (SELECT metric, src, dst, 0.01 * r AS w FROM ed e JOIN rk ON entity = dst WHERE NOT EXISTS (SELECT 1 FROM ed f WHERE f.src = e.dst AND f.dst = e.src)), st AS (SELECT metric, src, dst, max(w) AS w FROM (SELECT * FROM bk UNION ALL SELECT * FROM fw) GROUP BY 1, 2, 3
+), sf AS (SELECT rk.metric, entity AS src, entity AS dst, greatest(0, r - coalesce((SELECT max(w) FROM bk WHERE bk.metric = rk.metric AND bk.src = entity), 0)) AS w FROM rk), al AS (SELECT * FROM st UNION ALL SELECT * FROM sf
 ), tr AS (SELECT metric, src, dst, w / nullif(sum(w) OVER (PARTITION BY metric, src), 0) AS p FROM al)"""
 
 
 def _transitions(spark, d):
     w, k = views.weekly(spark, d), views.weekly_kpi(spark, d).withColumnRenamed("value", "k")
     r = w.join(k, "ts").groupBy("metric", "entity").agg(F.abs(F.corr("value", "k")).alias("r"))
-    r = r.unionByName(w.select("metric").distinct().select("metric", F.lit("kpi").alias("entity"), F.lit(1.0).alias("r")))
+    r = r.unionByName(w.select("metric").distinct().select("metric", F.lit("kpi").alias("entity"), F.lit(0.0).alias("r")))
     e = w.select("metric").distinct().join(F.broadcast(spark.createDataFrame(_EDGES, "src string, dst string")))
     return causal.transitions(e, r, ["metric"])
 
@@ -499,6 +518,31 @@ def kth_threshold(spark, d):
     return rank.kth_threshold(e, ["metric"], "n").select("metric", "src", "dst")
 
 
+@query(_CORR + ", e AS (SELECT metric, a AS src, b AS dst, abs(r) AS weight FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY weight DESC, src, dst) AS i FROM e) SELECT metric, src, dst FROM k e WHERE weight > greatest(0.02, coalesce((SELECT weight FROM k WHERE k.metric = e.metric AND i = 10), 0))")
+def online_threshold(spark, d):
+    e = _corr(spark, d).select("metric", F.col("a").alias("src"), F.col("b").alias("dst"), F.abs("r").alias("weight"), F.lit(4).alias("n"))
+    return rank.online_threshold(e, ["metric"], "n", floor=0.02).select("metric", "src", "dst")
+
+
+@query(_CORR + ", e AS (SELECT metric, a AS src, b AS dst, abs(r) AS weight FROM c), z AS (SELECT metric, weight FROM e UNION ALL SELECT metric, 0.0 FROM (SELECT metric, 16 - count(*) AS n FROM e GROUP BY 1), range(16) t(i) WHERE i < n), q AS (SELECT metric, quantile_cont(weight, 0.95) AS cut FROM z GROUP BY 1) SELECT metric, src, dst FROM e JOIN q USING (metric) WHERE weight > cut")
+def quantile_edges(spark, d):
+    e = _corr(spark, d).select("metric", F.col("a").alias("src"), F.col("b").alias("dst"), F.abs("r").alias("weight"), F.lit(4).alias("n"))
+    return rank.quantile_edges(e, ["metric"], "n").select("metric", "src", "dst")
+
+
+@query(_CORR + ", e AS (SELECT metric, a AS src, b AS dst FROM c UNION ALL SELECT metric, b, a FROM c), m AS (SELECT metric, CASE WHEN src IN ('s1', 's2') THEN 's12' ELSE src END AS src, CASE WHEN dst IN ('s1', 's2') THEN 's12' ELSE dst END AS dst FROM e) SELECT DISTINCT metric, src, dst FROM m WHERE src <> dst")
+def node_merge(spark, d):
+    c = _corr(spark, d)
+    e = c.select("metric", F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(c.select("metric", F.col("b").alias("src"), F.col("a").alias("dst")))
+    return rank.relabel_edges(e, spark.createDataFrame([("s1", "s12"), ("s2", "s12")], "node string, into string"), ["metric"])
+
+
+@query(_CORR + " SELECT metric, a AS Cause, b AS Effect, round(abs(r), 6) AS Strength FROM c WHERE b = 's3'")
+def effect_export(spark, d):
+    e = _corr(spark, d).select("metric", F.col("a").alias("src"), F.col("b").alias("dst"), F.round(F.abs("r"), 6).alias("weight"))
+    return rank.effects_on(e, "s3", ["metric"])
+
+
 # ------------------------------------------------------------- combining and evaluating
 
 _SC = _ROBUST + ", sc AS (SELECT metric, entity, (top - m) / CASE WHEN b = a THEN 1 ELSE b - a END AS score FROM q JOIN t USING (metric, entity))"
@@ -697,6 +741,62 @@ def alarms(spark, d):
     return traces.first_alarms(o.withColumn("position", F.lit(0)), "hipster").select("pod", "ts", "metric_type")
 
 
+_AL = ctes("spans", "span_logs") + """, al(pod, metric_type, position) AS (VALUES ('user', 'CpuUsageRate', 0), ('user', 'NetworkP90', 1), ('system', 'MemoryUsageRate', 0))
+, la AS (SELECT trace, span, max(ns) AS l, count(*) AS n FROM span_logs GROUP BY 1, 2), ev AS (
+ SELECT trace, span, pod, start_ns AS ns, 0 AS part, pod || ' say start' AS event FROM spans UNION ALL SELECT trace, span, pod, l.ns, 2, l.event FROM span_logs l JOIN spans USING (trace, span)
+ UNION ALL SELECT s.trace, s.span, s.pod, start_ns + position + 1, 1, metric_type FROM spans s JOIN al USING (pod) JOIN la ON la.trace = s.trace AND la.span = s.span WHERE n + 2 > 2 AND start_ns < 3000
+ UNION ALL SELECT trace, span, pod, CASE WHEN l > end_ns THEN l + 1 ELSE end_ns END, 3, pod || ' say end' FROM spans LEFT JOIN la USING (trace, span))"""
+
+
+@query(_AL + " SELECT trace, span, ns, event, CAST(row_number() OVER (PARTITION BY trace, span ORDER BY CASE WHEN part <= 1 THEN 0 WHEN part = 3 THEN 2 ELSE 1 END, part, ns, event) - 1 AS INT) AS seq FROM ev")
+def span_alarms(spark, d):
+    """Alarms enter the spans of their pod that hold more than two events and start in the alarms' time."""
+    al = spark.createDataFrame([("user", "CpuUsageRate", 0, 0, 3000), ("user", "NetworkP90", 1, 0, 3000), ("system", "MemoryUsageRate", 0, 0, 3000)], "pod string, metric_type string, position int, from_ns long, to_ns long")
+    return traces.span_events(views.spans(spark, d), views.span_logs(spark, d), al, alarms_from=3).select("trace", "span", "ns", "event", "seq")
+
+
+_DEPTH = _EV + """, ed2 AS (SELECT trace, src, dst, span AS dst_span, seq + 1 AS dst_seq FROM ch WHERE dst IS NOT NULL UNION ALL SELECT trace, src, dst, dst_span, 0 FROM ce WHERE src IS NOT NULL
+), pr AS (SELECT trace, dst AS event, src, pod, CAST(contains(src, 'start') AND NOT contains(src, 'TraceID') AS INT) AS c FROM (SELECT e.*, s.pod, row_number() OVER (PARTITION BY e.trace, e.dst ORDER BY e.dst_span, e.dst_seq) AS r FROM ed2 e JOIN spans s ON s.trace = e.trace AND s.span = e.dst_span) WHERE r = 1
+), wk AS (SELECT trace, event AS target, event AS at, [event] AS path, 0 AS depth, false AS stop FROM pr
+ UNION ALL SELECT w.trace, w.target, p.src, list_append(w.path, p.src), w.depth + p.c, list_contains(w.path, p.src) FROM wk w JOIN pr p ON p.trace = w.trace AND p.event = w.at WHERE NOT w.stop
+), dp AS (SELECT w.trace, target AS event, max(depth) AS depth, any_value(p.pod) AS pod FROM wk w JOIN pr p ON p.trace = w.trace AND p.event = w.target GROUP BY 1, 2
+), db AS (SELECT event, depth, pod FROM (SELECT *, row_number() OVER (PARTITION BY event ORDER BY depth DESC, CAST(trace AS BIGINT)) AS r FROM dp WHERE depth > 0) WHERE r = 1)"""
+
+
+def _depths(spark, d):
+    e, pods = _events(spark, d), views.spans(spark, d).select("trace", F.col("span").alias("dst_span"), F.col("pod").alias("dst_pod"))
+    edges = traces.chain_edges(e).select("trace", "src", "dst", "dst_span", "dst_seq").unionByName(traces.call_edges(e).select("trace", "src", "dst", "dst_span", "dst_seq"))
+    return traces.event_depths(edges.join(pods, ["trace", "dst_span"]), ["dst_span", "dst_seq"])
+
+
+@query(_DEPTH + " SELECT trace, event, depth, pod FROM dp")
+def event_depth(spark, d):
+    return _depths(spark, d).select("trace", "event", "depth", "pod")
+
+
+@query(_DEPTH + " SELECT event, depth, pod FROM db")
+def deepest_pod(spark, d):
+    return traces.deepest(_depths(spark, d))
+
+
+_RANKED = _DEPTH + """, ps AS (SELECT n.src, n.dst, n.support / (n.support + coalesce(a.support, 0)) AS score FROM (SELECT * FROM su WHERE half = 0) n LEFT JOIN (SELECT * FROM su WHERE half = 1) a USING (src, dst) WHERE n.support > 2
+), al(pod, resource) AS (VALUES ('user', 'CpuUsageRate')), jn AS (SELECT p.src, p.dst, p.score, coalesce(b.depth, 1) AS depth, coalesce(b.pod, 'frontend') AS pod FROM ps p LEFT JOIN db b ON b.event = p.src WHERE p.score >= 0.4
+), rs AS (SELECT jn.*, resource, row_number() OVER (PARTITION BY jn.pod ORDER BY depth DESC, src, dst) AS r FROM jn LEFT JOIN al USING (pod))"""
+
+
+@query(_RANKED + " SELECT src, dst, round(score, 6) AS score, depth, pod, resource, row_number() OVER (ORDER BY score DESC, depth DESC, src, dst) AS rank FROM rs WHERE resource IS NULL OR r = 1")
+def pattern_ranking(spark, d):
+    alarmed = spark.createDataFrame([("user", "CpuUsageRate", 0), ("user", "NetworkP90", 1)], "pod string, metric_type string, position int")
+    scored = traces.pattern_scores(*_supports(spark, d), support=2, least=0.4)
+    return traces.rank_patterns(scored, traces.deepest(_depths(spark, d)), alarmed).withColumn("score", F.round("score", 6))
+
+
+@query(_PS + ", t(least) AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) SELECT CAST(least AS DOUBLE) AS least, count(*) AS patterns, round(max(score), 6) AS best FROM ps, t WHERE n > 2 AND score >= CAST(least AS DOUBLE) GROUP BY 1")
+def threshold_sweep(spark, d):
+    scored = traces.pattern_scores(*_supports(spark, d), support=2, least=0.0)
+    return traces.threshold_sweep(scored, [k / 10 for k in range(1, 10)]).withColumn("best", F.round("best", 6))
+
+
 @query(ctes("spans") + " SELECT s.pod, round(quantile_cont((p.end_ns - s.end_ns) / 1e6, 0.9), 9) AS latency FROM spans s JOIN spans p ON p.trace = s.trace AND p.span = s.parent AND p.pod <> s.pod GROUP BY 1")
 def network_p90(spark, d):
     return traces.network_latency(views.spans(spark, d)).select("pod", F.round("latency", 9).alias("latency"))
@@ -708,12 +808,12 @@ def metric_profile(spark, d):
     return traces.metric_profile(o).select("service", "metric", r6("mean"), r6("sd"))
 
 
-@query(ctes("spans") + ", w AS (SELECT trace, span, 0 AS depth FROM spans s WHERE NOT EXISTS (SELECT 1 FROM spans p WHERE p.trace = s.trace AND p.span = s.parent) UNION ALL SELECT s.trace, s.span, w.depth + 1 FROM w JOIN spans s ON s.trace = w.trace AND s.parent = w.span WHERE w.depth < 64) SELECT trace, span, min(depth) AS depth FROM w GROUP BY 1, 2")
+@query(ctes("spans") + ", w AS (SELECT trace, span, 0 AS depth FROM spans s WHERE NOT EXISTS (SELECT 1 FROM spans p WHERE p.trace = s.trace AND p.span = s.parent) UNION ALL SELECT s.trace, s.span, w.depth + 1 FROM w JOIN spans s ON s.trace = w.trace AND s.parent = w.span) SELECT trace, span, min(depth) AS depth FROM w GROUP BY 1, 2")
 def span_depth(spark, d):
     return traces.span_depths(spark, views.spans(spark, d))
 
 
-@query(ctes("logs") + ", f AS (SELECT entity AS pod, template AS event, min(ts) AS ts, count(*) AS n FROM logs GROUP BY 1, 2) SELECT pod, event, ts, n, CAST(row_number() OVER o AS INT) AS span_no, coalesce(lag(event) OVER o, 'root') AS parent FROM f WINDOW o AS (PARTITION BY pod ORDER BY ts, event)")
+@query(ctes("logs") + ", f AS (SELECT entity AS pod, template AS event, min(ts) AS first, count(*) AS n FROM logs GROUP BY 1, 2), g AS (SELECT pod, event, n, CAST(row_number() OVER o AS INT) AS span_no, coalesce(lag(event) OVER o, 'root') AS parent FROM f WINDOW o AS (PARTITION BY pod ORDER BY first, event)) SELECT g.*, l.ts FROM logs l JOIN g ON g.pod = l.entity AND g.event = l.template")
 def synthetic_trace(spark, d):
     logs = views.logs(spark, d).select(F.col("entity").alias("pod"), "ts", F.col("template").alias("event"))
     return traces.synthetic_traces(logs).select("pod", "event", "ts", "n", "span_no", "parent")
@@ -724,7 +824,7 @@ def synthetic_trace(spark, d):
 
 @query()
 def drain_templates(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "content")).withColumn("line_id", F.col("doc_id") * 1_000_000 + F.col("line_no"))
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "content")).withColumn("line_id", F.col("doc_id") * (1 << 31) + F.col("line_no"))
     return templates.mine(lines).select("line_id", "event_id", "template", "occurrence")
 
 
@@ -734,6 +834,28 @@ def drain_log_catalogue(spark, d):
     return templates.catalogue(templates.mine(lines)).select("template", "event_id", "occurrence")
 
 
+@query(ctes("logs") + " SELECT event_id AS line_id, template || ' status <*>' AS template, substr(md5(template || ' status <*>'), 1, 8) AS event_id FROM logs")
+def template_match(spark, d):
+    """Every line, matched by the catalogue mined from the even ones, without learning."""
+    lines = views.logs(spark, d).select(F.col("event_id").alias("line_id"), F.col("message").alias("content"))
+    known = templates.catalogue(templates.mine(lines.where("line_id % 2 = 0")))
+    return templates.match_only(lines, known).select("line_id", "template", "event_id")
+
+
+@query(ctes("logs") + ", f AS (SELECT template, min(event_id) AS first FROM logs GROUP BY 1), n AS (SELECT template, CAST(row_number() OVER (ORDER BY first) AS INT) AS cluster_id FROM f) SELECT event_id AS line_id, cluster_id FROM logs JOIN n USING (template)")
+def template_numbers(spark, d):
+    lines = views.logs(spark, d).select(F.col("event_id").alias("line_id"), F.col("message").alias("content"))
+    return templates.numbered(templates.mine(lines)).select("line_id", "cluster_id")
+
+
+@query(ctes("logs") + " SELECT event_id AS line_id, CASE WHEN event_id % 7 = 0 THEN '' ELSE template || ' status <*>' END AS template FROM logs")
+def template_lookup(spark, d):
+    lines = views.logs(spark, d).select(F.col("event_id").alias("line_id"), F.col("message").alias("content"))
+    mined = templates.mine(lines)
+    events = mined.select("line_id", F.when(F.col("line_id") % 7 == 0, "unknown").otherwise(F.col("event_id")).alias("event_id"))
+    return templates.template_of(events, templates.catalogue(mined)).select("line_id", "template")
+
+
 @query()
 def bocpd_changepoints(spark, d):
     p = _patched(spark, d).withColumnRenamed("patch", "ts")
@@ -756,6 +878,32 @@ def fastpc_edges(spark, d):
     return causal.pc_edges(_with_kpi(spark, d), ["metric"], "ts", alpha=0.01)
 
 
+@query()
+def partial_strengths(spark, d):
+    s = _with_kpi(spark, d)
+    return causal.partial_strengths(s, causal.pc_edges(s, ["metric"], "ts", alpha=0.01), ["metric"], "ts", "kpi").select("metric", "entity", r6("r"))
+
+
+@query()
+def granger_edges(spark, d):
+    return causal.granger_edges(_with_kpi(spark, d), ["metric"], "ts").select("metric", "src", "dst", r6("weight"))
+
+
+@query()
+def offline_ranking(spark, d):
+    """The whole offline plan by every registered method."""
+    from .plans import root_cause
+
+    obs = views.weekly(spark, d).withColumn("case_id", F.lit("a"))
+    kpi = views.weekly_kpi(spark, d).withColumn("case_id", F.lit("a"))
+    series, changes = root_cause.prepared(obs, kpi, 5)
+    out = None
+    for method in sorted(root_cause.METHODS):
+        one = materialised(root_cause.ranking(series, changes, method).select(F.lit(method).alias("method"), "case_id", "entity", r6("score"), "rank"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query()
 def rcd(spark, d):
     return causal.discretised_fnode_scores(prep.train_test(_with_kpi(spark, d), ["metric"]), ["metric"], "ts", alpha=0.9).select("metric", "entity", r6("score"))
@@ -773,13 +921,27 @@ def log_pca(spark, d):
     return detect.principal_scores(counts, ["entity"], "hour", "event", "n").select("entity", "hour", r6("score"), r6("spe"))
 
 
-@query()
+@query("WITH e AS (SELECT event_type, epoch(ts) AS t, value FROM events), w AS (SELECT CAST(floor(t / 600) * 600 - k * 600 AS BIGINT) AS start, event_type, value FROM e, (SELECT unnest([0, 1, 2]) AS k)) SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY 1, 2")
 def stream_hopping(spark, d):
     from .streaming import run_hopping
 
     return run_hopping(spark, d)
 
 
+@query(_W + """, lim AS (SELECT min(ts) AS lo, max(ts) AS hi FROM weekly), d0 AS (SELECT batch, metric, entity, ts, value FROM weekly, lim, (SELECT unnest([0, 1, 2, 3, 4]) AS batch) WHERE ts < lo + (hi - lo + 1) * (batch + 1) // 5
+), c AS (SELECT batch, metric, ts FROM d0 GROUP BY 1, 2, 3 HAVING count(DISTINCT entity) = 4), dd AS (SELECT batch, metric, entity, ts, value / nullif(sum(abs(value)) OVER (PARTITION BY batch, metric, entity), 0) AS value FROM d0 JOIN c USING (batch, metric, ts)
+), i AS (SELECT batch, metric, ts, row_number() OVER (PARTITION BY batch, metric ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY batch, metric) AS n FROM c
+), h AS (SELECT dd.*, i < least(floor(0.6 * n), n - 3) AS normal, i >= n - greatest(n - floor(0.6 * n), 3) AS anomalous FROM dd JOIN i USING (batch, metric, ts)
+), q AS (SELECT batch, metric, entity, avg(value) AS mean, stddev_pop(value) AS sd FROM h WHERE normal GROUP BY 1, 2, 3 HAVING min(value) <> max(value)), t AS (SELECT batch, metric, entity, max(value) AS top FROM h WHERE anomalous GROUP BY 1, 2, 3 HAVING min(value) <> max(value)
+), m AS (SELECT batch, entity, avg((top - mean) / CASE WHEN sd = 0 THEN 1 ELSE sd END) AS score FROM q JOIN t USING (batch, metric, entity) GROUP BY 1, 2), s AS (SELECT batch, entity, score / nullif(sum(abs(score)) OVER (PARTITION BY batch), 0) AS score FROM m
+), e AS (SELECT batch, lo + (hi - lo + 1) * (batch + 1) // 5 - 1 >= lo + (hi - lo + 1) // 2 AS late FROM lim, (SELECT unnest([0, 1, 2, 3, 4]) AS batch))
+SELECT batch, entity, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY batch ORDER BY score DESC, entity) AS INT) AS rank, batch = (SELECT min(batch) FROM e WHERE late) AS early FROM s""")
+def online_ranking(spark, d):
+    from .streaming import run_ranking
+
+    return run_ranking(spark, d)
+
+
 @query()
 def stream_online_rca(spark, d):
     from .streaming import run_online

@@ -219,7 +219,7 @@ def test_online_detector_splits_alike():
     whole = OnlineDetector().push(x)
     d, parts = OnlineDetector(), []
     for i in range(0, len(x), 37):
-        d = OnlineDetector.load(d.dump())
+        d = OnlineDetector().load(d.dump())
         parts += d.push(x[i : i + 37])
     assert parts == whole and any(380 <= c <= 480 for c in whole)
 

@@ -35,7 +35,8 @@ def test_oracle(spark, data, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
 def test_rows(spark, data, name):
-    assert queries.QUERIES[name](spark, data).columns
+    got = queries.QUERIES[name](spark, data).collect()
+    assert got or name in ("bocpd_changepoints", "spot_scores", "stream_online_rca", "fastpc_edges", "rcd")
 
 
 def test_entry(spark, data):
@@ -57,11 +58,11 @@ def test_core_needs_no_llm():
             assert not any("llm" in n for n in names), path
 
 
-def test_column_rules_all_reads_every_event(spark, tmp_path):
-    """Only event 1, which one event in fifty leaves out, moves the deviations and the mean."""
+def test_column_rules_read_every_event(spark, tmp_path):
+    """Only event 1 moves the deviations and the mean."""
     values = [(i, 4000.0 if i == 1 else 1.0) for i in range(101)]
     spark.createDataFrame(values, "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
-    got = {r["entity"]: r for r in queries.QUERIES["column_rules_all"](spark, str(tmp_path)).collect()}
+    got = {r["entity"]: r for r in queries.QUERIES["column_rules"](spark, str(tmp_path)).collect()}
     assert got["cart_cpu"]["useful"] and got["a_lat50"]["useful"]
     assert got["pay_latency"]["mean_mb"] == pytest.approx(sum(v for _, v in values) / len(values))
 
@@ -82,10 +83,10 @@ def test_every_metric_has_alarms_and_kpis(spark, data):
             if up > 0.8 or down > 0.8:
                 want.append((*key, i))
                 up = down = 0.0
-    assert sorted(tuple(r) for r in queries.QUERIES["cusum_alarms_all"](spark, data).collect()) == sorted(want)
+    assert sorted(tuple(r) for r in queries.QUERIES["cusum_alarms"](spark, data).collect()) == sorted(want)
     assert len({m for _, m, _ in want}) > 1
     kpi = [(r["ts"], r["value"]) for r in views.kpi(spark, data).collect()]
-    got = {r["event_id"]: r["kpi"] for r in queries.QUERIES["kpi_asof_all"](spark, data).collect()}
+    got = {r["event_id"]: r["kpi"] for r in queries.QUERIES["kpi_asof"](spark, data).collect()}
     assert len(got) == len(obs)
     for r in obs[::7]:
         assert got[r["event_id"]] == pytest.approx(max(k for k in kpi if k[0] <= r["ts"])[1], abs=1e-6)
