@@ -733,11 +733,8 @@ def test_toxicity(spark, awkward, empty):
 # ------------------------------------------------------------- pipeline
 
 
-def test_pipeline(spark, data, awkward, empty, tmp_path):
+def test_pipeline_takes_awkward_rows(spark, data, awkward, empty, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    docs = spark.read.parquet(f"{data}/documents.parquet")
-    kept = corpus_pipeline.identify_language(spark, docs, data)
-    assert kept.columns == docs.columns and kept.count() > 0.97 * docs.count()
     for df in (awkward, empty):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, df, data)
@@ -745,3 +742,60 @@ def test_pipeline(spark, data, awkward, empty, tmp_path):
             assert name == "byte_bpe" or out.columns == df.columns
     out = corpus_pipeline.run(spark, data)
     assert {"doc_id", "ids", "n_tokens"} <= set(out.columns) and out.count() > 0
+
+
+def _redacted(text):
+    spans = [tuple(x.split(":")) for x in _base(text)]
+    spans = [(int(a), int(b), k) for k, a, b in spans] + [(m.start(1), m.end(1), "secret") for m in re.finditer(r'token = "([0-9a-f]{40})"', text) if re.search("[a-z]", m[1]) and re.search("[0-9]", m[1])]
+    out, at, last = [], 0, None
+    for a, b, kind in sorted(spans):
+        if last is not None and a < last:
+            last = max(last, b)
+            at = last
+            continue
+        out += [text[at:a], f"[{kind.upper()}]"]
+        at = last = b
+    return "".join(out) + text[at:]
+
+
+def test_pipeline_stages_equal_brute_force(spark, data, path, tmp_path):
+    """Each stage, on what the one before it left, against a plain computation over the same rows."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = [r.asDict() for r in docs.collect()]
+        stage(spark, docs, data).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        seen[name] = before, [r.asDict() for r in docs.collect()]
+
+    before, after = seen["language_id"]
+    learned = language_id.Classifier(language_id.learn(spark.createDataFrame([(r["text"], r["lang"]) for r in before if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1], "text string, lang string")))
+    assert sorted(r["doc_id"] for r in after) == sorted(r["doc_id"] for r in before if learned(r["text"])[2])
+    assert len(after) > 0.97 * len(before)
+
+    before, after = seen["minhash_near_dedup"]
+    groups = _brute_shingles([(r["doc_id"], r["text"]) for r in before], 5, 80)
+    assert sorted(r["doc_id"] for r in after) == sorted(i for i, (_, low) in groups.items() if low == i)
+    assert {r["doc_id"]: r for r in after} == {r["doc_id"]: r for r in before if groups[r["doc_id"]][1] == r["doc_id"]}
+
+    before, after = seen["pii"]
+    assert {r["doc_id"]: r["text"] for r in after} == {r["doc_id"]: _redacted(r["text"]) for r in before} and len(after) == len(before)
+
+    before, after = seen["mixing"]
+    sizes = collections.Counter()
+    for r in before:
+        sizes[r["source"]] += len(r["text"].split())
+    want, taken = _targets(dict(sizes)), collections.Counter(r["doc_id"] for r in after)
+    for source in sizes:
+        at = 0
+        for _, _, r in sorted((int(hashlib.md5(f"{r['doc_id']}|{r['text']}".encode()).hexdigest()[:15], 16), r["doc_id"], r) for r in before if r["source"] == source):
+            n = len(r["text"].split())
+            copies = sum(at + n / 2 + p * sizes[source] < want[source] for p in range(3)) if n else 1
+            assert taken[r["doc_id"]] == copies
+            at += n
+
+    before, after = seen["byte_bpe"]
+    enc = _encoding(path)
+    ids = {r["doc_id"]: enc.encode_ordinary(r["text"]) for r in before}
+    assert sorted(r["doc_id"] for r in before) == sorted(r["doc_id"] for r in after) and all(r["ids"] == ids[r["doc_id"]] for r in after)
