@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import views
+from . import sources, views
 from .functions import numeric, text
 from .operators import align, causal, detect, prep, rank, scorers, sensors, templates, traces, windows
-from .operators.frames import materialised
+from .operators.frames import materialised, shared_folder
 from .views import ctes, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,6 +113,82 @@ def entity_asof(spark, d):
     return align.asof_backward(left, right, ["entity"], "ts", "error", width=24 * 3600).select("event_id", r6("error"))
 
 
+# ------------------------------------------------------------- readers: stand-ins written in the raw formats, and read back
+
+
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/raw-{uuid.uuid4().hex}"
+
+
+@query("SELECT CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_type AS label, round(value, 6) AS latency FROM events WHERE event_type = 'purchase'")
+def read_kpi_csv(spark, d):
+    where = _folder(spark)
+    e = table(spark, d, "events").select((F.unix_seconds(F.col("ts").cast("timestamp")) * numeric.digits_scale(10, 13)).alias("timeStamp"), F.lit(1).alias("elapsed"), F.col("event_type").alias("label"), F.col("value").alias("Latency"))
+    sources.write_csv(e, where)
+    return sources.kpi_csv(spark, where, unit=1000, label="purchase").select("ts", "label", r6("latency"))
+
+
+@query(ctes("obs") + " SELECT 'shop' AS kpi_label, 'pod' AS level, entity, CASE metric WHEN 'error' THEN 'cpu_usage' ELSE 'cpu' END AS metric, ts, round(value, 6) AS value FROM obs WHERE metric IN ('error', 'click')")
+def read_metric_dumps(spark, d):
+    """Two metrics in a tree of JSON dumps; a third name in the tree is left out."""
+    where, o = _folder(spark), views.observations(spark, d)
+    for metric, name in (("error", "cpu_usage"), ("click", "cpu"), ("view", "disk")):
+        series = o.where(F.col("metric") == metric).groupBy("entity").agg(F.collect_list(F.array(F.col("ts").cast("string"), F.col("value").cast("string"))).alias("values"))
+        hit = F.struct(F.create_map(F.lit("pod"), "entity").alias("metric"), "values")
+        dump = series.agg(F.collect_list(hit).alias("result")).select(F.to_json(F.struct(F.struct("result").alias("data"))).alias("value"))
+        (line,) = dump.collect()  # a stand-in of one file; the reader takes any number
+        spark.createDataFrame([(line["value"],)], "value string").coalesce(1).write.text(f"{where}/t/{name}")
+    _rename(spark, where)
+    return sources.metric_dumps(spark, f"{where}/shop", "pod", ["cpu", "cpu_usage"]).withColumn("value", F.round("value", 6))
+
+
+def _rename(spark, where: str) -> None:
+    """Moves the one part file of each ``t/<metric>`` to ``shop/shop_<metric>_0.json``."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(where).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(f"{where}/shop"))
+    for folder in fs.listStatus(path(f"{where}/t")):
+        for f in fs.listStatus(folder.getPath()):
+            if f.getPath().getName().startswith("part-"):
+                fs.rename(f.getPath(), path(f"{where}/shop/shop_{folder.getPath().getName()}_0.json"))
+
+
+@query(ctes("logs") + " SELECT entity, ts, message FROM logs WHERE entity < 'u3'")
+def read_log_dump(spark, d):
+    where, logs = _folder(spark), views.logs(spark, d).where("entity < 'u3'")
+    at = F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    body = F.concat(F.lit('"'), F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd HH:mm:ss"), F.lit(" "), "message", F.lit('"'))
+    source = F.struct(at.alias("@timestamp"), body.alias("message"), F.struct(F.col("entity").alias("pod_name")).alias("kubernetes"))
+    hits = logs.groupBy("entity").agg(F.collect_list(F.struct(source.alias("_source"))).alias("hits"))
+    hits.select(F.to_json(F.struct(F.struct("hits").alias("hits"))).alias("value")).repartition(3, "value").write.option("maxRecordsPerFile", 1).text(where)
+    return sources.log_dump(spark, where).select("entity", F.unix_seconds("ts").alias("ts"), "message")
+
+
+@query(ctes("logs") + " SELECT 't' || ts AS time, message AS content FROM logs WHERE event_id % 3 <> 0")
+def read_log_lines(spark, d):
+    where = _folder(spark)
+    line = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("no tab in "), "message")).otherwise(F.concat(F.lit("t"), F.col("ts").cast("string"), F.lit("\t"), "message"))
+    views.logs(spark, d).select(line.alias("value")).write.text(where)
+    return sources.log_lines(spark, where).select("time", "content")
+
+
+@query(ctes("spans") + " SELECT trace, span, parent, pod, operation, start_ns, end_ns FROM spans")
+def read_spans_csv(spark, d):
+    where, s = _folder(spark), views.spans(spark, d)
+    s.select(F.lit("x").alias("Other"), F.col("pod").alias("PodName"), F.col("trace").alias("TraceID"), F.col("span").alias("SpanID"), F.col("parent").alias("ParentID"), F.col("operation").alias("OperationName"), F.col("start_ns").alias("StartTimeUnixNano"), F.col("end_ns").alias("EndTimeUnixNano")).write.option("header", True).csv(where)
+    return sources.spans_csv(spark, where)
+
+
+@query(ctes("weekly0") + " SELECT ts * 604800 AS ts, 'quantity_' || entity AS sensor, round(quantity, 4) AS value, CAST(CASE WHEN ts % 5 = 0 THEN -1 ELSE 1 END AS INT) AS label FROM weekly0")
+def read_sensor_csv(spark, d):
+    where = _folder(spark)
+    w = views.weekly(spark, d).where("metric = 'quantity'").groupBy("ts").pivot("entity", ["s0", "s1", "s2", "s3"]).agg(F.round(F.first("value"), 4))
+    at = F.date_format(F.timestamp_seconds(F.col("ts") * 604800), "yyyy-MM-dd HH:mm:ss")
+    w.select(at.alias("Timestamp"), *(F.col(e).alias(f"\\\\host\\quantity_{e}") for e in ("s0", "s1", "s2", "s3")), F.when(F.col("ts") % 5 == 0, "A ttack").otherwise("Normal").alias("label")).coalesce(1).write.option("header", True).csv(where)
+    return sources.sensor_csv(spark, where).where("value is not null").select(F.unix_seconds("ts").alias("ts"), "sensor", "value", sensors.label(F.col("label")).alias("label"))
+
+
 # ------------------------------------------------------------- text
 
 _DATED = "[2024-01-01 10:00:00] {0} 2024-01-02T03:04:05Z tail 01/02/2024 03:04:05 {1} 2024.01.02 03:04:05 Jan 3, 2024 at 4 Feb 2024 05:06 PM 2024/01/02 03:04:05 2024-01-02 03:04:05"
@@ -337,6 +414,23 @@ def _column_rules(events):
     return m.join(use, "entity", "left").join(kpi, "entity", "left").select("entity", F.coalesce("useful", F.lit(False)).alias("useful"), F.coalesce("is_kpi", F.lit(False)).alias("is_kpi"), F.round(numeric.megabytes(F.col("entity"), F.col("m")), 9).alias("mean_mb"))
 
 
+@query(_W + ", g AS (SELECT metric, entity, ts, CASE WHEN ts % 3 = 0 THEN value END AS value FROM weekly) SELECT metric, entity, ts, round(coalesce(last_value(value IGNORE NULLS) OVER (PARTITION BY metric, entity ORDER BY ts ROWS UNBOUNDED PRECEDING), 0), 4) AS value FROM g")
+def forward_fill(spark, d):
+    g = views.weekly(spark, d).withColumn("value", F.when(F.col("ts") % 3 == 0, F.col("value")))
+    return prep.forward_fill(g, ["metric", "entity"]).select("metric", "entity", "ts", F.round("value", 4).alias("value"))
+
+
+@query(ctes("obs") + " SELECT event_id, (ts // 300 + 1) * 300 AS next FROM obs")
+def next_on_grid(spark, d):
+    return views.observations(spark, d).select("event_id", numeric.next_on_grid(F.col("ts"), 300).alias("next"))
+
+
+@query("SELECT DISTINCT a.s AS sensor FROM (SELECT (user_id % 3) || '_' || event_type || '_' || (user_id % 7) AS s, event_type AS m FROM events WHERE event_id % 2 = 0) a JOIN (SELECT (user_id % 3) || '_' || event_type || '_' || (user_id % 7) AS s FROM events WHERE event_id % 2 = 1 AND user_id % 5 > 1) b USING (s) WHERE m IN ('error', 'click')")
+def common_metrics(spark, d):
+    e = table(spark, d, "events").withColumn("sensor", F.concat_ws("_", F.col("user_id") % 3, "event_type", F.col("user_id") % 7))
+    return sensors.common_metrics(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1 and user_id % 5 > 1"), ["error", "click"])
+
+
 @query(_W + ", i AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM weekly_kpi) SELECT ts, CASE WHEN i < n - ceil(n * 0.6) THEN 'train' ELSE 'test' END AS part FROM i")
 def train_test_split(spark, d):
     return prep.train_test(views.weekly_kpi(spark, d).withColumn("case", F.lit("a")), ["case"]).select("ts", "part")
@@ -347,11 +441,11 @@ def lag_matrix(spark, d):
     return prep.lags(views.weekly(spark, d), ["metric", "entity"], 2).select("metric", "entity", "ts", F.round("lag_1", 4).alias("lag_1"), F.round("lag_2", 4).alias("lag_2"))
 
 
-@query(_W + ", g AS (SELECT metric, entity, ts, sum(value) OVER (PARTITION BY metric, entity ORDER BY ts ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS i, sum(value) OVER (PARTITION BY metric, entity ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS t, count(*) OVER (PARTITION BY metric, entity ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS n FROM weekly) SELECT metric, entity, ts, round(i, 4) AS input_sum, round(t, 4) AS target_sum FROM g WHERE n = 5")
+@query(_W + ", g AS (SELECT metric, entity, ts, list(CAST(round(value) AS BIGINT)) OVER (PARTITION BY metric, entity ORDER BY ts ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS i, list(CAST(round(value) AS BIGINT)) OVER (PARTITION BY metric, entity ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS t FROM weekly) SELECT metric, entity, ts, array_to_string(i, ',') AS input, array_to_string(t, ',') AS target FROM g WHERE len(t) = 5")
 def context_windows(spark, d):
     c = prep.context_windows(views.weekly(spark, d), ["metric", "entity"], 5)
-    total = lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda x, y: x + y), 4)
-    return c.select("metric", "entity", "ts", total("input").alias("input_sum"), total("target").alias("target_sum"))
+    whole = lambda a: F.array_join(F.transform(a, lambda x: F.round(x).cast("long").cast("string")), ",").alias(a)
+    return c.select("metric", "entity", "ts", whole("input"), whole("target"))
 
 
 # ------------------------------------------------------------- scorers

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +31,26 @@ def metric_dump(spark: SparkSession, path: str, level: str, metric: str, kpi_lab
     return v.select(F.lit(kpi_label).alias("kpi_label"), F.lit(level).alias("level"), "entity", F.lit(metric).alias("metric"), F.expr("cast(floor(try_cast(v[0] as double)) as bigint)").alias("ts"), F.expr("try_cast(v[1] as double)").alias("value"))
 
 
+def metric_dumps(spark: SparkSession, root: str, level: str, metrics: list[str]) -> DataFrame:
+    """A tree of metric dumps, ``<namespace>/<namespace>_<metric>*.json`` below ``root``, in one scan: namespace and metric come from each file's path.
+
+    Of metrics that a name could begin with the longest is taken; files of other metrics are left out.
+    """
+    known = "|".join(_literal(m) for m in sorted(metrics, key=len, reverse=True))
+    raw = spark.read.schema(schema.METRIC_DUMP).option("multiLine", True).option("recursiveFileLookup", True).json(root)
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/([^/]+)$", 2)
+    space = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/([^/]+)$", 1)
+    rest = F.expr("substring(_name, length(_space) + 2)")
+    r = raw.select(F.explode("data.result").alias("r"), name.alias("_name"), space.alias("_space"))
+    r = r.where(F.col("_name").startswith(F.concat("_space", F.lit("_")))).withColumn("_metric", F.regexp_extract(rest, f"^({known})", 1)).where("_metric <> ''")
+    v = r.select(F.col("r.metric")["pod" if level == "pod" else "instance"].alias("entity"), "_space", "_metric", F.explode("r.values").alias("v"))
+    return v.select(F.col("_space").alias("kpi_label"), F.lit(level).alias("level"), "entity", F.col("_metric").alias("metric"), F.expr("cast(floor(try_cast(v[0] as double)) as bigint)").alias("ts"), F.expr("try_cast(v[1] as double)").alias("value"))
+
+
+def _literal(text: str) -> str:
+    return "".join(c if c.isalnum() or c == "_" else f"[{c}]" for c in text)
+
+
 def _csv(spark: SparkSession, path: str, fields: list[tuple[str, str]], **options) -> DataFrame:
     """The named columns of CSV files with a header, whatever others they have; what can't be cast is null."""
     raw = spark.read.options(header=True, **options).csv(path)
@@ -141,30 +160,38 @@ def _scalar(value: str):
 
 
 def matrix_npy(spark: SparkSession, path: str, metric: str, allow_pickle: bool = False) -> DataFrame:
-    """Aligned matrices of one metric from an .npy file that the user trusts, as observations; the last column is the KPI's, entity ``kpi``.
+    """Aligned matrices of one metric from .npy files that the user trusts, as observations; the last column is the KPI's, entity ``kpi``.
 
-    Files of pickled objects can run code when read, so they need ``allow_pickle``.
+    Every file of the path is read, one at a time, where its task runs. Files of
+    pickled objects can run code when read, so they need ``allow_pickle``.
     """
-    import io
-
-    import numpy as np
-
     if not allow_pickle:
         raise ValueError("a pickled matrix is only read with allow_pickle=True")
-    content = spark.read.format("binaryFile").load(path).select("content").first()[0]
-    rows = []
-    for label, blob in np.load(io.BytesIO(bytes(content)), allow_pickle=True).item().items():
-        names = blob.get("Pod_Name") or blob.get("Node_Name")
-        x = np.asarray(blob["Sequence"], float)
-        x = x.squeeze(-1).T if x.ndim == 3 else x
-        for name, column in zip([*names, *["kpi"] * (x.shape[1] - len(names))], x.T, strict=True):
-            rows += [(str(label), "pod" if "Pod_Name" in blob else "node", str(name), metric, int(t), float(v)) for t, v in zip(blob["time"], column, strict=False)]
-    return spark.createDataFrame(rows, schema.OBSERVATIONS)
+
+    def run(batches):
+        import io
+
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            for content in pdf["content"]:
+                for label, blob in np.load(io.BytesIO(bytes(content)), allow_pickle=True).item().items():
+                    names = blob.get("Pod_Name") if "Pod_Name" in blob else blob["Node_Name"]
+                    x = np.asarray(blob["Sequence"], float)
+                    x = x.squeeze(-1).T if x.ndim == 3 else x
+                    for name, column in zip([*names, *["kpi"] * (x.shape[1] - len(names))], x.T, strict=True):
+                        n = min(len(blob["time"]), len(column))
+                        yield pd.DataFrame({"kpi_label": str(label), "level": "pod" if "Pod_Name" in blob else "node", "entity": str(name), "metric": metric, "ts": np.asarray(blob["time"][:n], np.int64), "value": column[:n]})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema.OBSERVATIONS)
 
 
 def write_by_entity(logs: DataFrame, path: str) -> None:
-    """Text files of ``time TAB message`` in a folder per entity."""
-    logs.select("entity", F.concat_ws("\t", "ts_raw", "message").alias("value")).repartition("entity").write.mode("overwrite").partitionBy("entity").text(path)
+    """Text files of ``time TAB message``, in order of time, in a folder per entity; an entity's lines go to several files, each a range of its time, where they are many."""
+    ranges = int(logs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    line = F.concat_ws("\t", "ts_raw", "message").alias("value")
+    logs.repartitionByRange(ranges, "entity", "ts_raw").sortWithinPartitions("entity", "ts_raw").select("entity", line).write.mode("overwrite").partitionBy("entity").text(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -173,6 +200,15 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*cols).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def write_rankings(rankings: DataFrame, combined: DataFrame, confidence: DataFrame, path: str) -> None:
+    """The result layout: a CSV folder per metric (root_cause, score), the combined ranking (sensor, final_score) and the confidence, best first."""
+    per = rankings.select("metric", F.col("entity").alias("root_cause"), "score").repartition("metric").sortWithinPartitions("metric", F.desc("score"), "root_cause")
+    per.write.mode("overwrite").partitionBy("metric").option("header", True).csv(f"{path}/metrics")
+    final = combined.select(F.col("entity").alias("sensor"), F.col("score").alias("final_score")).orderBy(F.desc("final_score"), "sensor")
+    final.write.mode("overwrite").option("header", True).csv(f"{path}/combined")
+    confidence.select("confidence").write.mode("overwrite").option("header", True).csv(f"{path}/confidence")
+
+
 def write_segments(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("segment_id").parquet(path)
 

@@ -49,3 +49,43 @@ def test_cases_and_faults(spark, tmp_path):
     assert json.loads(sources.cases(spark, str(tmp_path / "c.yaml")).first()["config"]) == {"label": "x", "online_start": 12, "metrics": {"cpu": 1, "mem": 2}, "root_cause": "p"}
     (tmp_path / "f.json").write_text(json.dumps({"2024": [{"inject_time": "t", "inject_timestamp": "1", "inject_pod": "p", "inject_type": "cpu"}]}))
     assert sources.fault_list(spark, str(tmp_path / "f.json")).first()["inject_pod"] == "p"
+
+
+def test_metric_tree(spark, tmp_path):
+    for space, name in (("shop", "shop_cpu_usage_1.json"), ("shop", "shop_cpu.json"), ("bank", "bank_cpu_2.json"), ("bank", "other_cpu.json"), ("bank", "bank_disk.json")):
+        (tmp_path / space).mkdir(exist_ok=True)
+        (tmp_path / space / name).write_text(json.dumps({"data": {"result": [{"metric": {"instance": name}, "values": [[1.9, "2"]]}]}}))
+    got = {(r["kpi_label"], r["metric"], r["entity"], r["ts"], r["value"]) for r in sources.metric_dumps(spark, str(tmp_path), "node", ["cpu", "cpu_usage"]).collect()}
+    assert got == {("shop", "cpu_usage", "shop_cpu_usage_1.json", 1, 2.0), ("shop", "cpu", "shop_cpu.json", 1, 2.0), ("bank", "cpu", "bank_cpu_2.json", 1, 2.0)}
+
+
+def test_matrices_of_every_file(spark, tmp_path):
+    import numpy as np
+    import pytest
+
+    for k in range(3):
+        np.save(tmp_path / f"m{k}.npy", {f"case{k}": {"Pod_Name": ["a", "b"], "Sequence": np.arange(6.0).reshape(2, 3) + k, "time": np.array([10, 11])}}, allow_pickle=True)
+    with pytest.raises(ValueError):
+        sources.matrix_npy(spark, str(tmp_path), "cpu")
+    got = {(r["kpi_label"], r["entity"], r["ts"]): r["value"] for r in sources.matrix_npy(spark, str(tmp_path / "*.npy"), "cpu", allow_pickle=True).collect()}
+    assert len(got) == 18 and got["case2", "kpi", 11] == 7.0 and got["case0", "a", 10] == 0.0
+
+
+def test_lines_of_an_entity_are_in_time_order(spark, tmp_path):
+    logs = spark.createDataFrame([("e1", f"t{i:03d}", f"m{i}") for i in reversed(range(200))] + [("e2", "t1", "x")], "entity string, ts_raw string, message string").repartition(5)
+    sources.write_by_entity(logs, str(tmp_path / "out"))
+    lines = [line for f in sorted((tmp_path / "out" / "entity=e1").glob("part-*")) for line in f.read_text().splitlines()]
+    assert lines == [f"t{i:03d}\tm{i}" for i in range(200)]
+
+
+def test_ranking_layout(spark, tmp_path):
+    r = spark.createDataFrame([("cpu", "a", 1.0), ("cpu", "b", 2.0), ("mem", "a", 3.0)], "metric string, entity string, score double")
+    sources.write_rankings(r, r.groupBy("entity").agg({"score": "sum"}).withColumnRenamed("sum(score)", "score"), spark.createDataFrame([(0.5,)], "confidence double"), str(tmp_path / "o"))
+    assert [tuple(x) for x in spark.read.option("header", True).csv(str(tmp_path / "o" / "metrics" / "metric=cpu")).collect()] == [("b", "2.0"), ("a", "1.0")]
+    assert [x["sensor"] for x in spark.read.option("header", True).csv(str(tmp_path / "o" / "combined")).collect()] == ["a", "b"]
+    assert spark.read.option("header", True).csv(str(tmp_path / "o" / "confidence")).first()["confidence"] == "0.5"
+
+
+def test_span_logs_csv(spark, tmp_path):
+    (tmp_path / "l.csv").write_text('TimeUnixNano,Other,SpanID,Log\n5,x,s1,"{""log"": ""a, b""}"\n')
+    assert [tuple(r) for r in sources.span_logs_csv(spark, str(tmp_path)).collect()] == [(5, "s1", '{"log": "a, b"}')]
