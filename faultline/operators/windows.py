@@ -11,9 +11,10 @@ def sliding_windows(events: DataFrame, entity: str, ts: str, width: int, step: i
 
     One row per distinct (lo, hi): entity, lo, hi (ranks of the first event
     inside and the first one after), k (the first window of that pair), n (events
-    inside), and one column per entry of ``sums`` (name -> column summed over the
-    window). Window starts and ends merge with the events in one sort per
-    entity: no event is repeated per window. Windows without events are left out;
+    inside), start_t and last_t (the first and last event inside), next_t (the
+    first after, null if none), and one column per entry of ``sums`` (name ->
+    column summed over the window). Window starts and ends merge with the events
+    in one shuffle, sorted either way: no event is repeated per window. Windows without events are left out;
     k runs to the first window that reaches the last event.
     """
     sums = sums or {}
@@ -28,25 +29,22 @@ def sliding_windows(events: DataFrame, entity: str, ts: str, width: int, step: i
         .unionByName(marks.select("entity", (F.col("t0") + F.col("k") * step + width).alias("t"), "k", F.lit(0).alias("is_event"), F.lit(1).alias("edge"), *zero))
     )
     before = Window.partitionBy("entity").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
-    counted = rows.select("entity", "k", "edge", F.coalesce(F.sum("is_event").over(before), F.lit(0)).alias("rank"), *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0.0)).alias(n) for n in sums]).where("k is not null")
+    since = Window.partitionBy("entity").orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, 0)
+    at = F.when(F.col("is_event") == 1, F.col("t"))
+    counted = rows.select(
+        "entity", "k", "edge", F.coalesce(F.sum("is_event").over(before), F.lit(0)).alias("rank"), F.max(at).over(before).alias("last"), F.min(at).over(since).alias("next"),
+        *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0.0)).alias(n) for n in sums],
+    ).where("k is not null")
     pick = lambda c, edge: F.max(F.when(F.col("edge") == edge, F.col(c)))
-    per_k = counted.groupBy("entity", "k").agg(pick("rank", 0).alias("lo"), pick("rank", 1).alias("hi"), *[(pick(n, 1) - pick(n, 0)).alias(n) for n in sums])
-    return per_k.where("lo < hi").groupBy("entity", "lo", "hi").agg(F.min("k").alias("k"), *[F.first(n).alias(n) for n in sums]).withColumn("n", F.col("hi") - F.col("lo"))
+    times = [pick("next", 0).alias("start_t"), pick("last", 1).alias("last_t"), pick("next", 1).alias("next_t")]
+    per_k = counted.groupBy("entity", "k").agg(pick("rank", 0).alias("lo"), pick("rank", 1).alias("hi"), *times, *[(pick(n, 1) - pick(n, 0)).alias(n) for n in sums])
+    out = per_k.where("lo < hi").groupBy("entity", "lo", "hi").agg(F.min("k").alias("k"), *[F.first(n).alias(n) for n in ("start_t", "last_t", "next_t", *sums)])
+    return out.withColumn("n", F.col("hi") - F.col("lo"))
 
 
-def ranked_events(events: DataFrame, entity: str, ts: str) -> DataFrame:
-    """(entity, t, i): event times with their 0-based rank in the entity."""
-    return events.select(F.col(entity).alias("entity"), F.col(ts).alias("t")).withColumn("i", F.row_number().over(Window.partitionBy("entity").orderBy("t")) - 1)
-
-
-def window_times(windows: DataFrame, events: DataFrame, entity: str, ts: str, end: str = "inside") -> DataFrame:
-    """Adds start_t, the first event inside, and end_t: the last event ``inside``, or the first one ``after`` (the last of all if none)."""
-    ranked = ranked_events(events, entity, ts)
-    count = ranked.groupBy("entity").agg(F.count("*").alias("total"))
-    w = windows.join(count, "entity").withColumn("_end", F.col("hi") - 1 if end == "inside" else F.least(F.col("hi"), F.col("total") - 1))
-    first = ranked.select("entity", F.col("i").alias("lo"), F.col("t").alias("start_t"))
-    last = ranked.select("entity", F.col("i").alias("_end"), F.col("t").alias("end_t"))
-    return w.join(first, ["entity", "lo"]).join(last, ["entity", "_end"]).drop("_end", "total")
+def window_times(windows: DataFrame, end: str = "inside") -> DataFrame:
+    """Adds end_t: the last event ``inside``, or the first one ``after`` (the last of all if none)."""
+    return windows.withColumn("end_t", F.col("last_t") if end == "inside" else F.coalesce("next_t", "last_t"))
 
 
 def bucket_values(windows: DataFrame, value: str, step: int) -> DataFrame:

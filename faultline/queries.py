@@ -299,14 +299,14 @@ def _windows_sql(source: str, width: int, step: int, sums: dict[str, str] | None
 @query(ctes("logs") + _windows_sql("logs", 1800, 30) + " SELECT w.entity, w.lo, w.hi, w.k, w.hi - w.lo AS occurrence, s.t AS start_t, e.t AS end_t FROM win w JOIN ranked s ON s.entity = w.entity AND s.i = w.lo JOIN ranked e ON e.entity = w.entity AND e.i = w.hi - 1")
 def sliding_log_frequency(spark, d):
     logs = views.logs(spark, d)
-    w = windows.window_times(windows.sliding_windows(logs, "entity", "ts", 1800, 30), logs, "entity", "ts")
+    w = windows.window_times(windows.sliding_windows(logs, "entity", "ts", 1800, 30))
     return w.select("entity", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), "k", F.col("n").cast("long").alias("occurrence"), "start_t", "end_t")
 
 
 @query(ctes("logs") + _windows_sql("logs", 600, 30, {"abnormal": f"CAST(regexp_matches(message, '{text.ABNORMAL}') AS INT)"}) + ", tot AS (SELECT entity, count(*) AS n FROM t GROUP BY 1) SELECT w.entity, w.lo, w.hi, CAST(w.abnormal AS BIGINT) AS abnormal, e.t AS end_t FROM win w JOIN tot ON tot.entity = w.entity JOIN ranked e ON e.entity = w.entity AND e.i = least(w.hi, tot.n - 1)")
 def sliding_golden_signal(spark, d):
     logs = views.logs(spark, d).withColumn("flag", text.abnormal(F.col("message")))
-    w = windows.window_times(windows.sliding_windows(logs, "entity", "ts", 600, 30, {"abnormal": "flag"}), logs, "entity", "ts", end="after")
+    w = windows.window_times(windows.sliding_windows(logs, "entity", "ts", 600, 30, {"abnormal": "flag"}), end="after")
     return w.select("entity", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), F.col("abnormal").cast("long").alias("abnormal"), "end_t")
 
 
@@ -325,7 +325,7 @@ _BUCKETS = ctes("logs") + _windows_sql("logs", 1800, 30) + """, v AS (SELECT w.e
 
 def _dense(spark, d):
     logs = views.logs(spark, d)
-    w = windows.window_times(windows.sliding_windows(logs, "entity", "ts", 1800, 30), logs, "entity", "ts").withColumn("v", F.col("n").cast("double"))
+    w = windows.window_times(windows.sliding_windows(logs, "entity", "ts", 1800, 30)).withColumn("v", F.col("n").cast("double"))
     return windows.dense_grid(windows.bucket_values(w, "v", 3600))
 
 
