@@ -40,8 +40,11 @@ PATTERNS = {
 #: The part of a secret's match that is the secret.
 SECRET_VALUE = r"(?s)-----BEGIN.*|[A-Za-z0-9+/_.~-]{12,}={0,2}$"
 
-#: Texts without this have no span of the kind.
-NEEDS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
+#: Texts without any of these, in lower case, have no span of the kind.
+NEEDS = {
+    "email": ("@",), "ip": (".",), "phone": ("+",), "ssn": ("-",),
+    "secret": ("token", "secret", "passw", "pwd", "key", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xox", "k_live_", "k_test_", "aiza", "eyj"),
+}
 
 #: Length of a country's IBANs; those of other codes end where mod 97 holds, the last such place.
 IBAN_LENGTHS = {
@@ -149,7 +152,8 @@ def found(kind: str, text: str) -> str:
         f"aggregate(cast(array() as array<int>), split({text}, {pattern}, -1), (ps, _) -> ps, ps -> {fold})))"
     )
     if kind in NEEDS:
-        spans = f"if(contains({text}, {_sql(NEEDS[kind])}), {spans}, cast(array() as {_SPAN}))"
+        some = " or ".join(f"contains(t, {_sql(x)})" for x in NEEDS[kind])
+        spans = f"if({_with(text if len(NEEDS[kind]) == 1 else f'lower({text})', some, 't')}, {spans}, cast(array() as {_SPAN}))"
     return spans if kind in BASE else f"filter({spans}, x -> x.score >= {LEAST_SCORE})"
 
 
