@@ -268,11 +268,11 @@ def unwrap_json(spark, d):
     return views.logs(spark, d).select("event_id", service.alias("service"), out.alias("message"))
 
 
-@query(ctes("logs") + " SELECT event_id, CAST(to_json({'log': {'message': message, 'severity': 'info', 'timestamp': CAST(ts AS VARCHAR)}, 'stream': 'stdout', 'time': CAST(ts AS VARCHAR)}) AS VARCHAR) AS line, strftime(to_timestamp(ts + 32400) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS local, CAST(to_timestamp(ts) AT TIME ZONE 'UTC' AS DATE) AS date, CAST(hour(to_timestamp(ts) AT TIME ZONE 'UTC') AS INT) AS hour FROM logs")
+@query(ctes("logs") + " SELECT event_id, CAST(to_json({'log': {'message': message, 'severity': 'info', 'timestamp': CAST(ts AS VARCHAR)}, 'stream': 'stdout', 'time': CAST(ts AS VARCHAR)}) AS VARCHAR) AS line, strftime(to_timestamp(ts + 32400) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS local, strftime(to_timestamp(ts) AT TIME ZONE 'UTC', '%Y-%m-%d') AS date, CAST(hour(to_timestamp(ts) AT TIME ZONE 'UTC') AS INT) AS hour FROM logs")
 def log_envelope(spark, d):
     ts = F.col("ts")
     at = text.date_hour(ts)
-    return views.logs(spark, d).select("event_id", text.log_envelope(F.col("message"), ts.cast("string")).alias("line"), text.local_time(ts).alias("local"), at["date"].alias("date"), at["hour"].alias("hour"))
+    return views.logs(spark, d).select("event_id", text.log_envelope(F.col("message"), ts.cast("string")).alias("line"), text.local_time(ts).alias("local"), at["date"].cast("string").alias("date"), at["hour"].alias("hour"))
 
 
 # ------------------------------------------------------------- windows
