@@ -20,8 +20,8 @@ from .common import reliable
 DICT_BYTES, PASSAGE_BYTES, ALL_BYTES = 1 << 16, 500, 1 << 28
 #: Languages whose counts are broadcast at most.
 BROADCAST_ROWS = 100_000
-#: Bytes of a document's pieces.
-PIECE_BYTES = 1024
+#: Bytes of a document's pieces; rows of an Arrow batch that are Python objects at once.
+PIECE_BYTES, BATCH_ROWS = 1024, 512
 #: Relative margins below these get a second look, and are rejected after it.
 NARROW, REJECT = 0.02, 0.003
 #: Rotations of the text that the second look adds up, for texts of one piece.
@@ -130,7 +130,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
 
     def run(batches):
         classify = Classifier(shared.value)
-        for batch in batches:
+        for batch in (big.slice(i, BATCH_ROWS) for big in batches for i in range(0, big.num_rows, BATCH_ROWS)):
             got = [classify(t) for t in batch.column(text).to_pylist()]
             cols = [*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)

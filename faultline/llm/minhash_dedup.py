@@ -30,8 +30,8 @@ SYMBOLS, MAX_ERRORS, CHUNKS = 40, 17, 9
 BUCKET_BLOCK, TEXT_BLOCK = 4096, 1024
 #: Documents with candidates that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
-#: Characters whose shingles are computed at once, at least.
-SUB_BLOCK = 1 << 18
+#: Characters whose shingles are computed at once, at least; rows of an Arrow batch that are Python objects at once.
+SUB_BLOCK, BATCH_ROWS = 1 << 18, 512
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -101,7 +101,7 @@ def sub_blocks(texts: list[str | None], least: int = SUB_BLOCK) -> Iterator[tupl
 def _sign(width: int):
     def run(batches):
         shingle = Shingler(width)
-        for batch in batches:
+        for batch in (big.slice(i, BATCH_ROWS) for big in batches for i in range(0, big.num_rows, BATCH_ROWS)):
             texts = batch.column(1).to_pylist()
             for a, b in sub_blocks(texts):
                 all_, cuts = shingle.raw(texts[a:b])
