@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import collections
 import dataclasses
+import math
+import operator
 import re
 from collections.abc import Iterator
 
@@ -48,10 +50,54 @@ class MinerConfig:
         return F.regexp_replace(F.regexp_replace(out, r"^\s+|\s+$", ""), r"\s+", " ")
 
 
+class _Leaf:
+    """Groups of a leaf, found by the tokens that a similar line must share with them.
+
+    A template of c constants takes a line that agrees in k of them, which so
+    agrees in at least one of any c - k + 1. The positions of the rarest such
+    tokens are the group's keys; a template of fewer than k constants has none.
+    """
+
+    def __init__(self, n: int) -> None:
+        self.groups: dict[int, None] = {}
+        self.index: list[dict[str, int | set[int]]] = [{} for _ in range(n)]
+
+    def put(self, g: int, p: int, token: str) -> None:
+        have = self.index[p].get(token)
+        if have is None:
+            self.index[p][token] = g
+        elif isinstance(have, set):
+            have.add(g)
+        else:
+            self.index[p][token] = {have, g}
+
+    def take(self, g: int, p: int, token: str) -> None:
+        have = self.index[p][token]
+        if isinstance(have, set) and len(have) > 1:
+            have.discard(g)
+        else:
+            del self.index[p][token]
+
+    def near(self, tokens: list[str]) -> set[int]:
+        """Groups with a key that the line holds."""
+        out: set[int] = set()
+        for known, token in zip(self.index, tokens, strict=True):
+            have = known.get(token)
+            if have is not None:
+                if isinstance(have, set):
+                    out |= have
+                else:
+                    out.add(have)
+        return out
+
+
 @dataclasses.dataclass
 class _Group:
     template: list[str]
+    leaf: _Leaf
     lines: list[int] = dataclasses.field(default_factory=list)
+    wild: int = 0  # wildcards of the template
+    keys: list[int] = dataclasses.field(default_factory=list)  # positions by which the leaf finds it, rare tokens first
 
 
 class TemplateMiner:
@@ -67,8 +113,10 @@ class TemplateMiner:
         self.roots: dict[int, dict] = {}
         self.groups: list[_Group] = []
         self.used: collections.OrderedDict[int, None] = collections.OrderedDict()  # live groups, the last used last
+        self.seen: dict[str, list] = {}  # tokens of the templates opened: the one copy kept, and how often
+        self.least: dict[int, int] = {}
 
-    def _leaf(self, tokens: list[str], grow: bool) -> list[int] | None:
+    def _leaf(self, tokens: list[str], grow: bool) -> _Leaf | None:
         node = self.roots.setdefault(len(tokens), {}) if grow else self.roots.get(len(tokens))
         if node is None:
             return None
@@ -85,55 +133,89 @@ class TemplateMiner:
                 if key not in node:
                     node[key] = {}
             node = node[key]
-        return node.setdefault("", []) if grow else node.get("")
+        if grow and "" not in node:
+            node[""] = _Leaf(len(tokens))
+        return node.get("")
+
+    def _needed(self, n: int) -> int:
+        """Tokens in which a line of n must agree: the fewest whose share is at least the similarity."""
+        if n not in self.least:
+            k = max(0, math.ceil(self.config.similarity * n) - 1)
+            while k / n < self.config.similarity:
+                k += 1
+            self.least[n] = k
+        return self.least[n]
 
     def match(self, tokens: list[str]) -> int | None:
-        best, best_key = None, (-1.0, -1)
-        for g in self._leaf(tokens, False) or ():
-            template = self.groups[g].template
-            same = sum(a == b for a, b in zip(template, tokens, strict=True) if a != WILD)
-            key = (same / len(tokens), template.count(WILD))
-            if key > best_key:
+        leaf = self._leaf(tokens, False)
+        if leaf is None:
+            return None
+        needed = self._needed(len(tokens))
+        near = leaf.near(tokens) if needed else leaf.groups
+        if near and WILD in tokens:
+            tokens = [None if t == WILD else t for t in tokens]  # agrees with nothing
+        best, best_key = None, (needed, -1, 0)
+        for g in near:
+            group = self.groups[g]
+            same = sum(map(operator.eq, group.template, tokens))
+            if same >= best_key[0] and (key := (same, group.wild, -g)) > best_key:
                 best, best_key = g, key
-        return best if best is not None and best_key[0] >= self.config.similarity else None
+        return best
 
     def add(self, line: int, tokens: list[str]) -> int:
         """Group of the line. Lines of at most one token only join equal ones."""
         g = self.find(tokens)
         if g is None:
             g = self.open(tokens)
-        else:
-            self.groups[g].template = [a if a == b else WILD for a, b in zip(self.groups[g].template, tokens, strict=True)]
+        elif self.groups[g].template != tokens:
+            self._widen(self.groups[g], g, tokens)
         self.groups[g].lines.append(line)
         self.used[g] = None
         self.used.move_to_end(g)
         return g
 
+    def _keys(self, group: _Group) -> int:
+        """How many of its constants must be keys."""
+        n = len(group.template)
+        return n if n < 2 else max(0, n - group.wild - max(1, self._needed(n)) + 1)
+
+    def _widen(self, group: _Group, g: int, tokens: list[str]) -> None:
+        """Positions that differ become wildcards, and keys no longer needed go, the commonest first."""
+        old, group.template = group.template, [a if a == b else WILD for a, b in zip(group.template, tokens, strict=True)]
+        group.wild = group.template.count(WILD)
+        keys = [p for p in group.keys if group.template[p] != WILD][: self._keys(group)]
+        for p in set(group.keys).difference(keys):
+            group.leaf.take(g, p, old[p])
+        group.keys = keys
+
     def open(self, tokens: list[str]) -> int:
         """A new group of this template; beyond the groups kept, the least recently used leaves the tree."""
         if self.config.max_clusters is not None and len(self.used) >= self.config.max_clusters:
             old, _ = self.used.popitem(last=False)
-            for leaf in self.leaves(self.roots[len(self.groups[old].template)]):
-                if old in leaf:
-                    leaf.remove(old)
+            gone = self.groups[old]
+            for p in gone.keys:
+                gone.leaf.take(old, p, gone.template[p])
+            del gone.leaf.groups[old]
+        known = [self.seen.setdefault(t, [t, 0]) for t in tokens]
+        for k in known:
+            k[1] += 1
         g = len(self.groups)
-        self.groups.append(_Group(list(tokens)))
-        self._leaf(tokens, True).append(g)
+        group = _Group([k[0] for k in known], self._leaf(tokens, True), wild=tokens.count(WILD) if len(tokens) > 1 else 0)
+        constant = [p for p, t in enumerate(tokens) if t != WILD or len(tokens) < 2]
+        group.keys = sorted(constant, key=lambda p: known[p][1])[: self._keys(group)]
+        for p in group.keys:
+            group.leaf.put(g, p, group.template[p])
+        group.leaf.groups[g] = None
+        self.groups.append(group)
         self.used[g] = None
         return g
 
-    def leaves(self, node: dict) -> Iterator[list[int]]:
-        for key, child in node.items():
-            if key == "":
-                yield child
-            else:
-                yield from self.leaves(child)
-
     def find(self, tokens: list[str]) -> int | None:
         """Group that a line matches, without learning from it."""
         if len(tokens) > 1:
             return self.match(tokens)
-        return next((i for i in (self._leaf(tokens, False) or ()) if self.groups[i].template == tokens), None)
+        leaf = self._leaf(tokens, False)
+        return None if leaf is None else min(leaf.near(tokens) if tokens else leaf.groups, default=None)
 
     def template(self, g: int) -> str:
         return " ".join(self.groups[g].template)
@@ -157,16 +239,18 @@ def mine(lines: DataFrame, line_id: str = "line_id", content: str = "content", c
         for first, text in zip(pdf["_first"], pdf["_m"], strict=True):
             g = miner.add(first, text.split(" ") if text else [])
             found.append(g)
-            now.append(miner.template(g))
-        return pd.DataFrame({"_m": pdf["_m"], "_n": pdf["_n"], "_first": pdf["_first"], "_g": found, "_now": now, "template": [miner.template(g) for g in found]})
+            if running:
+                now.append(miner.template(g))
+        out = {"_m": pdf["_m"], "template": [miner.template(g) for g in found]}
+        return pd.DataFrame(out | {"_n": pdf["_n"], "_first": pdf["_first"], "_g": found, "_now": now} if running else out)
 
     first = f"{line_id} {lines.schema[line_id].dataType.simpleString()}".replace(line_id, "_first", 1)
-    mined = distinct.groupBy("_n").applyInPandas(run, f"_m string, _n int, {first}, _g int, _now string, template string")
+    mined = distinct.groupBy("_n").applyInPandas(run, "_m string, template string" + f", _n int, {first}, _g int, _now string" * running)
     if running:
         changes = mined.select("_n", "_g", F.col("_first").alias(line_id), F.col("_now").alias("template"))
         out = asof_backward(tokenised.join(mined.select("_m", "_n", "_g"), "_m"), changes, ["_n", "_g"], line_id, "template")
     else:
-        out = tokenised.join(mined.select("_m", "template"), "_m")
+        out = tokenised.join(mined, "_m")
     out = out.drop("_m", "_n", "_g").withColumn("event_id", template_id(F.col("template")))
     return out.withColumn("occurrence", F.row_number().over(Window.partitionBy("event_id").orderBy(line_id)))
 

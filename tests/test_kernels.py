@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -354,6 +355,43 @@ def test_miner_settings_state_and_catalogue(spark, tmp_path):
     parsed = templates.parse_events(logs, known).first()
     assert parsed["service"] == "adservice" and parsed["template"] == again[1]
 
+class _ScanningMiner(templates.TemplateMiner):
+    """Compares a line with every group of its leaf."""
+
+    def match(self, tokens):
+        best, best_key = None, (-1.0, -1)
+        for g in getattr(self._leaf(tokens, False), "groups", ()):
+            template = self.groups[g].template
+            key = (sum(a == b for a, b in zip(template, tokens, strict=True) if a != "<*>") / len(tokens), template.count("<*>"))
+            if key > best_key:
+                best, best_key = g, key
+        return best if best is not None and best_key[0] >= self.config.similarity else None
+
+
+def test_miner_finds_groups_as_a_scan_would():
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        words = [*"abcdefgh", "x1", "<*>"][: int(rng.integers(2, 11))]
+        config = templates.MinerConfig(similarity=float(rng.choice([0, 0.2, 0.4, 0.7, 1])), depth=int(rng.integers(3, 7)), max_children=int(rng.choice([1, 3, 100])), max_clusters=[None, 1, 3][int(rng.integers(3))])
+        miner, plain = templates.TemplateMiner(config), _ScanningMiner(config)
+        for i in range(40):
+            tokens = [str(w) for w in rng.choice(words, int(rng.choice([0, 1, 2, 3, 4, 6])))]
+            assert miner.add(i, tokens) == plain.add(i, tokens)
+        assert [g.template for g in miner.groups] == [g.template for g in plain.groups]
+
+
+def test_miner_compares_a_line_with_few_of_many_groups():
+    """6,000 lines with words as skewed as a language's: 18 million pairs of 20 tokens, of which few are compared."""
+    rng = np.random.default_rng(6)
+    lines = [[f"w{int(w)}" for w in 1 / rng.random(20) ** 6] for _ in range(6000)]
+    began = time.process_time()
+    miner = templates.TemplateMiner()
+    for i, tokens in enumerate(lines):
+        miner.add(i, tokens)
+    assert len(miner.groups) > 4000
+    assert time.process_time() - began < 10
+
+
 
 def test_miner_as_stream_state(spark, tmp_path):
     texts = ["open file alpha", "open file beta", "close door", "open file gamma", "close window", "close door"]
