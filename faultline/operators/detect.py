@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -14,32 +15,24 @@ from .frames import frame
 def cusum(x: np.ndarray, threshold: float, drift: float = 0.0) -> list[tuple[int, int]]:
     """(alarm, start) indices of cumulative sums of changes, reset at each alarm.
 
-    Since the last alarm, a sum of changes less the drift, taken from its running
-    minimum (0 at the reset), is the one-sided statistic; where a new minimum is
-    reached, a change may have started. Stretches of doubling length are summed
-    at once, so the work is linear but for the alarms.
+    Each sum takes in a change and the drift step by step, in the order that the
+    recurrence states: values of few decimals meet the threshold exactly, and a
+    sum rounded otherwise would pass it or not. Where a sum would fall below 0,
+    or a value is missing, it is 0 and a change may start.
     """
-    changes = np.diff(np.asarray(x, float))
     out: list[tuple[int, int]] = []
-    start = {1: 0, -1: 0}
-    at, width = 0, 64
-    carry = {1: 0.0, -1: 0.0}  # the statistics where the stretch begins
-    while at < len(changes):
-        part = changes[at : at + width]
-        state = {}
-        for side in (1, -1):
-            total = carry[side] + np.cumsum(side * part - drift)
-            low = np.minimum.accumulate(np.append(0.0, total))
-            state[side] = total - low[1:], np.flatnonzero(low[1:] < low[:-1])
-        over = np.flatnonzero((state[1][0] > threshold) | (state[-1][0] > threshold))
-        end = int(over[0]) if len(over) else len(part) - 1
-        for side in (1, -1):
-            minima = state[side][1][state[side][1] <= end]
-            start[side] = at + int(minima[-1]) + 1 if len(minima) else start[side]
-            carry[side] = 0.0 if len(over) else float(state[side][0][end])
-        if len(over):
-            out.append((at + end + 1, start[1 if state[1][0][end] > threshold else -1]))
-        at, width = at + end + 1, 64 if len(over) else 2 * width
+    up = down = 0.0
+    up_start = down_start = 0
+    values = np.asarray(x, float).tolist()
+    for i, (last, v) in enumerate(itertools.pairwise(values), 1):
+        up, down = up + v - last - drift, down - (v - last) - drift
+        if not up >= 0:
+            up, up_start = 0.0, i
+        if not down >= 0:
+            down, down_start = 0.0, i
+        if up > threshold or down > threshold:
+            out.append((i, up_start if up > threshold else down_start))
+            up = down = 0.0
     return out
 
 

@@ -45,6 +45,26 @@ def test_cusum_equals_plain_loop():
             assert before <= start <= alarm
 
 
+def test_cusum_rounds_as_the_recurrence_does():
+    """The sums of 0.4 and 0.5 less the drift are 0.8 on paper; step by step they round to no more than that."""
+    assert detect.cusum(np.array([0.7, 1.1, 1.6]), 0.8, 0.05) == []
+    rng = np.random.default_rng(33)
+    for _ in range(300):
+        x = rng.integers(0, 20, 60) / 10
+        up = down = 0.0
+        want = []
+        for i in range(1, len(x)):
+            up, down = max(0.0, up + x[i] - x[i - 1] - 0.05), max(0.0, down - (x[i] - x[i - 1]) - 0.05)
+            if up > 0.8 or down > 0.8:
+                want.append(i)
+                up = down = 0.0
+        assert [a for a, _ in detect.cusum(x, 0.8, 0.05)] == want
+
+
+def test_cusum_goes_on_after_a_missing_value():
+    assert detect.cusum(np.array([0.0, np.nan, 0.0, 5.0]), 2.0) == [(3, 2)]
+
+
 def test_cusum_ends_are_the_starts_of_the_reversed_series():
     x = np.concatenate([np.zeros(20), np.full(20, 5.0), np.zeros(20)])
     found = detect.cusum_changes(x, 2.0)
