@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import dataclasses
+import hashlib
 import math
 import operator
 import re
@@ -42,12 +43,16 @@ class MinerConfig:
 
     def tokenised(self, content: Column) -> Column:
         """Masked, with blanks for delimiters, one blank between tokens."""
-        out = mask(F.coalesce(content, F.lit("")))
+        out = F.coalesce(content, F.lit(""))
+        out = F.when(out.rlike("[0-9]"), mask(out)).otherwise(out)  # no mask fits without a digit
         if (self.mask_prefix, self.mask_suffix) != ("<", ">"):
             out = F.regexp_replace(out, F.lit("<([A-Z*:]+)>"), F.lit(re.sub(r"([\\$])", r"\\\1", self.mask_prefix) + "$1" + re.sub(r"([\\$])", r"\\\1", self.mask_suffix)))
         for d in self.delimiters:
             out = F.replace(out, F.lit(d), F.lit(" "))
-        return F.regexp_replace(F.regexp_replace(out, r"^\s+|\s+$", ""), r"\s+", " ")
+        uneven = out.startswith(" ") | out.endswith(" ")
+        for blank in ("  ", "\t", "\n", "\x0b", "\f", "\r"):
+            uneven |= out.contains(blank)
+        return F.when(uneven, F.regexp_replace(F.regexp_replace(out, r"^\s+|\s+$", ""), r"\s+", " ")).otherwise(out)
 
 
 class _Leaf:
@@ -227,10 +232,12 @@ def mine(lines: DataFrame, line_id: str = "line_id", content: str = "content", c
     The tree's state is separate per number of tokens, so that is the grouping.
     Equal masked lines are mined once, at their first appearance - a repeat can
     neither open a group nor change a template - so a group holds distinct lines
-    only. The template is the group's last, or with ``running`` that at the line.
+    only; it goes back to the lines by its SHA-256, so texts are shuffled once a
+    step. The template is the group's last, or with ``running`` that at the line.
     """
-    tokenised = lines.withColumn("_m", config.tokenised(F.col(content)))
-    distinct = tokenised.groupBy("_m").agg(F.min(line_id).alias("_first")).withColumn("_n", F.when(F.col("_m") == "", 0).otherwise(F.size(F.split("_m", " "))))
+    masked = config.tokenised(F.col(content))
+    keyed = lines.withColumn("_k", F.unhex(F.sha2(masked, 256)))
+    distinct = lines.select(masked.alias("_m"), line_id).groupBy("_m").agg(F.min(line_id).alias("_first")).withColumn("_n", F.when(F.col("_m") == "", 0).otherwise(F.size(F.split("_m", " "))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         miner = TemplateMiner(config)
@@ -241,17 +248,17 @@ def mine(lines: DataFrame, line_id: str = "line_id", content: str = "content", c
             found.append(g)
             if running:
                 now.append(miner.template(g))
-        out = {"_m": pdf["_m"], "template": [miner.template(g) for g in found]}
+        out = {"_k": [hashlib.sha256(text.encode()).digest() for text in pdf["_m"]], "template": [miner.template(g) for g in found]}
         return pd.DataFrame(out | {"_n": pdf["_n"], "_first": pdf["_first"], "_g": found, "_now": now} if running else out)
 
     first = f"{line_id} {lines.schema[line_id].dataType.simpleString()}".replace(line_id, "_first", 1)
-    mined = distinct.groupBy("_n").applyInPandas(run, "_m string, template string" + f", _n int, {first}, _g int, _now string" * running)
+    mined = distinct.groupBy("_n").applyInPandas(run, "_k binary, template string" + f", _n int, {first}, _g int, _now string" * running)
     if running:
         changes = mined.select("_n", "_g", F.col("_first").alias(line_id), F.col("_now").alias("template"))
-        out = asof_backward(tokenised.join(mined.select("_m", "_n", "_g"), "_m"), changes, ["_n", "_g"], line_id, "template")
+        out = asof_backward(keyed.join(mined.select("_k", "_n", "_g"), "_k"), changes, ["_n", "_g"], line_id, "template")
     else:
-        out = tokenised.join(mined, "_m")
-    out = out.drop("_m", "_n", "_g").withColumn("event_id", template_id(F.col("template")))
+        out = keyed.join(mined, "_k")
+    out = out.drop("_k", "_n", "_g").withColumn("event_id", template_id(F.col("template")))
     return out.withColumn("occurrence", F.row_number().over(Window.partitionBy("event_id").orderBy(line_id)))
 
 
