@@ -236,7 +236,7 @@ def mine(lines: DataFrame, line_id: str = "line_id", content: str = "content", c
     step. The template is the group's last, or with ``running`` that at the line.
     """
     masked = config.tokenised(F.col(content))
-    keyed = lines.withColumn("_k", F.unhex(F.sha2(masked, 256)))
+    keyed = lines.withColumn("_k", F.coalesce(F.unhex(F.sha2(masked, 256)), F.lit(b"")))  # never null, or the join would work it out once more to see
     distinct = lines.select(masked.alias("_m"), line_id).groupBy("_m").agg(F.min(line_id).alias("_first")).withColumn("_n", F.when(F.col("_m") == "", 0).otherwise(F.size(F.split("_m", " "))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
